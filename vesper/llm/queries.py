@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, ogg, secrets, toxicity
 from ._session import fold, table
 
 
@@ -18,9 +18,60 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit samples in Ogg, read back, with digests of both forms and a feature string."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    docs = docs.withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    padded = F.expr("rpad(raw, cast(greatest(64, 64 * ceil(n_bytes / 64)) as int), X'00')")
+    out = ogg.decode(ogg.encode(docs.select("doc_id", "n_bytes", padded.alias("given")), F.col("given"), note=F.encode(F.col("n_bytes").cast("string"), "UTF-8")), F.col("media"))
+    feature = F.concat_ws(
+        ";",
+        F.format_string("pages=%d", "read.pages"),
+        F.format_string("packets=%d", "read.packets"),
+        F.format_string("streams=%d", "read.streams"),
+        F.format_string("damaged=%d", "read.damaged"),
+        F.format_string("seconds=%.6f", "read.seconds"),
+        F.format_string("mean=%.6f", "read.mean"),
+        F.format_string("rms=%.6f", "read.rms"),
+        F.format_string("crossings=%d", "read.crossings"),
+    )
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("read.payload").cast("long").alias("payload_bytes"),
+        F.sha2("read.payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(read.payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and method spans of every document; a document stands for a repository, its source for the owner."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    got = secrets.scan(docs, F.col("text"), F.col("doc_id"), F.col("source"), [F.col("doc_id")])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    verdicts = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
+    return got.select("doc_id", *map(count, secrets.KINDS[:3]), "base_sha256", said.alias("spans"), verdicts("live"), verdicts("example"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = fold("doc_id", 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder != 2))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op4_language_id": op4_language_id,
+        "op5_ogg_media": op5_ogg_media,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_toxicity": op7_toxicity,
     }
 
 
