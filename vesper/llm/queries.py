@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ogg, secrets, toxicity
+from . import language_id, near_dedup, ogg, secrets, toxicity
 from ._session import fold, table
 
 
@@ -66,12 +66,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dedup.near_duplicates(docs)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def queries() -> dict:
     return {
         "op4_language_id": op4_language_id,
         "op5_ogg_media": op5_ogg_media,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
+        "op9_near_dedup": op9_near_dedup,
     }
 
 
