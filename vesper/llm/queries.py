@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, ogg, secrets, toxicity
+from . import language_id, near_dedup, ogg, packing, secrets, toxicity
 from ._session import fold, table
 
 
@@ -73,6 +73,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every document: its place in its document and in its sequence."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, F.col("text"), [F.col("doc_id")], path=str(public_tokenizers.path("byte_bpe_50k.json")), pattern=public_tokenizers.PATTERN, end=2, capacity=1024)
+    return packing.pack(cut, 1024)
+
+
 def queries() -> dict:
     return {
         "op4_language_id": op4_language_id,
@@ -80,6 +89,7 @@ def queries() -> dict:
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
         "op9_near_dedup": op9_near_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
