@@ -53,6 +53,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes in lower case: ASCII, Latin-1 letters and the basic Cyrillic ones; the length stays."""
+    out = LOWER[raw]
+    lead = np.concatenate([[0], raw[:-1]])
+    out[(lead == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 0x20
+    cyrillic = lead == 0xD0
+    out[cyrillic & (raw >= 0x90) & (raw <= 0x9F)] += 0x20
+    late = cyrillic & (raw >= 0xA0) & (raw <= 0xAF)
+    out[late] -= 0x20
+    out[np.flatnonzero(late) - 1] = 0xD1
+    return out
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

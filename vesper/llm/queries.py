@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, ogg, packing, secrets, toxicity
+from . import decontaminate, language_id, near_dedup, ogg, packing, pii, secrets, toxicity
 from ._session import fold, table
 
 
+#: Key of the registered queries alone; who publishes the results uses a secret one.
+DEMO_KEY = b"registered queries, not a secret"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the whole text with surrogates, the number of replaced entities and their kinds and places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.replace(docs, DEMO_KEY)
+    said = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), said.alias("entities"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a benchmark item, with coverage, run, place and changed slots."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -84,6 +102,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_ogg_media": op5_ogg_media,
         "op6_secret_scan": op6_secret_scan,
