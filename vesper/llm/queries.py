@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, ogg, packing, pii, secrets, toxicity
+from . import decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, secrets, toxicity
 from ._session import fold, table
 
 
@@ -21,6 +21,12 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), said.alias("entities"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and contained license templates of every document."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every document that holds a benchmark item, with coverage, run, place and changed slots."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +109,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
+        "op2_license_scan": op2_license_scan,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_ogg_media": op5_ogg_media,
@@ -114,4 +121,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_license_scan": licenses.oracle(),
+    }
