@@ -39,8 +39,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: whole texts, some very long, go to Python.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per context; they need no installation of it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_vesper_shipped", False):
         return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, secrets, toxicity
+from . import decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, secrets, substring_dedup, toxicity
 from ._session import fold, table
 
 
@@ -90,6 +90,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per passage of 50 words or more that documents share, but for edits, with the documents that had it before."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +120,7 @@ def queries() -> dict:
         "op5_ogg_media": op5_ogg_media,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
