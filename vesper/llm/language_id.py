@@ -115,13 +115,15 @@ def fit(
     bits: int = 12,
     centroids: int = 4,
     rounds: int = 8,
-    slack: float = 0.6,
+    slack: float = 0.4,
+    most: float = 0.1,
     seed: int = 7,
 ) -> Centroids:
     """Fit on at most ``max_rows`` labelled rows, spread evenly over the languages.
 
     The bound is on this fit alone: rows are drawn by the hash of key and text, per language. What is
-    brought to the driver is at most ``max_rows`` vectors of 2**bits small counts.
+    brought to the driver is at most ``max_rows`` vectors of 2**bits small counts. Per text length, the
+    rejection floor is ``slack`` times the smallest cosine that a fitted text reached, ``most`` at most.
     """
     rows = labelled.select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("y is not null and t is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -153,7 +155,7 @@ def fit(
     floors = np.full(24, np.nan)
     for b in range(24):
         if (bins == b).sum() >= 20:
-            floors[b] = slack * near[bins == b].min()
+            floors[b] = min(most, slack * near[bins == b].min())
     # a length unseen in the fit takes the floor of the nearest shorter one; the shortest ones are never too far
     last = 0.0
     for b in range(24):
