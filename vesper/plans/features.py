@@ -13,6 +13,7 @@ from ..operators.cross_features import cross_features
 from ..operators.history import COLUMNS, label_history, long_labels, template_history
 from ..operators.places import ble_features, gps_features, wifi_features
 from ..operators.stats import KEY, keyed, table_features
+from ..sources.sinks import materialised
 
 
 def _spread(df: DataFrame, cell: str, parsed, prefix: str) -> DataFrame:
@@ -41,10 +42,13 @@ def parsed(df: DataFrame, table: str) -> DataFrame:
 
 
 def sensor_features(sensors: dict[str, DataFrame]) -> DataFrame:
-    """(subject_id, lifelog_date, feature, value) over all tables, with the features across them."""
+    """(subject_id, lifelog_date, feature, value) over all tables, with the features across them.
+
+    A table's parsed rows and its features are made once and read again: a dozen tables would otherwise be one plan.
+    """
     out = None
     for table, df in sorted(sensors.items()):
-        one = table_features(keyed(parsed(df, table)), table)
+        one = materialised(table_features(materialised(keyed(parsed(df, table))), table))
         out = one if out is None else out.unionByName(one)
     return out.unionByName(cross_features(out))
 

@@ -100,8 +100,7 @@ def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", t
     train, template = tables.labels(spark, f"{data_dir}/{train_csv}"), tables.labels(spark, f"{data_dir}/{template_csv}")
     logs = tables.sensors(spark, f"{data_dir}/ch2025_data_items")
     features = model_features(train, template, sensor_features(logs) if logs else None)
-    rows = model_rows(features)
-    rows = rows.persist()
+    rows = sinks.materialised(model_rows(features))
     out: dict[str, DataFrame] = {}
     if mode == "accuracy":
         scores = baseline_scores(train)
@@ -111,7 +110,7 @@ def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", t
         values, losses = two_stages(rows.where("is_train").join(folds, "row_id").select("row_id", "x", "fold"), rows.where("not is_train").select("row_id", "x"), train)
         out = {"variant_scores": losses, "chained": values}
     else:
-        candidates = candidate_probabilities(train, rows).persist()
+        candidates = sinks.materialised(candidate_probabilities(train, rows))
         losses = logloss_scores(candidates)
         if mode == "registry-ensembles":
             out = {"registry": registry(losses), "logloss_scores": losses}
