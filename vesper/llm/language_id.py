@@ -156,8 +156,8 @@ def fit(
     for b in range(24):
         if (bins == b).sum() >= 20:
             floors[b] = min(most, slack * near[bins == b].min())
-    # a length unseen in the fit takes the floor of the nearest shorter one; the shortest ones are never too far
-    last = 0.0
+    # a length unseen in the fit takes the floor of the nearest shorter one, the shortest ones half of the least
+    last = 0.0 if np.isnan(floors).all() else float(np.nanmin(floors)) / 2
     for b in range(24):
         floors[b] = last = last if np.isnan(floors[b]) else floors[b]
     model.floors = floors

@@ -197,6 +197,7 @@ def _train(got: list, rate: float, bits: int, dim: int, window: int, epochs: int
         bias -= rate_ * gb / np.sqrt(seen_b)
 
     labels = y.astype(np.int64)
+    batch = int(np.clip(len(got) // 32, 8, 128))
     every = np.arange(len(owner))
     starts = np.searchsorted(owner, np.arange(len(got)))
     for epoch in range(epochs):
@@ -209,7 +210,7 @@ def _train(got: list, rate: float, bits: int, dim: int, window: int, epochs: int
             mean = (total[last_word] - total[first_word]) / np.maximum(last_word - first_word, window / 4)
             best = np.lexsort((-mean, owner))
             chosen = rng.permutation(best[starts])
-        for part in np.array_split(chosen, max(1, len(chosen) // 128)):
+        for part in np.array_split(chosen, max(1, len(chosen) // batch)):
             step(part, labels[owner[part]], 0.1 / (1 + epoch / 10))
     shift = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)) - np.log(y.mean() / (1 - y.mean()))  # back to the labels' own rate
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0] + shift)
