@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import available
+from ..sources.cluster import ship_code
 
 STEPS = 1000
 
@@ -62,6 +63,7 @@ def logistic_by_group(rows: DataFrame, keys: list[str], steps: int = STEPS) -> D
         out["p"] = predict_logistic(fit_logistic(x[~held], y[~held], steps), x[held]) if fitted else np.full(held.sum(), np.nan)
         return out
 
+    ship_code(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "row_id"]) + ", y double, p double"
     named = rows.select(*keys, "row_id", F.col("x"), F.col("y").cast("double").alias("y"), "is_valid")

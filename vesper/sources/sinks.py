@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import KEYS, PROBABILITY_CLIP, TARGETS
 from ..functions.scalars import clipped_probability, file_safe
+from .cluster import set_checkpoint_dir
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The same rows from the shared folder of ``spark.checkpoint.dir``, so that what is used twice is made once.
-
-    Only where no such folder is set (local mode) a temporary one is.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vesper-checkpoint-"))
+    """The same rows from the shared folder, so that what is used twice is made once."""
+    set_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
