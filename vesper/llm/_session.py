@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cluster import set_checkpoint_dir, ship_code
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in local mode) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="vesper-checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder or context._jsc.sc().getCheckpointDir().get()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``."""
+    return set_checkpoint_dir(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -31,12 +22,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table of the shared folder, so that later scans prune columns."""
+#: Tables that operators have written for themselves and not dropped yet.
+_own: dict[int, str] = {}
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The same rows as a Parquet table of the shared folder, so that later scans prune columns.
+
+    Unless it is to be kept, ``drop`` or ``release`` deletes it once what was made of it is consumed.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not keep:
+        _own[id(out)] = path
+        out._own_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing unfinished reads any more."""
+    for df in tables:
+        path = getattr(df, "_own_path", None)
+        if path and _own.pop(id(df), None):
+            _delete(df.sparkSession, path)
+
+
+def swept_up(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which else stay until the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators have written for themselves: for between jobs whose results are written."""
+    for path in _own.values():
+        _delete(spark, path)
+    _own.clear()
+    swept_up(spark)
 
 
 #: Rows of an Arrow batch where the session leaves Spark's default: whole texts, some very long, go to Python.
@@ -44,19 +73,10 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per context; they need no installation of it."""
+    """Get a session ready: the package's code on the executors, and Arrow batches small enough for whole texts."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_vesper_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="vesper-code-")) / "vesper_code.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(top.rglob("*.py")):
-            out.write(path, path.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    context._vesper_shipped = True
+    ship_code(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
