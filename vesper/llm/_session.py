@@ -23,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: Tables that operators have written for themselves and not dropped yet.
-_own: dict[int, str] = {}
+_own: set[str] = set()
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if not keep:
-        _own[id(out)] = path
+        _own.add(path)
         out._own_path = path
     return out
 
@@ -50,7 +50,8 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing unfinished reads any more."""
     for df in tables:
         path = getattr(df, "_own_path", None)
-        if path and _own.pop(id(df), None):
+        if path in _own:
+            _own.remove(path)
             _delete(df.sparkSession, path)
 
 
@@ -62,7 +63,7 @@ def swept_up(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that operators have written for themselves: for between jobs whose results are written."""
-    for path in _own.values():
+    for path in _own:
         _delete(spark, path)
     _own.clear()
     swept_up(spark)
