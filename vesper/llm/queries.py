@@ -129,4 +129,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle(),
+        "op9_near_dedup": near_dedup.oracle(),
     }
