@@ -1,19 +1,20 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with the same set of word shingles are one class from the start. A class gets a MinHash
-signature, and the forest has several orders of it: each tree starts at another place of the
-signature and reads on from there. Sorted by such an order, classes that share a long prefix stand
-together. Each one meets its neighbours as far as the common prefix reaches the least depth; where a
-region is denser than the sweep's reach, sorting by the following values makes it deeper, so that
-neighbours there are those of longest common prefix. Candidates are confirmed on full shingle sets.
+signature, and the forest has several orders of it. Sorted by such an order, classes that share a long
+prefix stand together: a region is a run of classes that share the least depth. Each class meets its
+neighbours of longest common prefix there, up to a reach; candidates are confirmed on full shingle sets.
 
-Regions wider than the reach are not cut off: after each round of confirmed links, what still has
-classes of several components in one region is swept again, each class against the next ones of
-*other* components only, with twice the reach, until no region has an untested pair of different
-components. Pairs inside one component are never needed, so no group makes all its pairs.
+Regions wider than the reach are not cut off. Those in which several components remain after the
+confirmed links are swept again with eight times the reach, over rows that carry the whole signature:
+a class is compared with every class of another component within the reach, and only pairs whose
+signatures agree well enough come out. Regions still wider than that adapt their depth: their classes
+go into deeper forests with more orders, in which regions are narrower while what is as similar as the
+threshold still meets. At the greatest depth the reach grows until nothing is left. Pairs inside one
+component are never needed, and no group makes all its pairs.
 
-A pair at the threshold 0.75 shares 4 of 4 values in a tree with probability 0.316; with 32 trees it
-is missed once in 190,000 times.
+A pair at the threshold 0.75 shares 4 values of a tree with probability 0.316; with 32 trees of
+disjoint values it is missed once in 190,000 times.
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing, not
 even each other. Texts of fewer words than a shingle have one shingle, all their words. Repeated rows
@@ -26,18 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NONSPACE, U64, blocks, byte_texts, mix, owners, windows, word_hashes, words
-from ._session import checkpointed, saved
-from .components import components
+from ._session import drop, saved
+from .components import joined
 
 SHINGLE = 5
-VALUES = 128
-DEPTH = 4
-LABEL = 8
-REACH = 6
+VALUES = 256
+REACH = 3
+
+#: Depth, orders and reach of each sweep; the first forest's orders are disjoint parts of the signature.
+SWEEPS = ((4, 32, REACH), (4, 32, 48), (4, 32, 384), (4, 32, 3072), (8, 256, 384), (12, 768, 3072))
+#: How far under the threshold the agreement of signatures may be for a pair to be confirmed on its sets: 5.2 standard errors at first, 3.5 in the wide sweeps.
+FIRST_LEAST, WIDE_LEAST = 0.14, 0.095
+#: Values that follow the least depth in a label, for the order within a region.
+FOLLOWING = 4
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
@@ -65,8 +72,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     """For each of the hash functions, 16 bits of the smallest value over the set."""
     out = np.full(VALUES, np.iinfo(np.uint64).max, dtype=U64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 512):
-            part = _FACTORS[:, None] * shingles[None, i : i + 512] + _SHIFTS[:, None]
+        for i in range(0, len(shingles), 256):
+            part = _FACTORS[:, None] * shingles[None, i : i + 256] + _SHIFTS[:, None]
             np.minimum(out, part.min(axis=1), out=out)
     return (mix(out) >> U64(48)).astype(">u2")
 
@@ -84,91 +91,136 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["key"], batch["t"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signs, pa.binary())], names=["key", "t", "n", "h", "l", "signature"])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and tree: label, the signature's values from the tree's own start on."""
-    n = VALUES // DEPTH
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        signs = np.frombuffer(b"".join(batch["signature"].to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
-        rolled = np.concatenate([signs, signs], axis=1)
-        labels = np.stack([rolled[:, t * DEPTH : t * DEPTH + LABEL] for t in range(n)], axis=1).reshape(-1, LABEL)
-        tree = np.tile(np.arange(n, dtype=np.uint8), batch.num_rows)
-        joined = np.concatenate([tree[:, None], np.ascontiguousarray(labels).view(np.uint8)], axis=1)
-        flat = pa.py_buffer(np.ascontiguousarray(joined).tobytes())
-        width = joined.shape[1]
-        offsets = pa.py_buffer((np.arange(len(joined) + 1, dtype=np.int32) * width).tobytes())
-        yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(joined), [None, offsets, flat]), pa.array(np.repeat(batch["node"].to_numpy(), n), pa.int64()), pa.array(np.repeat(batch["n"].to_numpy(), n), pa.int64())], names=["label", "node", "n"])
+def orders(depth: int, trees: int) -> np.ndarray:
+    """For each tree, the places of the signature that its labels read."""
+    if depth * trees <= VALUES:
+        return (np.arange(trees)[:, None] * depth + np.arange(depth + FOLLOWING)) % VALUES
+    rng = np.random.default_rng([depth, trees])
+    return np.stack([rng.permutation(VALUES)[: depth + FOLLOWING] for _ in range(trees)])
+
+
+def _trees(depth: int, trees: int, whole_signature: bool):
+    """A row for each class and tree: label, the tree's number and the signature's values in its order; if asked, all values."""
+    places = orders(depth, trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                signs = np.frombuffer(b"".join(batch["signature"].to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+                labels = np.ascontiguousarray(signs[:, places]).view(np.uint8).reshape(batch.num_rows * trees, -1)
+                tree = np.tile(np.arange(trees, dtype=">u2"), batch.num_rows).view(np.uint8).reshape(-1, 2)
+                joined = np.concatenate([tree, labels], axis=1)
+                offsets = np.arange(len(joined) + 1, dtype=np.int32) * joined.shape[1]
+                column = pa.Array.from_buffers(pa.binary(), len(joined), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.tobytes())])
+                repeated = [pa.array(np.repeat(batch[c].to_numpy(), trees), pa.int64()) for c in ("node", "n", "c")]
+                sketch = [signs[i].tobytes() for i in range(batch.num_rows) for _ in range(trees)] if whole_signature else [None] * len(joined)
+                yield pa.record_batch([column, *repeated, pa.array(sketch, pa.binary())], names=["label", "node", "n", "c", "sketch"])
+
+    return run
 
 
-_PREFIX = 1 + 2 * DEPTH
-_SWEPT = "kind int, a bigint, b bigint, label binary, node bigint, n bigint, c bigint"
+def forest(nodes: DataFrame, depth: int, trees: int, whole_signature: bool = False) -> DataFrame:
+    """(label, node, n, c, sketch) from classes with node, n, signature and their component c."""
+    return nodes.select("node", "n", "signature", "c").mapInArrow(_trees(depth, trees, whole_signature), "label binary, node bigint, n bigint, c bigint, sketch binary")
 
 
-def _sweep(reach: int, threshold: float):
-    """Neighbours of sorted rows; see the module's text. Kind 0: a candidate pair; 1: a row of a region wider
-    than the reach; 2: a row so near the end of its partition that its neighbours may be in another."""
+def _prefix(depth: int) -> int:
+    return 2 + 2 * depth
+
+
+_SWEPT = "kind int, a bigint, b bigint, near double, label binary, node bigint, n bigint, c bigint, sketch binary"
+
+
+def _sweep(depth: int, disjoint: bool, done: int, reach: int, threshold: float, least: float):
+    """Neighbours of sorted rows; see the module's text. Rows up to ``done`` places away have met in the sweep
+    before. Where trees read disjoint values, a pair comes out in the first tree that has both in a region.
+    Kind 0: a candidate pair; 1: a row of a region wider than the reach (of rows with sketches, the region's first alone); 2: a row so near the end of its partition that its neighbours may be in another."""
+    width = _prefix(depth)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["kind", "a", "b", "near", "label", "node", "n", "c", "sketch"]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "label", "node", "n", "c"])
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def met(row: tuple, region: list[tuple], ring: tuple | None) -> list[tuple]:
+        """Pairs of the row with the region's last rows of other components."""
+        label, node, n, c, sketch, part = row
+        if sketch is None:
+            near = [x for x in region if x[3] != c and (part is None or x[5] != part) and min(n, x[2]) >= threshold * max(n, x[2])]
+            return [(0, min(node, x[1]), max(node, x[1]), None, None, None, None, None, None) for x in near]
+        nodes, sizes, components, sketches, numbers, parts, count = ring
+        used = slice(0, min(count, reach))
+        at = np.flatnonzero((components[used] != c) & (count - numbers[used] > done) & (part is None or parts[used] != part))
+        at = at[np.minimum(sizes[at], n) >= threshold * np.maximum(sizes[at], n)]
+        same = sketches[at] == np.frombuffer(sketch, np.uint16)
+        good = same.mean(axis=1) >= least
+        if disjoint:
+            tree = int.from_bytes(label[:2], "big")
+            good &= ~same[:, : tree * depth].reshape(len(at), tree, depth).all(axis=2).any(axis=1)
+        return [(0, min(node, x), max(node, x), y, None, None, None, None, None) for x, y in zip(nodes[at[good]].tolist(), same[good].mean(axis=1).tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        region: list[tuple] = []  # the last rows of the region of which no more than ``reach`` components are kept
-        prefix, wide, first = None, False, True
+        region: list[tuple] = []  # the last ``reach`` rows of the region
+        prefix, wide, first, count = None, False, True, 0
         head: list[tuple] = []
+        ring = None
 
         for batch in batches:
-            for row in zip(batch["label"].to_pylist(), batch["node"].to_pylist(), batch["n"].to_pylist(), batch["c"].to_pylist()):
-                label, node, n, c = row
-                if label[:_PREFIX] != prefix:
+            ends_of = batch["part"].to_pylist() if "part" in batch.schema.names else [None] * batch.num_rows
+            for row in zip(*[batch[c].to_pylist() for c in names[4:]], ends_of):
+                label, node, n, c, sketch, part = row
+                if label[:width] != prefix:
                     first = prefix is None
-                    prefix, region, wide = label[:_PREFIX], [], False
-                if first and len(head) < 2 * reach:
+                    prefix, region, wide, count = label[:width], [], False, 0
+                if first and len(head) < reach:
                     head.append(row)
-                seen = set()
-                for other in reversed(region):
-                    if other[3] == c or other[3] in seen and len(seen) >= reach:
-                        continue
-                    seen.add(other[3])
-                    if min(n, other[2]) >= threshold * max(n, other[2]):
-                        out.append((0, min(node, other[1]), max(node, other[1]), None, None, None, None))
+                if region:
+                    out += met(row, region, (*ring, count) if ring else None)
+                if sketch is not None:
+                    if ring is None:
+                        ring = (*(np.zeros(reach, np.int64) for _ in range(3)), np.zeros((reach, VALUES), np.uint16), np.zeros(reach, np.int64), np.zeros(reach, np.int64))
+                    at = count % reach
+                    ring[0][at], ring[1][at], ring[2][at], ring[3][at], ring[4][at], ring[5][at] = node, n, c, np.frombuffer(sketch, np.uint16), count, -1 if part is None else part
+                count += 1
                 region.append(row)
                 if len(region) > reach:
-                    if not wide:
-                        wide = True
-                        out += [(1, None, None, *r) for r in region]
-                    else:
-                        out.append((1, None, None, *row))
+                    marked = ([] if wide else [row]) if sketch is not None else [row] if wide else region
+                    out += [(1, None, None, None, *r[:4], None) for r in marked]
+                    wide = True
                     region.pop(0)
-                if len(out) >= 50_000:
+                if len(out) >= 20_000:
                     yield emit(out)
                     out = []
-        ends = [(2, None, None, *r) for r in dict.fromkeys([*head, *region])]
-        if out or ends:
-            yield emit(out + ends)
+        own = TaskContext.get().partitionId()
+        ends = [(2, own, None, None, *r[:5]) for r in dict.fromkeys([*head, *region])]
+        for i in range(0, len(ends), 20_000):
+            out += ends[i : i + 20_000]
+            yield emit(out)
+            out = []
+        if out:
+            yield emit(out)
 
     return run
 
 
-def _swept(rows: DataFrame, reach: int, threshold: float, parts: int) -> DataFrame:
+def _swept(rows: DataFrame, depth: int, disjoint: bool, done: int, reach: int, threshold: float, least: float, parts: int) -> DataFrame:
     spread = rows.repartitionByRange(parts, "label", "node") if parts > 1 else rows.coalesce(1)
     ordered = spread.sortWithinPartitions("label", "node")
-    return saved(ordered.mapInArrow(_sweep(reach, threshold), _SWEPT), "forest")
+    return saved(ordered.mapInArrow(_sweep(depth, disjoint, done, reach, threshold, least), _SWEPT), "forest")
 
 
 def _estimated(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree on ``least`` of the values at least; a pair at the threshold is 5 standard errors above."""
-    own = signs.select("node", "signature")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
+    first, second = (signs.select(F.col("node").alias(f"node_{s}"), F.col("sketch").alias(s)) for s in "xy")
+    both = pairs.join(first, F.col("a") == F.col("node_x")).join(second, F.col("b") == F.col("node_y"))
 
     def agree(x: pa.Array, y: pa.Array) -> pa.Array:
         if not len(x):
             return pa.array([], pa.float64())
-        u = np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1)
-        v = np.frombuffer(b"".join(y.to_pylist()), np.uint16).reshape(len(y), -1)
+        u = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)
+        v = np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(len(y), -1)
         return pa.array((u == v).mean(axis=1), pa.float64())
 
     agree.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
@@ -179,9 +231,7 @@ def _estimated(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked): the pairs with the answer of their full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = texts.join(wanted, "node")
-    both = pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
@@ -198,7 +248,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", arrow_udf(check, "boolean")("x", "y").alias("linked"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, reach: int = REACH) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component) for each row: component is the smallest key reachable over confirmed links.
 
     Candidates, links and components stay distributed; the driver gets counts. Text is shuffled for
@@ -214,9 +264,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     )
     spark = df.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    forest = classes.select("node", "n", "signature").mapInArrow(_trees, "label binary, node bigint, n bigint").withColumn("c", F.col("node"))
-    links = linked_pairs(forest, classes, rows, parts, percent, threshold, reach)
-    found = components(links)
+    found = linked_components(classes, rows, parts, percent, threshold)
     named = classes.join(found, "node", "left").select("h", "l", "least", F.coalesce("component", "node").alias("component"))
     # written first: a join of two plain exchanges can be split where one component has most of the classes
     named = saved(named, "named")
@@ -230,53 +278,64 @@ def _classes_schema(df: DataFrame, key: str) -> str:
     return f"key {df.schema[key].dataType.simpleString()}, t bigint, n bigint, h bigint, l bigint, signature binary"
 
 
-def linked_pairs(forest: DataFrame, classes: DataFrame, rows: DataFrame, parts: int, percent: int, threshold: float, reach: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all classes which candidates of the forest connect."""
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    texts: DataFrame | None = None
+def linked_components(classes: DataFrame, rows: DataFrame, parts: int, percent: int, threshold: float) -> DataFrame | None:
+    """(node, component) over confirmed links, for all classes that candidates of the forest connect; None without any."""
+    tested = found = None
+    level, wider, opened, before, past, texts = 0, 1, None, 0, 0, None
+    # of each value the first byte, for comparing whole signatures
+    sketches = saved(classes.select("node", "n", F.expr("unhex(regexp_replace(hex(signature), '(..)..', '$1'))").alias("sketch")), "sketches")
     while True:
-        swept = _swept(forest, reach, threshold, parts)
+        depth, trees, reach = SWEEPS[min(level, len(SWEEPS) - 1)]
+        if level >= len(SWEEPS):
+            wider *= 8
+        least = threshold - (WIDE_LEAST if level else FIRST_LEAST)
+        if opened is None:
+            sorted_ = forest(classes.withColumn("c", F.col("node")), depth, trees)
+        elif depth == before:
+            sorted_ = opened  # the rows of the regions that are still open
+        else:
+            sorted_ = forest(classes.select("node", "n", "signature").join(opened.select("node", "c").distinct(), "node"), depth, trees, True)
+            sorted_ = opened = saved(sorted_, "deeper")
+        disjoint, done = depth * trees <= VALUES, past if depth == before else 0
+        swept = _swept(sorted_, depth, disjoint, done, reach * wider, threshold, least, parts)
         # neighbours across two partitions: few rows for each partition end
-        seams = _swept(swept.where("kind = 2").select("label", "node", "n", "c").distinct(), reach, threshold, 1)
-        pairs = swept.where("kind = 0").select("a", "b").union(seams.where("kind = 0").select("a", "b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(_estimated(pairs, classes, threshold - 0.2), "pairs")
-        wide = swept.where("kind = 1").select("label", "node", "n", "c")
-        if texts is None:
-            texts = _class_texts(rows, classes, pairs)
-        found = None
-        while True:
-            open_pairs = pairs.select("a", "b", "near") if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-            if found is not None:
-                open_pairs = _across(open_pairs, found)
-            open_pairs = saved(open_pairs, "open")
-            n = open_pairs.count()
-            if not n:
-                break
-            # each class first tries its most similar candidate; what components remain apart try all the rest
-            if links is None or found is None:
-                best = open_pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
-                best = best.union(open_pairs.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")).select("a", "b")).distinct()
-            else:
-                best = open_pairs.select("a", "b")
+        seams = _swept(swept.where("kind = 2").select("label", "node", "n", "c", "sketch", F.col("a").alias("part")), depth, disjoint, 0, reach * wider, threshold, least, 1)
+        pairs = swept.where("kind = 0").unionByName(seams.where("kind = 0")).groupBy("a", "b").agg(F.max("near").alias("near"))
+        if not level:
+            pairs = saved(_estimated(pairs.select("a", "b"), sketches, least), "pairs")
+            # whatever is compared later is in one of these pairs or in a region wider than the reach
+            wide = swept.where("kind = 1").select("node").union(seams.where("kind = 1").select("node"))
+            asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide)
+            texts = _class_texts(rows, classes, asked)
+            # each class first tries its most similar candidate; of the rest, only pairs of components that are still apart
+            best = pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
+            best = saved(best.union(pairs.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")).select("a", "b")).distinct(), "best")
             answers = saved(_confirmed(best, texts, percent), "answers")
-            tested = answers.select("a", "b") if tested is None else tested.union(answers.select("a", "b"))
-            good = answers.where("linked").select("a", "b")
-            links = good if links is None else links.union(good)
-            found = checkpointed(components(links))
-        if links is None:
-            return pairs.select("a", "b")
+            tested = answers.select("a", "b")
+            found = joined(found, answers.where("linked"))
+            pairs = saved(_across(pairs.join(tested, ["a", "b"], "left_anti"), found), "pairs")
+        else:
+            pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        answers = saved(_confirmed(pairs.select("a", "b"), texts, percent), "answers")
+        tested = tested.union(answers.select("a", "b"))
+        found = joined(found, answers.where("linked"))
         # regions wider than the reach in which several components remain
-        found = found if found is not None else checkpointed(components(links))
-        left = wide.drop("c").join(found.withColumnRenamed("node", "node"), "node", "left").select("label", "node", "n", F.coalesce("component", "node").alias("c"))
-        region = F.substring("label", 1, _PREFIX)
-        several = left.groupBy(region.alias("p")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > reach)).select("p")
-        left = saved(left.join(several, region == F.col("p"), "left_semi"), "wide")
-        if not left.count():
-            return links
-        forest, reach = left, reach * 2
+        region = F.substring("label", 1, _prefix(depth))
+        marked = swept.where("kind = 1").select("label", "node").union(seams.where("kind = 1").select("label", "node")).distinct()
+        # rows with sketches have their regions marked by one row; the rows are those that were swept
+        left = (marked if opened is None else opened.drop("c")).join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        several = left.groupBy(region.alias("p")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("p")
+        if opened is not None:
+            several = several.join(marked.select(region.alias("p")).distinct(), "p", "left_semi")
+        left = left.join(several, region == F.col("p"), "left_semi")
+        if opened is None:
+            left = left.join(classes.select("node", "n", F.col("signature").alias("sketch")), "node")
+        opened = saved(left.select("label", "node", "n", "c", "sketch"), "open")
+        drop(swept, seams, pairs)
+        if opened.isEmpty():
+            drop(texts, sketches)
+            return found
+        level, before, past = level + 1, depth, reach * wider
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -286,9 +345,25 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "near")
 
 
-def _class_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of one document of each class in a pair: the one of smallest key."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    least = classes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("k"), F.col("t").alias("u"))
-    got = rows.join(least, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")))
-    return saved(got.dropDuplicates(["node"]).select("node", "text"), "texts")
+def _class_texts(rows: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of one document of each class that is asked for: the one of smallest key."""
+    wanted = asked.distinct()
+    least = saved(classes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("k"), F.col("t").alias("u")), "wanted")
+    # a merge join at any size: which texts are wanted grows with the corpus
+    got = rows.join(least.hint("merge"), F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")))
+    return saved(got.select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def oracle(percent: int = 75) -> str:
+    """DuckDB SQL for component_id and n_shingles: all pairs of a shingle, then everything reachable. For small tables."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
