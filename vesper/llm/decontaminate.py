@@ -190,7 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     each = bench.select("iid", F.explode("w").alias("w")).select("iid", "w.*")
     sizes = [r["size"] for r in each.select("size").distinct().collect()]  # 1 to WINDOW at most
     count = each.count()
-    bits = min(29, max(16, int(16 * max(1, count)).bit_length()))
+    bits = min(29, max(20, int(64 * max(1, count)).bit_length()))
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(each, bits))  # 2**bits bits, 64 MB at most
 
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -228,9 +228,19 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     return good.select(F.col("key").alias(key), F.col("item").alias(item_key), "v.*")
 
 
+_PROBES = [U64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
 def _in_sieve(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    at = h >> U64(64 - bits)
-    return (table[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    """Whether all probes of each hash are set; later probes look at what earlier ones left."""
+    at = np.arange(len(h))
+    with np.errstate(over="ignore"):
+        for factor in _PROBES:
+            place = (h[at] * factor) >> U64(64 - bits)
+            at = at[(table[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & np.uint8(1) != 0]
+    out = np.zeros(len(h), dtype=bool)
+    out[at] = True
+    return out
 
 
 def _sieve(each: DataFrame, bits: int) -> np.ndarray:
@@ -239,8 +249,11 @@ def _sieve(each: DataFrame, bits: int) -> np.ndarray:
         table = np.zeros(1 << (bits - 3), dtype=np.uint8)
         seen = False
         for batch in batches:
-            at = batch["h"].to_numpy(zero_copy_only=False).view(np.uint64) >> U64(64 - bits)
-            np.bitwise_or.at(table, at >> U64(3), np.left_shift(np.uint8(1), (at & U64(7)).astype(np.uint8)))
+            h = batch["h"].to_numpy(zero_copy_only=False).view(np.uint64)
+            with np.errstate(over="ignore"):
+                for factor in _PROBES:
+                    place = (h * factor) >> U64(64 - bits)
+                    np.bitwise_or.at(table, place >> U64(3), np.left_shift(np.uint8(1), (place & U64(7)).astype(np.uint8)))
             seen = True
         if seen:
             yield pa.record_batch([pa.array([table.tobytes()], pa.binary())], names=["t"])
