@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,24 +35,23 @@ from pyspark.sql import types as T
 
 from ._session import saved
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Merging is done by the tiktoken library on the file's own vocabulary, which is several times as
-    fast and gives the same ids; a probe compares both when the file is loaded. Texts that hold one of
-    the file's special tokens, and files that aren't byte-level BPE of this kind, go to the file's own library.
+    fast and gives the same ids; ``same_ids`` compares both on a probe, once on the driver, so that workers
+    load the second one only where it is needed. Texts that hold one of the file's special tokens, and files that aren't byte-level BPE of this kind, go to the file's own library.
     """
 
     PROBE = "It's  a\tprobe,\n\n of 12345 naïve — “quotes”, Überß ñandú, 日本語 😀 and   runs...   "
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, trusted: bool) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        self.path, self._own = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -59,14 +59,23 @@ class Encoder:
         try:
             back = _byte_of_char()
             ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-            fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            if fast.encode_ordinary(self.PROBE) == self.own.encode(self.PROBE, add_special_tokens=False).ids:
-                self.fast = fast
+            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if trusted else None
         except (KeyError, ValueError):
             pass
 
+    @property
+    def own(self):
+        if self._own is None:
+            from tokenizers import Tokenizer
+
+            self._own = Tokenizer.from_file(self.path)
+        return self._own
+
+    def same_ids(self) -> bool:
+        return self.fast is not None and self.fast.encode_ordinary(self.PROBE) == self.own.encode(self.PROBE, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s[:2] in text and s in text for s in self.special):
             return self.own.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -79,10 +88,10 @@ def _byte_of_char() -> dict[str, int]:
     return out
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, pattern)
-    return _encoders[path]
+def encoder(path: str, pattern: str, trusted: bool) -> Encoder:
+    if (path, trusted) not in _encoders:
+        _encoders[path, trusted] = Encoder(path, pattern, trusted)
+    return _encoders[path, trusted]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,14 +109,17 @@ def pieces(df: DataFrame, text: Column, keep: list[Column], *, path: str, patter
     """A row per piece: the ``keep`` columns, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
     from pyspark.sql.functions import arrow_udf
 
+    trusted = Encoder(path, pattern, True).same_ids()
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, trusted)
         for column in batches:
             out = []
             for t in column.to_pylist():
-                ids = np.array([*enc.ids(t or ""), end], dtype="<u4")
+                ids = array("I", enc.ids(t or ""))
+                ids.append(end)
+                ids = np.frombuffer(ids, dtype=np.uint32).astype("<u4", copy=False)
                 row = []
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     raw = ids[start : start + length].tobytes()
