@@ -71,7 +71,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, starts): runs of texts of about ``limit`` bytes, never part of a text.
 
     A separator stands before and after each text; ``starts`` has where each text begins, and where one more would.
