@@ -12,23 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesper.llm import decontaminate, language_id, near_dedup, packing, pii
-from vesper.llm._session import fold, saved, ship, table
+from vesper.llm._session import fold, release, saved, ship, table
 from vesper.llm.queries import DEMO_KEY
 
+
 CAPACITY = 1024
 END = 2
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage begins when the one before is written: what that wrote for itself goes."""
+    ship(spark)
+    release(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; the others stay as they are."""
-    ship(spark)
+    _begin(spark)
     model = language_id.fit(docs.where(fold("doc_id", 5) != 0))
     return language_id.predict(docs, model, output="_language").where(~F.col("_language.rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of smallest key, and one row of it where rows repeat."""
-    ship(spark)
+    _begin(spark)
     found = near_dedup.near_duplicates(docs)
     same = F.col("doc_id").eqNullSafe(F.col("component"))
     kept = saved(found.where(same).groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
@@ -40,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ship(spark)
+    _begin(spark)
     leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     bad = saved(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
@@ -48,7 +55,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts get surrogates for personal data; n_chars follows the text."""
-    ship(spark)
+    _begin(spark)
     out = pii.replace(docs, DEMO_KEY, spans=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -57,7 +64,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    ship(spark)
+    _begin(spark)
     cut = packing.pieces(docs, F.col("text"), [F.col("doc_id")], path=str(public_tokenizers.path("byte_bpe_50k.json")), pattern=public_tokenizers.PATTERN, end=END, capacity=CAPACITY)
     return packing.pack(cut, CAPACITY)
 
@@ -78,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what a stage returns is written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
