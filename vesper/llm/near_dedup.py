@@ -214,7 +214,8 @@ def _swept(rows: DataFrame, depth: int, disjoint: bool, done: int, reach: int, t
 def _estimated(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree on ``least`` of the values at least; a pair at the threshold is 5 standard errors above."""
     first, second = (signs.select(F.col("node").alias(f"node_{s}"), F.col("sketch").alias(s)) for s in "xy")
-    both = pairs.join(first, F.col("a") == F.col("node_x")).join(second, F.col("b") == F.col("node_y"))
+    # merge joins here and below: pairs grow with the corpus, and the plan is the same at every size
+    both = pairs.hint("merge").join(first.hint("merge"), F.col("a") == F.col("node_x")).join(second.hint("merge"), F.col("b") == F.col("node_y"))
 
     def agree(x: pa.Array, y: pa.Array) -> pa.Array:
         if not len(x):
@@ -231,7 +232,7 @@ def _estimated(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked): the pairs with the answer of their full shingle sets."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
