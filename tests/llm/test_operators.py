@@ -265,6 +265,32 @@ def test_passages_cover_exact_repeats(spark):
     assert len(fuzzy) == 1 and fuzzy[0]["n_words"] >= 120 and 1 <= fuzzy[0]["edits"] <= 8
 
 
+def test_passages_with_edits_near_both_ends_and_twice_in_a_document(spark):
+    rows, want = [], {}
+    for i, (n, edits) in enumerate([(55, (2, 52)), (60, (3, 5, 56)), (60, (4, 54, 57)), (65, (1, 4, 60, 63)), (70, (3, 8, 12, 60, 66))]):
+        shared = prose(400 + i, n)
+        edited = [f"edit{k}" if k in edits else w for k, w in enumerate(shared.split())]
+        rows += [(10 * i + 400, f"{prose(500 + i, 30)} {shared} {prose(600 + i, 30)}", "en", "s"), (10 * i + 401, f"{prose(700 + i, 20)} {' '.join(edited)} {prose(800 + i, 20)}", "en", "s")]
+        want[10 * i + 400, 10 * i + 401] = n
+    twice = prose(900, 60)
+    rows += [(900, f"{prose(901, 30)} {twice} {prose(902, 30)}", "en", "s"), (901, f"{prose(903, 25)} {twice} {prose(904, 25)} {twice} {prose(905, 25)}", "en", "s")]
+    rows += [(902, f"{prose(906, 25)} {twice} {prose(907, 25)} {twice} {prose(908, 25)}", "en", "s")]
+    got = substring_dedup.passages(table(spark, rows)).collect()
+    for pair, n in want.items():
+        found = [r for r in got if r["doc_id"] in pair and r["role"] == "repeat"]
+        assert len(found) == 1 and n - 4 <= found[0]["n_words"] <= n + 4 and found[0]["edits"] >= 1, (pair, found)
+    for i in (901, 902):
+        for start in (25, 110):
+            assert any(r["doc_id"] == i and r["start_word"] <= start and start + 60 <= r["end_word"] for r in got), (i, start)
+
+
+def test_ends_are_drawn_out_through_edits():
+    words = list(range(40))
+    assert substring_dedup.ends(words, words) == [(0, 40, 40)]
+    assert substring_dedup.ends(words, [*words[:5], -1, *words[6:9], *words[10:], *range(90, 99)])[-1] == (2, 40, 39)
+    assert substring_dedup.ends(words, list(range(50, 90)))[-1] == (0, 0, 0)
+
+
 def test_fenwick_chain_is_a_best_chain():
     r = random.Random(5)
     for _ in range(60):

@@ -2,13 +2,15 @@
 
 1. Seeds: of the hashed k-mers of words (lower-cased ASCII, letters and digits), the minimizers of every
    window of ``window`` k-mers. Any run of ``k + window - 1`` equal words has a common seed.
-2. Join: each seed occurrence meets the seed's first document, the one of smallest identity, alone. A seed
-   that a third of all documents hold makes as many pairs as it has occurrences, never all pairs.
+2. Join: each seed occurrence meets the seed's first document, the one of smallest identity, alone: the
+   place of the same turn there, and a later occurrence the first place too. A seed that a third of all
+   documents hold makes at most twice as many pairs as it has occurrences, never all pairs.
 3. Chains: per document and first document, seeds of one diagonal become anchors, and anchors are chained
    in both texts' order; a Fenwick tree over the second text's places gives each anchor its best
    predecessor under a linear gap cost.
-4. Alignment: between and around its anchors a chain is aligned word by word; it is kept with enough
-   words and few enough edits.
+4. Alignment: between its anchors a chain is aligned word by word, and beyond its outermost ones as far as
+   edits and equal words keep within a bounded drop of the best end; it is kept with enough words and few
+   enough edits.
 5. Passages: the kept intervals of a document are merged, whatever first documents they have, and those of
    ``least`` words or more are the result; so a passage put together from parts of several first documents
    is found whole. First documents get rows of their own.
@@ -33,10 +35,13 @@ from ._session import saved
 
 K = 6
 WINDOW = 12
-MARGIN = 32
+#: Words around a chain that its ends may be drawn out over; the least words of a passage if those are more.
+MARGIN = 64
 GRAIN = 64
 MAX_GAP = 40
 GAP_COST = 0.2
+#: How far an end's words less two for each edit may fall under the best before it is given up.
+DROP = 8
 
 
 def hashed_words(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -62,16 +67,31 @@ def minimizers(hashes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np
     return at, grams[at]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch["did"].to_pylist()
-        out_h, out_d, out_p = [], [], []
-        for did, hashes in zip(ids, hashed_words(byte_texts(batch["text"]))):
-            at, grams = minimizers(hashes)
-            out_h.append(numbered(grams).view(np.int64)), out_p.append(at)
-            out_d.append(np.full(len(at), did, dtype=np.int64))
-        if out_h:
-            yield pa.record_batch([pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_p).astype(np.int32))], names=["h", "did", "pos"])
+def _seeds(every: bool):
+    """Numbered seeds; with ``every``, later occurrences besides under the hash of the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["did"].to_pylist()
+            out_h, out_d, out_p = [], [], []
+            for did, hashes in zip(ids, hashed_words(byte_texts(batch["text"]))):
+                at, grams = minimizers(hashes)
+                own = numbered(grams)
+                if every and len(later := repeated(at, grams)):
+                    own, at = np.concatenate([own, grams[later]]), np.concatenate([at, at[later]])
+                out_h.append(own.view(np.int64)), out_p.append(at)
+                out_d.append(np.full(len(at), did, dtype=np.int64))
+            if out_h:
+                yield pa.record_batch([pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_p).astype(np.int32))], names=["h", "did", "pos"])
+
+    return run
+
+
+def repeated(at: np.ndarray, grams: np.ndarray, near: int = K + WINDOW) -> np.ndarray:
+    """Which seeds have come before in the text, ``near`` words before or more: a run of one repeated word is met at its begin, and drawn out from there."""
+    order = np.argsort(grams, kind="stable")
+    same = np.flatnonzero(grams[order][1:] == grams[order][:-1]) + 1
+    return np.sort(order[same[at[order[same]] - at[order[same - 1]] >= near]])
 
 
 def numbered(grams: np.ndarray) -> np.ndarray:
@@ -153,11 +173,40 @@ def _distance(s: list, t: list) -> int:
     return row[-1]
 
 
-def align(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(begin, end, begin in other, end in other, edits) of the anchors' chain, its ends drawn out over equal words."""
+def ends(s: list, t: list, drop: int = DROP) -> list[tuple[int, int, int]]:
+    """(edits, words of s, words of t) of the ends, on equal words, of alignments from both lists' begins: the farthest
+    with no edit, then with more edits as long as they lead farther, up to the one of most words less two for each edit."""
+    far, out, best, edits = {0: 0}, [(0, 0, 0)], 0, 0
+    while far:
+        top = out[-1]
+        for d, start in far.items():  # on each diagonal the farthest place
+            i = start
+            while i < len(s) and i - d < len(t) and s[i] == t[i - d]:
+                i += 1
+            far[d] = i
+            if i > start and i > top[1]:
+                top = (edits, i, i - d)
+        if top is not out[-1]:
+            out = out + [top] if edits else [top]
+            best = max(best, top[1] - 2 * edits)
+        after: dict[int, int] = {}
+        for d, i in far.items():
+            if i - 2 * edits <= best - drop:
+                continue
+            if i < len(s):
+                after[d + 1] = max(after.get(d + 1, 0), i + 1)
+                if i - d < len(t):
+                    after[d] = max(after.get(d, 0), i + 1)
+            if i - d < len(t):
+                after[d - 1] = max(after.get(d - 1, 0), i)
+        far, edits = after, edits + 1
+    last = max(range(len(out)), key=lambda k: (out[k][1] - 2 * out[k][0], k))
+    return out[: last + 1]
+
+
+def align(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int, int]], identity: float = 0.8) -> tuple[int, int, int, int, int]:
+    """(begin, end, begin in other, end in other, edits) of the anchors' chain, its ends drawn out to the most words that ``identity`` allows."""
     a, b, _ = anchors[0]
-    while a and b and own[a - 1] == other[b - 1]:
-        a, b = a - 1, b - 1
     i, j, edits = a, b, 0
     for p, q, m in anchors:
         cut = max(0, i - p, j - q)
@@ -168,16 +217,19 @@ def align(own: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int, int]
         m = min(m, len(own) - p, len(other) - q)
         edits += int((own[p : p + m] != other[q : q + m]).sum())
         i, j = p + m, q + m
-    n = min(len(own) - i, len(other) - j)
-    differ = np.flatnonzero(own[i : i + n] != other[j : j + n])
-    n = int(differ[0]) if len(differ) else n
-    return a, i + n, b, j + n, edits
+    before, after = ends(own[:a][::-1].tolist(), other[:b][::-1].tolist()), ends(own[i:].tolist(), other[j:].tolist())
+    words = lambda x, y: i - a + x[1] + y[1]
+    x, y = before[-1], after[-1]
+    if edits + x[0] + y[0] > (1 - identity) * words(x, y):
+        good = [(x, y) for x in before for y in after if edits + x[0] + y[0] <= (1 - identity) * words(x, y)]
+        x, y = max(good, key=lambda pair: words(*pair), default=(before[0], after[0]))
+    return a - x[1], i + y[1], b - x[2], j + y[2], edits + x[0] + y[0]
 
 
 _CHAIN = "did bigint, rep bigint, x0 int, x1 int, y0 int, y1 int, anchors binary"
 
 
-def _chained(smallest: int):
+def _chained(smallest: int, margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         x: list[int] = []
@@ -185,12 +237,12 @@ def _chained(smallest: int):
         rows: list[tuple] = []
 
         def close() -> None:
-            if held is None or len(x) < 2 and K < smallest // 4:
+            if held is None:
                 return
             for chain in chains(x, y):
                 x0, x1 = chain[0][0], chain[-1][0] + chain[-1][2]
                 y0, y1 = chain[0][1], chain[-1][1] + chain[-1][2]
-                if x1 - x0 + WINDOW * 2 >= smallest:
+                if x1 - x0 + margin * 2 >= smallest:
                     rows.append((*held, x0, x1, y0, y1, np.array(chain, dtype=np.int32).tobytes()))
 
         def emit() -> pa.RecordBatch:
@@ -230,15 +282,19 @@ def _sliced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(out, kind)
 
 
-def _aligned(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    kind = pa.struct([(n, pa.int32()) for n in ("x0", "x1", "y0", "y1", "edits")])
-    for own, lo, other, rlo, anchors in batches:
-        out = []
-        for s, a, t, b, c in zip(own.to_pylist(), lo.to_pylist(), other.to_pylist(), rlo.to_pylist(), anchors.to_pylist()):
-            chain = np.frombuffer(c, dtype=np.int32).reshape(-1, 3) - np.array([a, b, 0], dtype=np.int32)
-            x0, x1, y0, y1, edits = align(np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32), [tuple(r) for r in chain.tolist()])
-            out.append({"x0": x0 + a, "x1": x1 + a, "y0": y0 + b, "y1": y1 + b, "edits": edits})
-        yield pa.array(out, kind)
+def _aligned(identity: float):
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        kind = pa.struct([(n, pa.int32()) for n in ("x0", "x1", "y0", "y1", "edits")])
+        for own, lo, other, rlo, anchors in batches:
+            out = []
+            for s, a, t, b, c in zip(own.to_pylist(), lo.to_pylist(), other.to_pylist(), rlo.to_pylist(), anchors.to_pylist()):
+                chain = np.frombuffer(c, dtype=np.int32).reshape(-1, 3) - np.array([a, b, 0], dtype=np.int32)
+                x0, x1, y0, y1, edits = align(np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32), [tuple(r) for r in chain.tolist()], identity)
+                out.append({"x0": x0 + a, "x1": x1 + a, "y0": y0 + b, "y1": y1 + b, "edits": edits})
+            yield pa.array(out, kind)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return run
 
 
 def _merged(least: int, near: int = 2):
@@ -273,16 +329,18 @@ def passages(df: DataFrame, text: str = "text", key: str = "doc_id", *, least: i
 
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key).isNull(), key, text).alias("did"))
-    seeds = rows.select("did", "text").where("text is not null").mapInArrow(_seeds, "h bigint, did bigint, pos int")
+    margin = max(MARGIN, least)
+    texts = rows.select("did", "text").where("text is not null")
+    seeds, every = (texts.mapInArrow(_seeds(e), "h bigint, did bigint, pos int") for e in (False, True))
     # a document has a numbered seed once; repeated rows have it twice, at the same place
     canon = seeds.groupBy("h").agg(F.min("did").alias("rep"), F.max("did").alias("most"), F.min_by("pos", "did").alias("rpos")).where("rep <> most").drop("most")
     canon = saved(canon, "seeds")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = seeds.select("h", "did", "pos").join(canon, "h").where("did <> rep").select("did", "rep", "pos", "rpos")
+    pairs = every.select("h", "did", "pos").join(canon, "h").where("did <> rep").select("did", "rep", "pos", "rpos")
     ordered = pairs.repartition(parts, "did", "rep").sortWithinPartitions("did", "rep", "pos")
-    found = ordered.mapInArrow(_chained(smallest), _CHAIN)
-    lo = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN).cast("int")
-    found = found.select("did", "rep", "anchors", lo("x0").alias("lo"), (F.col("x1") + MARGIN).cast("int").alias("hi"), (F.floor(lo("y0") / GRAIN) * GRAIN).cast("int").alias("rlo"), (F.ceil((F.col("y1") + MARGIN) / GRAIN) * GRAIN).cast("int").alias("rhi"))
+    found = ordered.mapInArrow(_chained(smallest, margin), _CHAIN)
+    lo = lambda c: F.greatest(F.lit(0), F.col(c) - margin).cast("int")
+    found = found.select("did", "rep", "anchors", lo("x0").alias("lo"), (F.col("x1") + margin).cast("int").alias("hi"), (F.floor(lo("y0") / GRAIN) * GRAIN).cast("int").alias("rlo"), (F.ceil((F.col("y1") + margin) / GRAIN) * GRAIN).cast("int").alias("rhi"))
     found = saved(found, "chains")
     # each range of a document once, however many chains want it
     asked = found.select("did", "lo", "hi").union(found.select("rep", "rlo", "rhi")).distinct().groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
@@ -293,8 +351,7 @@ def passages(df: DataFrame, text: str = "text", key: str = "doc_id", *, least: i
     cut = saved(cut, "slices")
     own = found.join(cut.select("did", "lo", "hi", F.col("words").alias("own")), ["did", "lo", "hi"])
     both = own.join(cut.select(F.col("did").alias("rep"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("words").alias("other")), ["rep", "rlo", "rhi"])
-    _aligned.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    got = both.select("did", "rep", arrow_udf(_aligned, "struct<x0:int,x1:int,y0:int,y1:int,edits:int>")("own", "lo", "other", "rlo", "anchors").alias("p")).select("did", "rep", "p.*")
+    got = both.select("did", "rep", arrow_udf(_aligned(identity), "struct<x0:int,x1:int,y0:int,y1:int,edits:int>")("own", "lo", "other", "rlo", "anchors").alias("p")).select("did", "rep", "p.*")
     got = saved(got.where((F.col("x1") - F.col("x0") >= smallest) & (F.col("edits") <= (1 - identity) * (F.col("x1") - F.col("x0")))), "aligned")
     keys = cut.select("did", "key").distinct()
     later = got.select("did", F.lit("repeat").alias("role"), "x0", "x1", "edits", "rep").distinct()
