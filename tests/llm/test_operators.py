@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import random
 import struct
@@ -173,6 +174,21 @@ def test_language_rejects_what_it_has_not_seen(spark, documents):
     assert got[1]["rejected"] and got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[3]["score"] == 0
 
 
+def test_language_rejects_gibberish_and_unlearned_latin_languages(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model, r = language_id.fit(docs), random.Random(8)
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa "
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä "
+    odd = []
+    for n in (200, 500, 2000):
+        odd += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), base64.b64encode(r.randbytes(n)).decode()[:n], (polish * 20)[:n], (finnish * 20)[:n]]
+    got = {r["doc_id"]: r["language"] for r in language_id.predict(table(spark, [(i, t, None, "s") for i, t in enumerate(odd)]), model).collect()}
+    assert all(got[i]["rejected"] for i in range(len(odd))), got
+    clean = [" ".join(x["text"].split()[:n]) for x in docs.where("lang is not null and length(text) > 400").orderBy("doc_id").limit(60).collect() for n in (6, 20, 60)]
+    kept = language_id.predict(table(spark, [(i, t, None, "s") for i, t in enumerate(clean)]), model).where("not language.rejected").count()
+    assert kept >= 0.98 * len(clean)
+
+
 # ---- 5
 
 

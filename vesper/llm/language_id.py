@@ -105,6 +105,18 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, least: float = 0.04)
     return c
 
 
+def _held_out(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, centroids: int, rounds: int, seed: int) -> np.ndarray:
+    """The cosine of each text with its nearest centroid of a fit without it: of the other half, where that has its language."""
+    out, half = (x @ vectors.T).max(axis=1), np.arange(len(x)) % 2
+    for h in (0, 1):
+        names = [name for name in np.unique(y) if ((y == name) & (half != h)).any()]
+        if names:
+            other = np.concatenate([_kmeans(x[(y == name) & (half != h)], centroids, rounds, seed) for name in names])
+            asked = (half == h) & np.isin(y, names)
+            out[asked] = (x[asked] @ other.T).max(axis=1)
+    return out
+
+
 def fit(
     labelled: DataFrame,
     text: str = "text",
@@ -115,15 +127,16 @@ def fit(
     bits: int = 12,
     centroids: int = 4,
     rounds: int = 8,
-    slack: float = 0.4,
-    most: float = 0.1,
+    slack: float = 0.5,
+    low: float = 0.02,
     seed: int = 7,
 ) -> Centroids:
     """Fit on at most ``max_rows`` labelled rows, spread evenly over the languages.
 
     The bound is on this fit alone: rows are drawn by the hash of key and text, per language. What is
     brought to the driver is at most ``max_rows`` vectors of 2**bits small counts. Per text length, the
-    rejection floor is ``slack`` times the smallest cosine that a fitted text reached, ``most`` at most.
+    rejection floor is ``slack`` times the ``low`` quantile of the cosines that texts of the fit reach with
+    centroids of the other half of them.
     """
     rows = labelled.select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("y is not null and t is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -151,15 +164,19 @@ def fit(
     languages = [name for name in languages if (y == name).any()]
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     model = Centroids(languages, owner, np.concatenate(parts).astype(np.float32), idf, np.zeros(24))
-    near, bins = (x @ model.vectors.T).max(axis=1), np.array([_length_bin(n) for n in raw.sum(axis=1)])
-    floors = np.full(24, np.nan)
-    for b in range(24):
-        if (bins == b).sum() >= 20:
-            floors[b] = min(most, slack * near[bins == b].min())
-    # a length unseen in the fit takes the floor of the nearest shorter one, the shortest ones half of the least
-    last = 0.0 if np.isnan(floors).all() else float(np.nanmin(floors)) / 2
-    for b in range(24):
-        floors[b] = last = last if np.isnan(floors[b]) else floors[b]
+    near, bins = _held_out(x, y, model.vectors, centroids, rounds, seed), np.array([_length_bin(n) for n in raw.sum(axis=1)])
+    own = [near[bins == b] for b in range(24)]
+    enough = [b for b in range(24) if len(own[b]) >= 20]
+    floors = np.zeros(24)
+    for b in range(24) if enough else ():
+        if b in enough:
+            floors[b] = slack * np.quantile(own[b], low)
+            continue
+        # a length with few texts takes the floor of the nearest shorter one; under the shortest, where cosines fall
+        # with the root of the length, the floor does so; the few texts themselves stay
+        floors[b] = floors[b - 1] if b > enough[0] else slack * np.quantile(own[enough[0]], low) * 2 ** ((b - enough[0]) / 2)
+        if len(own[b]):
+            floors[b] = min(floors[b], slack * own[b].min())
     model.floors = floors
     return model
 
