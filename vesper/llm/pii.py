@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
 Detected are e-mail and network addresses, telephone, card, account and identity numbers, and names of
-persons (a title or a known given name, with the capitalised words after it). Every replacement is a
+persons (a title or a known given name, with all capitalised words after it, and these words wherever else
+the text has them, so that no bare mention stays). Every replacement is a
 keyed permutation of the values of one form, so two different values never get the same surrogate and
 one value always gets the same one, in every document and in any partition, without any shared table:
 
@@ -62,6 +63,7 @@ _LOCAL = re.compile(r"\d{3}[ .-]\d{4}")
 _DATE = re.compile(r"(?:\d{4}[-. ]\d{1,2}[-. ]\d{1,2}|\d{1,2}[-. ]\d{1,2}[-. ]\d{4})(?!\d)")
 _LONG = re.compile(r"(?<![A-Za-z0-9])\d{9,}(?![A-Za-z0-9])")
 _CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]+")
+_INSIDE = re.compile(r"\w")
 _AFTER = re.compile(r"\.? (?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ])")
 
 
@@ -241,20 +243,24 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _persons(text: str, put) -> None:
-    last = -1
+    last, known = -1, set()
     for m in _CAPITALISED.finditer(text):
         if m.start() < last or not (m[0] in _GIVEN or m[0] in TITLES):
             continue
         words, end = [], m.end()
         if m[0] in _GIVEN:
             words.append((m.start(), m.end(), m[0]))
-        while len(words) < 3 and (gap := _AFTER.match(text, end)) and (w := _CAPITALISED.match(text, gap.end())) and ("." not in gap[0] or not words):
+        while (gap := _AFTER.match(text, end)) and (w := _CAPITALISED.match(text, gap.end())) and ("." not in gap[0] or not words):
             words.append((*w.span(), w[0]))
             end = w.end()
         if m[0] in TITLES or len(words) > 1:  # a given name alone may be another word
             for s, e, w in words:
                 put(s, e, "given" if w in _GIVEN else "surname", w)
+                known.add(w)
             last = end
+    for m in _CAPITALISED.finditer(text) if known else ():  # bare mentions, before or after
+        if m[0] in known and not _INSIDE.match(text[m.start() - 1 : m.start()]) and not _INSIDE.match(text, m.end()):
+            put(*m.span(), "given" if m[0] in _GIVEN else "surname", m[0])
 
 
 def _surrogate(keyed: Keyed, text: str, entity: tuple[int, int, str, str], again: dict) -> str:
