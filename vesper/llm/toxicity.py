@@ -138,7 +138,7 @@ def fit(
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_bags(t, bits, window) for t in _lowered(batch["t"].to_pylist())]
-            yield pa.record_batch([batch["k"].cast(pa.string()), batch["y"], pa.array([c.astype(np.uint32).tobytes() for c, _ in got], pa.binary()), pa.array([n.astype(np.uint16).tobytes() for _, n in got], pa.binary())], names=["k", "y", "codes", "sizes"])
+            yield pa.record_batch([batch["k"].cast(pa.string()), batch["y"], pa.array([c.astype(np.uint32).tobytes() for c, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["k", "y", "codes", "sizes"])
 
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k").select("k", "y", "t")
     got = texts.mapInArrow(bags, "k string, y int, codes binary, sizes binary").collect()
@@ -153,8 +153,9 @@ def fit(
 def _train(got: list, rate: float, bits: int, dim: int, window: int, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     codes = np.concatenate([np.frombuffer(r["codes"], np.uint32) for r in got])
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint16) for r in got]).astype(np.int64)
-    lengths = np.array([len(r["sizes"]) // 2 for r in got])
+    sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in got]).astype(np.int64)
+    lengths = np.array([len(r["sizes"]) // 4 for r in got])
+    assert sizes.sum() == len(codes)
     y = np.array([r["y"] for r in got], dtype=np.float64)
     word_at = np.concatenate([[0], np.cumsum(sizes)])  # of each word, its first code
     # windows one after the other: owner text, first word, words
