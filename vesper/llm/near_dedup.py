@@ -41,8 +41,8 @@ REACH = 3
 
 #: Depth, orders and reach of each sweep; the first forest's orders are disjoint parts of the signature.
 SWEEPS = ((4, 32, REACH), (4, 32, 48), (4, 32, 384), (4, 32, 3072), (8, 256, 384), (12, 768, 3072))
-#: How far under the threshold the agreement of signatures may be for a pair to be confirmed on its sets: 5.2 standard errors at first, 3.5 in the wide sweeps.
-FIRST_LEAST, WIDE_LEAST = 0.14, 0.095
+#: How far under the threshold the agreement of signatures may be for a pair to be confirmed on its sets, in every sweep: 5.2 standard errors.
+FIRST_LEAST = 0.14
 #: Values that follow the least depth in a label, for the order within a region.
 FOLLOWING = 4
 
@@ -289,7 +289,7 @@ def linked_components(classes: DataFrame, rows: DataFrame, parts: int, percent:
         depth, trees, reach = SWEEPS[min(level, len(SWEEPS) - 1)]
         if level >= len(SWEEPS):
             wider *= 8
-        least = threshold - (WIDE_LEAST if level else FIRST_LEAST)
+        least = threshold - FIRST_LEAST
         if opened is None:
             sorted_ = forest(classes.withColumn("c", F.col("node")), depth, trees)
         elif depth == before:
