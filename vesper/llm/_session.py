@@ -1,9 +1,12 @@
-"""Session helpers: the shared checkpoint folder, and reading of input tables."""
+"""Session helpers: the shared checkpoint folder, tables that operators write for themselves, and reading of input tables."""
 
 from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,53 +25,65 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Tables that operators have written for themselves and not dropped yet.
-_own: set[str] = set()
+#: The tables of the innermost scope; None outside of any.
+_scope: ContextVar[set | None] = ContextVar("own tables", default=None)
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The same rows as a Parquet table of the shared folder, so that later scans prune columns.
 
-    Unless it is to be kept, ``drop`` or ``release`` deletes it once what was made of it is consumed.
+    Unless it is to be kept, it goes with ``drop``, with ``release`` of its scope, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if not keep:
-        _own.add(path)
+        target, files = _path(spark, path)
+        files.deleteOnExit(target)
+        if (own := _scope.get()) is not None:
+            own.add(path)
         out._own_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing unfinished reads any more."""
     for df in tables:
-        path = getattr(df, "_own_path", None)
-        if path in _own:
-            _own.remove(path)
-            _delete(df.sparkSession, path)
-
-
-def swept_up(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which else stay until the driver's garbage is collected."""
+        if path := getattr(df, "_own_path", None):
+            target, files = _path(df.sparkSession, path)
+            files.delete(target, True)
+            if (own := _scope.get()) is not None:
+                own.discard(path)
+
+
+@contextmanager
+def scope() -> Iterator[set]:
+    """Collects the tables that operators called within write for themselves, and no others; give the set to ``release``
+    once what was made of them is written."""
+    own: set[str] = set()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, own: set) -> None:
+    """Delete a scope's tables; shuffle files of finished jobs go as well, which else stay until the driver's garbage is collected."""
+    for path in own:
+        target, files = _path(spark, path)
+        files.delete(target, True)
+    own.clear()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that operators have written for themselves: for between jobs whose results are written."""
-    for path in _own:
-        _delete(spark, path)
-    _own.clear()
-    swept_up(spark)
-
-
 #: Rows of an Arrow batch where the session leaves Spark's default: whole texts, some very long, go to Python.
 BATCH_ROWS = 1000
 

@@ -1,18 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity, bulk-synchronously.
 
 Documents are tokenised, ended with the end id, and only longer ones are cut, into full pieces after a
-shorter first one. Pieces and gaps are kept in sorted order, longest piece and smallest gap first. In
-each superstep the longest pieces that are left look for their successor, the smallest gap that holds
-them; pieces that want the same gaps are told apart by rank; gaps are updated; where no gap holds
-them, new sequences are opened. That is repeated until every piece has its place: best-fit decreasing.
-
-As lengths and gaps are integers up to the capacity, the sorted orders have at most ``capacity`` runs
-of equal values, at any corpus size. The supersteps therefore sweep over runs (length, count) instead
-of over rows: one sweep places all pieces of a run at once, and the plan they make is a bounded table
-of rank intervals. What is distributed is what grows: tokenising, the ranks of all pieces within
-their length, and the join of ranks with the plan. A rank is the count of equal lengths in earlier
-partitions plus the place within the partition, so a length that a third of all rows have makes no
-task larger than another.
+shorter first one. Then supersteps repeat until every piece has its place:
+
+1. Range sort: pieces and gaps (what is left of open sequences) are range-partitioned and sorted together by size,
+   largest first, a gap before a piece of the same size.
+2. Successor sweep: a piece takes the smallest gap before it that no larger piece has taken, as a closing
+   bracket takes the last open one; every partition does that for itself.
+3. Conflicts by rank: pieces that found no gap in their partition want the gaps left over in earlier ones. Two
+   numbers of each partition tell which ranks of pieces meet which ranks of gaps; they are joined on those ranks.
+4. Update: gaps shrink by what they took. Where a sweep placed nothing, no gap holds any piece that is left: as many
+   sequences as their tokens need at least are opened by the largest of them.
+
+At first every piece of more than half the capacity opens a sequence, as no two of those can share one. Full pieces
+are sequences of their own from the start. A sequence is named by the piece that opened it.
+Where a quarter of the pieces or more are under a 32nd of the capacity, such pieces are first put together, in
+sorted order, into bundles of up to a 16th, so that the number of supersteps doesn't grow with the pieces a sequence holds.
+
+Each superstep's table is written to the shared folder, so that lineage is one superstep long. Partitions are bounded in
+rows. A size that a third of all rows have is split over partitions, as pieces of one size are sorted by number.
 
 Defined results: null and empty texts have one piece, the end id alone. Repeated rows are packed each.
 Null keys are kept. An empty table gives an empty result.
@@ -20,78 +26,21 @@ Null keys are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 import zlib
-from array import array
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import saved
-
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-class Encoder:
-    """Ids of a byte-level BPE file of the tokenizers library.
-
-    Merging is done by the tiktoken library on the file's own vocabulary, which is several times as
-    fast and gives the same ids; ``same_ids`` compares both on a probe, once on the driver, so that workers
-    load the second one only where it is needed. Texts that hold one of the file's special tokens, and files that aren't byte-level BPE of this kind, go to the file's own library.
-    """
-
-    PROBE = "It's  a\tprobe,\n\n of 12345 naïve — “quotes”, Überß ñandú, 日本語 😀 and   runs...   "
-
-    def __init__(self, path: str, pattern: str, trusted: bool) -> None:
-        import tiktoken
-
-        self.path, self._own = path, None
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.fast = None
-        try:
-            back = _byte_of_char()
-            ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if trusted else None
-        except (KeyError, ValueError):
-            pass
-
-    @property
-    def own(self):
-        if self._own is None:
-            from tokenizers import Tokenizer
+from ._session import drop, saved, ship
+from .byte_bpe import Encoder, encoder
 
-            self._own = Tokenizer.from_file(self.path)
-        return self._own
-
-    def same_ids(self) -> bool:
-        return self.fast is not None and self.fast.encode_ordinary(self.PROBE) == self.own.encode(self.PROBE, add_special_tokens=False).ids
-
-    def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s[:2] in text and s in text for s in self.special):
-            return self.own.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
-
-
-def _byte_of_char() -> dict[str, int]:
-    """Byte-level BPE files write each byte as a printable character: itself where it is one, else the next from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): b for b in printable}
-    out.update({chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))})
-    return out
-
-
-def encoder(path: str, pattern: str, trusted: bool) -> Encoder:
-    if (path, trusted) not in _encoders:
-        _encoders[path, trusted] = Encoder(path, pattern, trusted)
-    return _encoders[path, trusted]
+#: Rows of a partition of a superstep, about.
+ROWS = 1 << 15
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -109,122 +58,204 @@ def pieces(df: DataFrame, text: Column, keep: list[Column], *, path: str, patter
     """A row per piece: the ``keep`` columns, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
     from pyspark.sql.functions import arrow_udf
 
+    ship(df.sparkSession)
     trusted = Encoder(path, pattern, True).same_ids()
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
+    names, kinds = ["piece", "start", "length", "ids_crc32", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern, trusted)
         for column in batches:
-            out = []
-            for t in column.to_pylist():
-                ids = array("I", enc.ids(t or ""))
-                ids.append(end)
-                ids = np.frombuffer(ids, dtype=np.uint32).astype("<u4", copy=False)
-                row = []
+            rows: list[tuple] = []
+            offsets = [0]
+            for ids in enc.all_ids([t or "" for t in column.to_pylist()]):
+                ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     raw = ids[start : start + length].tobytes()
-                    row.append({"piece": k, "start": start, "length": length, "ids_crc32": zlib.crc32(raw), "ids": raw if with_ids else None})
-                out.append(row)
-            yield pa.array(out, kind)
+                    rows.append((k, start, length, zlib.crc32(raw), raw if with_ids else None))
+                offsets.append(len(rows))
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names))
 
     cut.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     got = df.select(*keep, arrow_udf(cut, T.ArrayType(PIECES))(text).alias("_cut"))
     return got.select(*[c for c in got.columns if c != "_cut"], F.explode("_cut").alias("_p")).select("*", "_p.*").drop("_p", *([] if with_ids else ["ids"]))
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Where ``counts`` pieces of each length go: (length, first rank, pieces, first sequence, offset).
-
-    Ranks [first, first + pieces) of the length go to as many sequences from the first one on, at the
-    offset. Groups of sequences with the same gap are runs; a sweep takes the largest length left and
-    the smallest gap that holds it, and splits the run where pieces or sequences end.
-    """
-    moves: list[tuple[int, int, int, int, int]] = []
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap: runs of (first sequence, sequences)
-    gaps: list[int] = []  # sorted gaps that have runs
-    opened = 0
-
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap <= 0:
-            return
-        if not runs[gap]:
-            insort(gaps, gap)
-        runs[gap].append(run)
-
-    for length in sorted((n for n in counts if counts[n]), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                # no gap holds it: as many as a new sequence takes of this length, so that one step does for all
-                per = min(capacity // length, left)
-                fresh = left // per
-                for j in range(per):
-                    moves.append((length, rank, fresh, opened, j * length))
-                    rank += fresh
-                put(capacity - per * length, (opened, fresh))
-                opened, left = opened + fresh, left - per * fresh
+def brackets(opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of opening and closing brackets: the places of pairs (openings, closings), of the closings and of the openings left over."""
+    level = np.cumsum(np.where(opening, 1, -1))
+    lowest = np.minimum.accumulate(np.minimum(level, 0)) if len(level) else level
+    alone = ~opening & (level < np.concatenate([[0], lowest[:-1]])) if len(level) else opening
+    depth = np.where(opening, level, level + 1) - lowest
+    at = np.flatnonzero(~alone)
+    at = at[np.argsort(depth[at], kind="stable")]
+    # on one depth openings and closings take turns
+    pair = np.flatnonzero(opening[at[:-1]] & ~opening[at[1:]] & (depth[at[:-1]] == depth[at[1:]])) if len(at) else at
+    first, second = at[pair], at[pair + 1]
+    left = opening.copy()
+    left[first] = False
+    return first, second, np.flatnonzero(alone), np.flatnonzero(left)
+
+
+_STEP = "state int, id bigint, size bigint, sequence bigint, gap bigint, part int, rank bigint"
+PLACED, WAITING, OPEN = 0, 1, 2
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and left-overs of one partition's sorted pieces and gaps; the last gap left over has rank 0."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    size, piece, name = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in got]) for c in ("size", "piece", "id"))
+    first, second, waiting, left = brackets(~piece)
+    left = left[::-1]
+    own = TaskContext.get().partitionId()
+
+    def rows(state: int, at: np.ndarray, gaps: np.ndarray) -> pa.RecordBatch:
+        n = max(len(at), len(gaps))
+        none = pa.nulls(n, pa.int64())
+        columns = [pa.array(name[at]), pa.array(size[at])] if len(at) else [none, none]
+        columns += [pa.array(name[gaps]), pa.array(size[gaps])] if len(gaps) else [none, none]
+        return pa.record_batch([pa.array(np.full(n, state, np.int32)), *columns, pa.array(np.full(n, own, np.int32)), pa.array(np.arange(n))], names=["state", "id", "size", "sequence", "gap", "part", "rank"])
+
+    none = np.zeros(0, np.int64)
+    for state, at, gaps in ((PLACED, second, first), (WAITING, waiting, none), (OPEN, none, left)):
+        if len(at) or len(gaps):
+            yield rows(state, at, gaps)
+
+
+def meetings(waiting: dict[int, int], left: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """Which ranks of pieces of a partition meet which ranks of gaps of another: (part, first rank, pieces, gaps' part, first
+    rank of them), and how many gaps of each partition are taken. At most two entries for each partition."""
+    stack: list[tuple[int, int]] = []
+    out, taken = [], {}
+    for part in sorted({*waiting, *left}):
+        rank, n = 0, waiting.get(part, 0)
+        while n and stack:
+            other, rest = stack.pop()
+            m = min(n, rest)
+            out.append((part, rank, m, other, taken.get(other, 0)))
+            taken[other] = taken.get(other, 0) + m
+            rank, n = rank + m, n - m
+            if rest > m:
+                stack.append((other, rest - m))
+        if left.get(part):
+            stack.append((part, left[part]))
+    return out, taken
+
+
+def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of integers, made by the JVM."""
+    names = [c.split()[0] for c in schema.split(",")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast("bigint").alias(c) for c in names])
+    said = ",".join("(" + ",".join("cast(null as bigint)" if v is None else f"{v}L" for v in row) + ")" for row in rows)
+    return spark.sql(f"select * from values {said} as t({', '.join(names)})")
+
+
+def _bundled(left: DataFrame, capacity: int, parts: int) -> DataFrame:
+    """(id, item, inner, size): pieces under a 32nd of the capacity in bundles, named by their first one, the others alone."""
+    width = capacity // 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, first, first_at = 0, None, 0
+        for b in batches:
+            ids, sizes = b["id"].to_numpy(), b["size"].to_numpy()
+            if not len(ids):
                 continue
-            gap = gaps[at]
-            first, size = runs[gap].pop()
-            if not runs[gap]:
-                gaps.pop(at)
-            # a sequence takes one more piece of this length as long as its gap holds it
-            per = min(gap // length, left)
-            used = min(size, left // per)
-            for j in range(per):
-                moves.append((length, rank, used, first, capacity - gap + j * length))
-                rank += used
-            left -= per * used
-            put(gap - per * length, (first, used))
-            if used < size:
-                put(gap, (first + used, size - used))
-    return moves
+            start = before + np.cumsum(sizes) - sizes
+            slot = start // width
+            fresh = np.concatenate([[first is None or slot[0] != first_at // width], slot[1:] != slot[:-1]])
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), -1))
+            item = np.where(at >= 0, ids[at], first if first is not None else 0)
+            begin = np.where(at >= 0, start[at], first_at)
+            yield pa.record_batch([b["id"], pa.array(item), pa.array(start - begin), b["size"]], names=["id", "item", "inner", "size"])
+            before, first, first_at = int(start[-1] + sizes[-1]), int(item[-1]), int(begin[-1])
+
+    small = left.where(F.col("size") < width).repartitionByRange(parts, F.col("size").desc(), "id").sortWithinPartitions(F.col("size").desc(), "id")
+    alone = left.where(F.col("size") >= width).select("id", F.col("id").alias("item"), F.lit(0).cast("bigint").alias("inner"), "size")
+    return small.mapInArrow(run, "id bigint, item bigint, inner bigint, size bigint").unionByName(alone)
+
+
+def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
+    """(id, sequence, offset) of every item, of sizes under the capacity."""
+    spark = items.sparkSession
+    half = 2 * F.col("size") > capacity
+    opened = items.select("id", F.col("id").alias("sequence"), F.lit(0).cast("bigint").alias("offset"), "size")
+    placed = [opened.where(half).drop("size")]
+    gaps = opened.where(half).select(F.col("id").alias("sequence"), (capacity - F.col("size")).alias("gap"))
+    left = items.where(~half)
+    used: list[DataFrame] = []
+    rows, waiting_rows = number, number
+    while waiting_rows:
+        parts = max(1, -(-rows // ROWS))
+        both = left.select("size", F.lit(True).alias("piece"), "id").union(gaps.select("gap", F.lit(False), "sequence"))
+        order = [F.col("size").desc(), F.col("piece"), F.col("id")]
+        step = saved(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _STEP), "sweep")
+        seen = step.groupBy("part", "state").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # a row or three for each partition
+        of = lambda s: {r["part"]: r["n"] for r in seen if r["state"] == s}  # noqa: E731, B023
+        waiting, open_ = of(WAITING), of(OPEN)
+        met, taken = meetings(waiting, open_)
+        done, across = sum(of(PLACED).values()), sum(m for _, _, m, _, _ in met)
+        # of each partition's waiting pieces, the first ones meet gaps of other partitions; where nothing was placed, the largest open sequences
+        fresh = 0 if done or across else -(-sum(r["size"] for r in seen if r["state"] == WAITING) // capacity)
+        opening, still, so_far = [], [], fresh
+        for part in sorted(waiting):
+            begin = sum(m for p, _, m, _, _ in met if p == part)
+            k = min(so_far, waiting[part])
+            so_far -= k
+            opening.append((part, k))
+            still.append((part, max(begin, k)))
+        wait = step.where(F.col("state") == WAITING)
+        at = F.broadcast(_values(spark, still, "p bigint, begin bigint"))  # a row for each partition
+        left_next = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") >= F.col("begin")).select("id", "size")
+        old = step.where(F.col("state") == OPEN)
+        at = F.broadcast(_values(spark, [(p, taken.get(p, 0)) for p in sorted(open_)], "p bigint, begin bigint"))
+        gaps_next = old.join(at, old["part"] == at["p"]).where(F.col("rank") >= F.col("begin")).select("sequence", "gap")
+        took = [step.where(F.col("state") == PLACED).select("id", "size", "sequence", "gap")]
+        if met:
+            ranks = F.broadcast(_values(spark, met, "p bigint, first bigint, n bigint, other bigint, other_first bigint"))  # two rows for each partition
+            asked = wait.join(ranks, (wait["part"] == ranks["p"]) & (wait["rank"] >= F.col("first")) & (wait["rank"] < F.col("first") + F.col("n")))
+            asked = asked.select("id", "size", F.col("other").alias("_part"), (F.col("other_first") + F.col("rank") - F.col("first")).alias("_rank"))
+            given = old.select("sequence", "gap", F.col("part").cast("bigint").alias("_part"), F.col("rank").alias("_rank"))
+            took.append(saved(asked.hint("merge").join(given, ["_part", "_rank"]).select("id", "size", "sequence", "gap"), "across"))
+            used.append(took[-1])
+        for t in took:
+            placed.append(t.select("id", "sequence", (capacity - F.col("gap")).alias("offset")))
+            gaps_next = gaps_next.union(t.select("sequence", F.col("gap") - F.col("size")))
+        if fresh:
+            at = F.broadcast(_values(spark, opening, "p bigint, end bigint"))
+            new = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") < F.col("end"))
+            placed.append(new.select("id", F.col("id").alias("sequence"), F.lit(0).cast("bigint").alias("offset")))
+            gaps_next = gaps_next.union(new.select("id", capacity - F.col("size")))
+        used.append(step)
+        waiting_rows = sum(waiting.values()) - across - fresh
+        rows = waiting_rows + done + across + sum(open_.values()) + fresh
+        left, gaps = left_next, gaps_next.where("gap > 0")
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.union(p)
+    out = saved(out, "places")
+    drop(*used)
+    return out
 
 
 def pack(got: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """Add sequence_id and offset to a table of pieces, whose lengths are 1 to ``capacity``."""
-    spark = got.sparkSession
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
-            ranks = []
-            for n in batch["_length"].to_pylist():
-                ranks.append(seen[n])
-                seen[n] += 1
-            yield batch.append_column("_local", pa.array(ranks, pa.int64()))
-
-    named = got.withColumn("_length", F.col(length).cast("long"))
-    schema = T.StructType([*named.withColumn("_part", F.spark_partition_id().cast("long")).schema.fields, T.StructField("_local", T.LongType())])
-    rows = saved(named.withColumn("_part", F.spark_partition_id().cast("long")).mapInArrow(ranked, schema), "pieces")
-    sizes = saved(rows.groupBy("_part", "_length").agg(F.count("*").alias("n")), "sizes")
-    counts = {r["_length"]: r["n"] for r in sizes.groupBy("_length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    if counts and (min(counts) < 1 or max(counts) > capacity):
+    ship(got.sparkSession)
+    columns = [F.col(c) for c in got.columns]
+    rows = saved(got.select(F.struct(*columns).alias("row"), F.col(length).cast("bigint").alias("size")).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    small = F.col("size") < capacity // 32
+    seen = rows.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count_if(F.col("size") < capacity).alias("n"), F.count_if(small).alias("small"), F.count_if(F.col("size").isNull()).alias("none")).first()
+    if seen["none"] or seen["least"] is not None and (seen["least"] < 1 or seen["most"] > capacity):
         raise ValueError("pieces must have lengths from 1 to the capacity")
-    moves = plan(counts, capacity)
-    from pyspark.sql.window import Window
-
-    before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_length", F.coalesce("_before", F.lit(0)).alias("_before"))
-    out = rows.join(before, ["_part", "_length"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    keys, firsts = [m[0] for m in moves], [m[1] for m in moves]
-    # intervals in order of (length, first rank): a piece's interval is the last that does not begin after it
-    order = np.lexsort((firsts, keys))
-    table = tuple(np.array([m[k] for m in moves], dtype=np.int64)[order] for k in range(5)) if moves else tuple(np.zeros(0, np.int64) for _ in range(5))
-    shared = spark.sparkContext.broadcast(table)  # bounded by the capacity alone, see plan()
-
-    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
-        key, first, _, sequence, offset = shared.value
-        n, r = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
-        lo, hi = np.searchsorted(key, n, "left"), np.searchsorted(key, n, "right")
-        while (open_ := hi - lo > 1).any():
-            mid = (lo + hi) // 2
-            up = open_ & (first[np.minimum(mid, len(first) - 1)] <= r)
-            lo, hi = np.where(up, mid, lo), np.where(open_ & ~up, mid, hi)
-        return pa.StructArray.from_arrays([pa.array(sequence[lo] + r - first[lo], pa.int64()), pa.array(offset[lo], pa.int64())], ["sequence_id", "offset"])
-
-    place.__annotations__ = {"lengths": pa.Array, "ranks": pa.Array, "return": pa.Array}
-    from pyspark.sql.functions import arrow_udf
-
-    out = out.withColumn("_at", arrow_udf(place, "struct<sequence_id:bigint,offset:bigint>")("_length", "_rank"))
-    return out.select(*got.columns, "_at.sequence_id", "_at.offset")
+    left = rows.where(F.col("size") < capacity).select("id", "size")
+    if 4 * seen["small"] > seen["n"]:
+        bundles = saved(_bundled(left, capacity, -(-seen["small"] // ROWS)), "bundles")
+        items = saved(bundles.groupBy("item").agg(F.sum("size").alias("size")).select(F.col("item").alias("id"), "size"), "items")
+        placed = _places(items, capacity, seen["n"]).withColumnRenamed("id", "item")
+        placed = bundles.join(placed, "item").select("id", "sequence", (F.col("offset") + F.col("inner")).alias("offset"))
+    else:
+        placed = _places(left, capacity, seen["n"])
+    out = rows.join(placed, "id", "left")
+    return out.select("row.*", F.coalesce("sequence", "id").alias("sequence_id"), F.coalesce("offset", F.lit(0).cast("bigint")).alias("offset"))
