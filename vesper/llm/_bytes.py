@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SEPARATOR = b" "
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -66,6 +68,13 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and several share the memory of an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -86,6 +95,8 @@ def blocks(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int,
             np.cumsum([len(x) + 1 for x in part], out=starts[1:])
             yield first, i + 1, np.frombuffer(joined, dtype=np.uint8), starts + 1
             first, size = i + 1, 0
+    if len(texts) > 1:
+        give_back()
 
 
 def words(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NONSPACE, U64, blocks, byte_texts, mix, owners, windows, word_hashes, words
-from ._session import drop, saved
+from ._session import drop, saved, ship
 from .components import joined
 
 SHINGLE = 5
@@ -255,6 +255,27 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     Candidates, links and components stay distributed; the driver gets counts. Text is shuffled for
     the classes in candidate pairs alone.
     """
+    ship(df.sparkSession)
+    sets, named = _components(df, text, key, percent)
+    out = sets.select("key", "n", "h", "l").join(named.select("h", "l", "smallest"), ["h", "l"], "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")["key"]).otherwise(F.col("key")).alias("component"))
+
+
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75) -> DataFrame:
+    """(key, t, rows) of what stays of each component: the smallest key, and of its texts the one of smallest hash ``t``
+    (xxhash64 of the text); ``rows`` is how many rows have both, 1 where all of them stay, as of texts without words."""
+    ship(df.sparkSession)
+    sets, named = _components(df, text, key, percent)
+    chosen = named.where(F.struct("least", "t").eqNullSafe(F.struct(F.col("smallest.key").alias("least"), F.col("smallest.t").alias("t"))))
+    # of a component whose key has several texts one class stays; of a class, one text
+    wordless = sets.where("n = 0").select("key", "t", F.lit(1).cast("bigint").alias("rows")).distinct()
+    found = sets.where("n > 0").join(chosen.select("h", "l", F.col("smallest.key").alias("k"), F.col("smallest.t").alias("u")), ["h", "l"])
+    found = found.where(F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")))
+    return wordless.union(found.groupBy("key", "t").agg(F.count("*").alias("rows")))
+
+
+def _components(df: DataFrame, text: str, key: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their sets' names, and all distinct sets with the smallest (key, text hash) of their component."""
     threshold = percent / 100
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     sets = saved(rows.mapInArrow(_classes, _classes_schema(df, key)), "sets")
@@ -266,13 +287,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", *, p
     spark = df.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = linked_components(classes, rows, parts, percent, threshold)
-    named = classes.join(found, "node", "left").select("h", "l", "least", F.coalesce("component", "node").alias("component"))
+    named = classes.join(found, "node", "left").select("h", "l", "least", "t", F.coalesce("component", "node").alias("component"))
     # written first: a join of two plain exchanges can be split where one component has most of the classes
     named = saved(named, "named")
-    least = saved(named.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
-    names = named.join(least, "component").select("h", "l", "smallest")
-    out = sets.select("key", "n", "h", "l").join(names, ["h", "l"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("key")).alias("component"))
+    smallest = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("key"), "t")).alias("smallest")
+    least = saved(named.groupBy("component").agg(smallest), "smallest")
+    return sets, named.join(least, "component")
 
 
 def _classes_schema(df: DataFrame, key: str) -> str:
