@@ -9,7 +9,8 @@ shorter first one. Then supersteps repeat until every piece has its place:
    bracket takes the last open one; every partition does that for itself.
 3. Conflicts by rank: pieces that found no gap in their partition want the gaps left over in earlier ones. Two
    numbers of each partition tell which ranks of pieces meet which ranks of gaps; they are joined on those ranks.
-4. Update: gaps shrink by what they took. Where a sweep placed nothing, no gap holds any piece that is left: as many
+4. Update: gaps shrink by what they took. A gap that took nothing is smaller than every piece that found none, as
+   brackets left over are closing ones before opening ones; so it is done with. Where a sweep placed nothing, no gap holds any piece that is left: as many
    sequences as their tokens need at least are opened by the largest of them.
 
 At first every piece of more than half the capacity opens a sequence, as no two of those can share one. Full pieces
@@ -124,9 +125,9 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(state, at, gaps)
 
 
-def meetings(waiting: dict[int, int], left: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+def meetings(waiting: dict[int, int], left: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
     """Which ranks of pieces of a partition meet which ranks of gaps of another: (part, first rank, pieces, gaps' part, first
-    rank of them), and how many gaps of each partition are taken. At most two entries for each partition."""
+    rank of them). At most two entries for each partition."""
     stack: list[tuple[int, int]] = []
     out, taken = [], {}
     for part in sorted({*waiting, *left}):
@@ -141,7 +142,7 @@ def meetings(waiting: dict[int, int], left: dict[int, int]) -> tuple[list[tuple[
                 stack.append((other, rest - m))
         if left.get(part):
             stack.append((part, left[part]))
-    return out, taken
+    return out
 
 
 def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -192,10 +193,11 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
         both = left.select("size", F.lit(True).alias("piece"), "id").union(gaps.select("gap", F.lit(False), "sequence"))
         order = [F.col("size").desc(), F.col("piece"), F.col("id")]
         step = saved(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _STEP), "sweep")
-        seen = step.groupBy("part", "state").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # a row or three for each partition
+        seen = step.groupBy("part", "state").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least")).collect()  # a row or three for each partition
         of = lambda s: {r["part"]: r["n"] for r in seen if r["state"] == s}  # noqa: E731, B023
         waiting, open_ = of(WAITING), of(OPEN)
-        met, taken = meetings(waiting, open_)
+        met = meetings(waiting, open_)
+        least = min((r["least"] for r in seen if r["state"] == WAITING), default=capacity)
         done, across = sum(of(PLACED).values()), sum(m for _, _, m, _, _ in met)
         # of each partition's waiting pieces, the first ones meet gaps of other partitions; where nothing was placed, the largest open sequences
         fresh = 0 if done or across else -(-sum(r["size"] for r in seen if r["state"] == WAITING) // capacity)
@@ -210,8 +212,7 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
         at = F.broadcast(_values(spark, still, "p bigint, begin bigint"))  # a row for each partition
         left_next = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") >= F.col("begin")).select("id", "size")
         old = step.where(F.col("state") == OPEN)
-        at = F.broadcast(_values(spark, [(p, taken.get(p, 0)) for p in sorted(open_)], "p bigint, begin bigint"))
-        gaps_next = old.join(at, old["part"] == at["p"]).where(F.col("rank") >= F.col("begin")).select("sequence", "gap")
+        gaps_next = None
         took = [step.where(F.col("state") == PLACED).select("id", "size", "sequence", "gap")]
         if met:
             ranks = F.broadcast(_values(spark, met, "p bigint, first bigint, n bigint, other bigint, other_first bigint"))  # two rows for each partition
@@ -222,7 +223,8 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
             used.append(took[-1])
         for t in took:
             placed.append(t.select("id", "sequence", (capacity - F.col("gap")).alias("offset")))
-            gaps_next = gaps_next.union(t.select("sequence", F.col("gap") - F.col("size")))
+            shrunk = t.select("sequence", (F.col("gap") - F.col("size")).alias("gap"))
+            gaps_next = shrunk if gaps_next is None else gaps_next.union(shrunk)
         if fresh:
             at = F.broadcast(_values(spark, opening, "p bigint, end bigint"))
             new = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") < F.col("end"))
@@ -230,8 +232,8 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
             gaps_next = gaps_next.union(new.select("id", capacity - F.col("size")))
         used.append(step)
         waiting_rows = sum(waiting.values()) - across - fresh
-        rows = waiting_rows + done + across + sum(open_.values()) + fresh
-        left, gaps = left_next, gaps_next.where("gap > 0")
+        rows = waiting_rows + done + across + fresh
+        left, gaps = left_next, gaps_next.where(F.col("gap") >= least)
     out = placed[0]
     for p in placed[1:]:
         out = out.union(p)
