@@ -41,14 +41,19 @@ REACH = 3
 
 #: Depth, orders and reach of each sweep; the first forest's orders are disjoint parts of the signature.
 SWEEPS = ((4, 32, REACH), (4, 32, 48), (4, 32, 384), (4, 32, 3072), (8, 256, 384), (12, 768, 3072))
-#: How far under the threshold the agreement of signatures may be for a pair to be confirmed on its sets, in every sweep: 5.2 standard errors.
+#: How far under the threshold the agreement of signatures may be for a pair to be confirmed on its sets: 5.2 standard
+#: errors, of the signature's values in the first sweep, of these and ``MORE`` values of a byte each in the wide ones.
 FIRST_LEAST = 0.14
+MORE = 768
+WIDE_LEAST = 0.0705
 #: Values that follow the least depth in a label, for the order within a region.
 FOLLOWING = 4
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_MORE_FACTORS = _rng.integers(1, 1 << 63, MORE, dtype=np.uint64) * U64(2) + U64(1)
+_MORE_SHIFTS = _rng.integers(0, 1 << 63, MORE, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -68,14 +73,25 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray
                 yield np.zeros(0, dtype=U64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """For each of the hash functions, 16 bits of the smallest value over the set."""
-    out = np.full(VALUES, np.iinfo(np.uint64).max, dtype=U64)
+def _smallest(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    out = np.full(len(factors), np.iinfo(np.uint64).max, dtype=U64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), 256):
-            part = _FACTORS[:, None] * shingles[None, i : i + 256] + _SHIFTS[:, None]
+            part = factors[:, None] * shingles[None, i : i + 256] + shifts[:, None]
             np.minimum(out, part.min(axis=1), out=out)
-    return (mix(out) >> U64(48)).astype(">u2")
+    return mix(out)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """For each of the hash functions, 16 bits of the smallest value over the set."""
+    return (_smallest(shingles, _FACTORS, _SHIFTS) >> U64(48)).astype(">u2")
+
+
+def _more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte each of ``MORE`` other hash functions, for classes in wide regions."""
+    for batch in batches:
+        got = [(_smallest(s, _MORE_FACTORS, _MORE_SHIFTS) >> U64(56)).astype(np.uint8).tobytes() for s in shingle_sets(byte_texts(batch["text"]))]
+        yield pa.record_batch([batch["node"], pa.array(got, pa.binary())], names=["node", "more"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +123,15 @@ def _trees(depth: int, trees: int, whole_signature: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                signs = np.frombuffer(b"".join(batch["signature"].to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+                sketches = batch["signature"].to_pylist()
+                signs = np.frombuffer(b"".join(x[: 2 * VALUES] for x in sketches), dtype=np.uint16).reshape(-1, VALUES)
                 labels = np.ascontiguousarray(signs[:, places]).view(np.uint8).reshape(batch.num_rows * trees, -1)
                 tree = np.tile(np.arange(trees, dtype=">u2"), batch.num_rows).view(np.uint8).reshape(-1, 2)
                 joined = np.concatenate([tree, labels], axis=1)
                 offsets = np.arange(len(joined) + 1, dtype=np.int32) * joined.shape[1]
                 column = pa.Array.from_buffers(pa.binary(), len(joined), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.tobytes())])
                 repeated = [pa.array(np.repeat(batch[c].to_numpy(), trees), pa.int64()) for c in ("node", "n", "c")]
-                sketch = [signs[i].tobytes() for i in range(batch.num_rows) for _ in range(trees)] if whole_signature else [None] * len(joined)
+                sketch = [x for x in sketches for _ in range(trees)] if whole_signature else [None] * len(joined)
                 yield pa.record_batch([column, *repeated, pa.array(sketch, pa.binary())], names=["label", "node", "n", "c", "sketch"])
 
     return run
@@ -149,16 +166,21 @@ def _sweep(depth: int, disjoint: bool, done: int, reach: int, threshold: float,
         if sketch is None:
             near = [x for x in region if x[3] != c and (part is None or x[5] != part) and min(n, x[2]) >= threshold * max(n, x[2])]
             return [(0, min(node, x[1]), max(node, x[1]), None, None, None, None, None, None) for x in near]
-        nodes, sizes, components, sketches, numbers, parts, count = ring
+        nodes, sizes, components, sketches, numbers, parts, more, count = ring
         used = slice(0, min(count, reach))
         at = np.flatnonzero((components[used] != c) & (count - numbers[used] > done) & (part is None or parts[used] != part))
         at = at[np.minimum(sizes[at], n) >= threshold * np.maximum(sizes[at], n)]
-        same = sketches[at] == np.frombuffer(sketch, np.uint16)
-        good = same.mean(axis=1) >= least
+        same = sketches[at] == np.frombuffer(sketch, np.uint16, VALUES)
+        agree = same.mean(axis=1)
+        likely = agree >= least - FIRST_LEAST
+        at, same, agree = at[likely], same[likely], agree[likely]
+        other = (more[at] == np.frombuffer(sketch, np.uint8, MORE, 2 * VALUES)).mean(axis=1)
+        agree = (VALUES * agree + MORE * other) / (VALUES + MORE)
+        good = agree >= least
         if disjoint:
             tree = int.from_bytes(label[:2], "big")
             good &= ~same[:, : tree * depth].reshape(len(at), tree, depth).all(axis=2).any(axis=1)
-        return [(0, min(node, x), max(node, x), y, None, None, None, None, None) for x, y in zip(nodes[at[good]].tolist(), same[good].mean(axis=1).tolist())]
+        return [(0, min(node, x), max(node, x), y, None, None, None, None, None) for x, y in zip(nodes[at[good]].tolist(), agree[good].tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -180,9 +202,10 @@ def _sweep(depth: int, disjoint: bool, done: int, reach: int, threshold: float,
                     out += met(row, region, (*ring, count) if ring else None)
                 if sketch is not None:
                     if ring is None:
-                        ring = (*(np.zeros(reach, np.int64) for _ in range(3)), np.zeros((reach, VALUES), np.uint16), np.zeros(reach, np.int64), np.zeros(reach, np.int64))
+                        ring = (*(np.zeros(reach, np.int64) for _ in range(3)), np.zeros((reach, VALUES), np.uint16), np.zeros(reach, np.int64), np.zeros(reach, np.int64), np.zeros((reach, MORE), np.uint8))
                     at = count % reach
-                    ring[0][at], ring[1][at], ring[2][at], ring[3][at], ring[4][at], ring[5][at] = node, n, c, np.frombuffer(sketch, np.uint16), count, -1 if part is None else part
+                    ring[0][at], ring[1][at], ring[2][at], ring[3][at], ring[4][at], ring[5][at] = node, n, c, np.frombuffer(sketch, np.uint16, VALUES), count, -1 if part is None else part
+                    ring[6][at] = np.frombuffer(sketch, np.uint8, MORE, 2 * VALUES)
                 count += 1
                 region.append(row)
                 if len(region) > reach:
@@ -211,6 +234,21 @@ def _swept(rows: DataFrame, depth: int, disjoint: bool, done: int, reach: int, t
     return saved(ordered.mapInArrow(_sweep(depth, disjoint, done, reach, threshold, least), _SWEPT), "forest")
 
 
+def _seams(swept: DataFrame, depth: int, disjoint: bool, reach: int, threshold: float, least: float, parts: int) -> DataFrame:
+    """The sweep of neighbours across partitions: the rows at partition ends are range-partitioned again, 16 partitions' ends
+    in one, and so are the ends of those, until one is left; so no task gets more ends than 16 partitions have."""
+    out = []
+    while not out or parts > 1:
+        parts = max(1, parts // 16)
+        ends = swept.where("kind = 2").select("label", "node", "n", "c", "sketch", F.col("a").alias("part"))
+        swept = _swept(ends, depth, disjoint, 0, reach, threshold, least, parts)
+        out.append(swept)
+    every = out[0].where("kind < 2")
+    for more in out[1:]:
+        every = every.union(more.where("kind < 2"))
+    return every
+
+
 def _estimated(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree on ``least`` of the values at least; a pair at the threshold is 5 standard errors above."""
     first, second = (signs.select(F.col("node").alias(f"node_{s}"), F.col("sketch").alias(s)) for s in "xy")
@@ -302,25 +340,24 @@ def _classes_schema(df: DataFrame, key: str) -> str:
 def linked_components(classes: DataFrame, rows: DataFrame, parts: int, percent: int, threshold: float) -> DataFrame | None:
     """(node, component) over confirmed links, for all classes that candidates of the forest connect; None without any."""
     tested = found = None
-    level, wider, opened, before, past, texts = 0, 1, None, 0, 0, None
+    level, wider, opened, before, past, texts, wider_signs = 0, 1, None, 0, 0, None, None
     # of each value the first byte, for comparing whole signatures
     sketches = saved(classes.select("node", "n", F.expr("unhex(regexp_replace(hex(signature), '(..)..', '$1'))").alias("sketch")), "sketches")
     while True:
         depth, trees, reach = SWEEPS[min(level, len(SWEEPS) - 1)]
         if level >= len(SWEEPS):
             wider *= 8
-        least = threshold - FIRST_LEAST
+        least = threshold - (WIDE_LEAST if level else FIRST_LEAST)
         if opened is None:
             sorted_ = forest(classes.withColumn("c", F.col("node")), depth, trees)
         elif depth == before:
             sorted_ = opened  # the rows of the regions that are still open
         else:
-            sorted_ = forest(classes.select("node", "n", "signature").join(opened.select("node", "c").distinct(), "node"), depth, trees, True)
+            sorted_ = forest(wider_signs.join(opened.select("node", "c").distinct(), "node"), depth, trees, True)
             sorted_ = opened = saved(sorted_, "deeper")
         disjoint, done = depth * trees <= VALUES, past if depth == before else 0
         swept = _swept(sorted_, depth, disjoint, done, reach * wider, threshold, least, parts)
-        # neighbours across two partitions: few rows for each partition end
-        seams = _swept(swept.where("kind = 2").select("label", "node", "n", "c", "sketch", F.col("a").alias("part")), depth, disjoint, 0, reach * wider, threshold, least, 1)
+        seams = _seams(swept, depth, disjoint, reach * wider, threshold, least, parts)
         pairs = swept.where("kind = 0").unionByName(seams.where("kind = 0")).groupBy("a", "b").agg(F.max("near").alias("near"))
         if not level:
             pairs = saved(_estimated(pairs.select("a", "b"), sketches, least), "pairs")
@@ -348,11 +385,16 @@ def linked_components(classes: DataFrame, rows: DataFrame, parts: int, percent:
         several = left.groupBy(region.alias("p")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("p")
         if opened is not None:
             several = several.join(marked.select(region.alias("p")).distinct(), "p", "left_semi")
-        left = left.join(several, region == F.col("p"), "left_semi")
+        # written first, so that a region with most of the rows can be split in the join
+        left = left.join(saved(several, "several"), region == F.col("p"), "left_semi")
         if opened is None:
-            left = left.join(classes.select("node", "n", F.col("signature").alias("sketch")), "node")
+            left = saved(left, "wide")
+            extra = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_more, "node bigint, more binary")
+            wider_signs = classes.select("node", "n", "signature").join(extra, "node").select("node", "n", F.concat("signature", "more").alias("signature"))
+            wider_signs = saved(wider_signs, "signatures")
+            left = left.join(wider_signs.select("node", "n", F.col("signature").alias("sketch")), "node")
         opened = saved(left.select("label", "node", "n", "c", "sketch"), "open")
-        drop(swept, seams, pairs)
+        drop(swept, pairs)
         if opened.isEmpty():
             drop(texts, sketches)
             return found
