@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ALNUM, LOWER, U64, blocks, byte_texts, mix, owners, windows, word_hashes, words
-from ._session import saved
+from ._session import saved, ship
 
 K = 6
-WINDOW = 12
+WINDOW = 8
 #: Words around a chain that its ends may be drawn out over; the least words of a passage if those are more.
 MARGIN = 64
 GRAIN = 64
@@ -328,6 +328,7 @@ def passages(df: DataFrame, text: str = "text", key: str = "doc_id", *, least: i
     from pyspark.sql.functions import arrow_udf
 
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key).isNull(), key, text).alias("did"))
     margin = max(MARGIN, least)
     texts = rows.select("did", "text").where("text is not null")
