@@ -11,6 +11,12 @@ from .scalars import finite
 LIST_STATS = ("len", "mean", "std", "min", "max", "median", "p10", "p90", "range", "spike", "recovery")
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it: it is the only element of an array, and
+    the body a lambda over that, so that no rule of the optimizer writes it out again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def listed(cell: Column, kind: str) -> Column:
     """The array, or an empty one of that type for null."""
     return F.coalesce(cell, F.array().cast(kind))
@@ -31,8 +37,8 @@ def mean_of(values: Column) -> Column:
 
 def deviation_of(values: Column) -> Column:
     """Population standard deviation, from squares around the mean."""
-    m = mean_of(values)
-    return F.when(F.size(values) > 0, F.sqrt(_total(F.transform(values, lambda x: (x - m) * (x - m))) / F.size(values)))
+    spread = lambda m: F.sqrt(_total(F.transform(values, lambda x: (x - m) * (x - m))) / F.size(values))
+    return bound(mean_of(values), lambda m: F.when(F.size(values) > 0, spread(m)))
 
 
 def quantile_of(ordered: Column, q: float) -> Column:
@@ -46,13 +52,17 @@ def quantile_of(ordered: Column, q: float) -> Column:
 
 def list_stats(cell: Column) -> Column:
     """Eleven statistics of an array of numbers; of an empty or null one the length 0 alone."""
-    v = F.array_sort(F.coalesce(numbers(cell), F.array().cast("array<double>")))
-    median, p10, p90 = quantile_of(v, 0.5), quantile_of(v, 0.1), quantile_of(v, 0.9)
-    low, high = F.get(v, F.lit(0)), F.get(v, F.size(v) - 1)
-    return F.struct(
-        F.size(v).cast("double").alias("len"), mean_of(v).alias("mean"), deviation_of(v).alias("std"), low.alias("min"), high.alias("max"), median.alias("median"),
-        p10.alias("p10"), p90.alias("p90"), (high - low).alias("range"), (p90 - median).alias("spike"), (median - low).alias("recovery"),
-    )
+
+    def of_sorted(v: Column) -> Column:
+        return bound(
+            F.struct(F.get(v, F.lit(0)).alias("low"), F.get(v, F.size(v) - 1).alias("high"), *[quantile_of(v, q).alias(n) for n, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]),
+            lambda q: F.struct(
+                F.size(v).cast("double").alias("len"), mean_of(v).alias("mean"), deviation_of(v).alias("std"), q["low"].alias("min"), q["high"].alias("max"), q["median"].alias("median"),
+                q["p10"].alias("p10"), q["p90"].alias("p90"), (q["high"] - q["low"]).alias("range"), (q["p90"] - q["median"]).alias("spike"), (q["median"] - q["low"]).alias("recovery"),
+            ),
+        )
+
+    return bound(F.array_sort(F.coalesce(numbers(cell), F.array().cast("array<double>"))), of_sorted)
 
 
 def ambience(cell: Column) -> Column:
@@ -62,58 +72,70 @@ def ambience(cell: Column) -> Column:
     score count for nothing. The top group is the last hit among the labels of largest score.
     """
     pairs = F.filter(F.coalesce(cell, F.expr("cast(array() as array<array<string>>)")), lambda p: (F.size(p) >= 2) & F.get(p, 1).try_cast("double").isNotNull())
-    scored = F.transform(pairs, lambda p: F.struct(F.lower(F.get(p, 0)).alias("label"), F.get(p, 1).try_cast("double").alias("score")))
-
-    def hit(label: Column, group: str) -> Column:
-        out = F.lit(False)
-        for word in AMBIENCE[group]:
-            out |= F.contains(label, F.lit(word))
-        return out
-
-    top = F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(scored, lambda s: s["score"])), F.lit(0.0)))
-    hits = F.flatten(F.transform(F.filter(scored, lambda s: s["score"] >= top), lambda s: F.array_compact(F.array(*[F.when(hit(s["label"], g), g) for g in AMBIENCE]))))
-    best = F.coalesce(F.get(hits, F.size(hits) - 1), F.lit("unknown"))
-    fields = []
-
-    def scores_of(group: str) -> Column:
-        return F.transform(F.filter(scored, lambda s: hit(s["label"], group)), lambda s: s["score"])
-
-    for g in AMBIENCE:
-        of = scores_of(g)
-        fields += [_total(of).alias(f"{g}_score"), F.greatest(F.lit(0.0), F.coalesce(F.array_max(of), F.lit(0.0))).alias(f"{g}_max")]
-    fields += [F.size(scored).cast("double").alias("label_count"), top.alias("top_score")]
-    fields += [(best == g).cast("double").alias(f"top_is_{g}") for g in AMBIENCE]
-    return F.struct(*fields)
+    scored = F.transform(pairs, lambda p: bound(F.lower(F.get(p, 0)), lambda label: F.struct(F.get(p, 1).try_cast("double").alias("score"), *[_has(label, AMBIENCE[g]).alias(g) for g in AMBIENCE])))
+    largest = lambda v: F.greatest(F.lit(0.0), F.coalesce(F.array_max(v), F.lit(0.0)))
+
+    def of_scored(s: Column) -> Column:
+        top = largest(F.transform(s, lambda x: x["score"]))
+        hits = bound(top, lambda t: F.flatten(F.transform(F.filter(s, lambda x: x["score"] >= t), lambda x: F.array_compact(F.array(*[F.when(x[g], g) for g in AMBIENCE])))))
+        best = bound(hits, lambda h: F.coalesce(F.get(h, F.size(h) - 1), F.lit("unknown")))
+        fields = []
+        for g in AMBIENCE:
+            of = F.transform(F.filter(s, lambda x: x[g]), lambda x: x["score"])  # noqa: B023
+            fields.append(bound(of, lambda v: F.struct(_total(v).alias("sum"), largest(v).alias("max"))).alias(g))
+        made = F.struct(*fields, top.alias("top"), best.alias("best"))
+        return bound(
+            made,
+            lambda m: F.struct(
+                *[f for g in AMBIENCE for f in (m[g]["sum"].alias(f"{g}_score"), m[g]["max"].alias(f"{g}_max"))],
+                F.size(s).cast("double").alias("label_count"), m["top"].alias("top_score"), *[(m["best"] == g).cast("double").alias(f"top_is_{g}") for g in AMBIENCE],
+            ),
+        )
+
+    return bound(scored, of_scored)
+
+
+def _has(text: Column, keywords) -> Column:
+    out = F.lit(False)
+    for word in keywords:
+        out |= F.contains(text, F.lit(word))
+    return out
 
 
 def app_category(name: Column) -> Column:
     """The first category one of whose keywords is in the lower-cased, trimmed name with a space before it."""
-    hay = F.concat(F.lit(" "), F.lower(F.trim(name)))
-    out = None
-    for category, keywords in APPS.items():
-        hit = F.lit(False)
-        for word in keywords:
-            hit |= F.contains(hay, F.lit(word))
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise(OTHER_APP)
+
+    def first(hay: Column) -> Column:
+        out = None
+        for category, keywords in APPS.items():
+            hit = _has(hay, keywords)
+            out = F.when(hit, category) if out is None else out.when(hit, category)
+        return out.otherwise(OTHER_APP)
+
+    return bound(F.concat(F.lit(" "), F.lower(F.trim(name))), first)
 
 
 def usage(cell: Column) -> Column:
     """Twenty-three features of an array of (app_name, total_time): times and counts by category, totals, share of the top app."""
     apps = F.transform(cell, lambda a: F.struct(app_category(F.coalesce(a["app_name"].cast("string"), F.lit(""))).alias("category"), F.coalesce(finite(a["total_time"].try_cast("double")), F.lit(0.0)).alias("time")))
     apps = F.coalesce(apps, F.expr("cast(array() as array<struct<category:string,time:double>>)"))
-    total = _total(F.transform(apps, lambda a: a["time"]))
-    fields = []
 
-    def apps_of(category: str) -> Column:
-        return F.filter(apps, lambda a: a["category"] == category)
+    def of_apps(apps: Column) -> Column:
+        fields = []
+        for c in [*APPS, OTHER_APP]:
+            mine = F.filter(apps, lambda a: a["category"] == c)  # noqa: B023
+            fields.append(bound(mine, lambda m: F.struct(_total(F.transform(m, lambda a: a["time"])).alias("time"), F.size(m).cast("double").alias("n"))).alias(c))
+        times = F.transform(apps, lambda a: a["time"])
+        made = F.struct(*fields, _total(times).alias("total"), F.coalesce(F.array_max(times), F.lit(0.0)).alias("top"))
+        return bound(
+            made,
+            lambda m: F.struct(
+                *[f for c in [*APPS, OTHER_APP] for f in (m[c]["time"].alias(f"{c}_time"), m[c]["n"].alias(f"{c}_app_count"))],
+                m["total"].alias("total_time"), F.size(apps).cast("double").alias("app_count"), (m["top"] / (m["total"] + EPSILON)).alias("top_app_time_ratio"),
+            ),
+        )
 
-    for c in [*APPS, OTHER_APP]:
-        of = apps_of(c)
-        fields += [_total(F.transform(of, lambda a: a["time"])).alias(f"{c}_time"), F.size(of).cast("double").alias(f"{c}_app_count")]
-    top = F.coalesce(F.array_max(F.transform(apps, lambda a: a["time"])), F.lit(0.0))
-    fields += [total.alias("total_time"), F.size(apps).cast("double").alias("app_count"), (top / (total + EPSILON)).alias("top_app_time_ratio")]
-    return F.struct(*fields)
+    return bound(apps, of_apps)
 
 
 GPS_FIELDS = ("latitude", "longitude", "altitude", "speed")
@@ -126,25 +148,29 @@ def gps(cell: Column) -> Column:
     def values_of(name: str) -> Column:
         return F.coalesce(F.filter(F.transform(cell, lambda p: finite(p[name].try_cast("double"))), lambda x: x.isNotNull()), F.array().cast("array<double>"))
 
-    for name in GPS_FIELDS:
-        v = values_of(name)
-        low, high = F.array_min(v), F.array_max(v)
-        fields += [mean_of(v).alias(f"{name}_mean"), deviation_of(v).alias(f"{name}_std"), low.alias(f"{name}_min"), high.alias(f"{name}_max"), (high - low).alias(f"{name}_range")]
-    return F.struct(*fields)
+    def five(v: Column) -> Column:
+        return F.struct(mean_of(v).alias("mean"), deviation_of(v).alias("std"), F.array_min(v).alias("min"), F.array_max(v).alias("max"), (F.array_max(v) - F.array_min(v)).alias("range"))
+
+    made = F.struct(*[bound(values_of(name), five).alias(name) for name in GPS_FIELDS])
+    return bound(made, lambda m: F.struct(*fields, *[m[name][x].alias(f"{name}_{x}") for name in GPS_FIELDS for x in ("mean", "std", "min", "max", "range")]))
 
 
 def network(cell: Column, id_field: str, familiar: Column) -> Column:
     """Eight features of a scan, given the subject's familiar ids; an empty scan is wholly novel."""
     items = F.coalesce(cell, F.slice(cell, 1, 0))
     ids = F.array_distinct(F.filter(F.transform(items, lambda x: x[id_field].cast("string")), lambda x: x.isNotNull()))
-    known = F.size(F.filter(ids, lambda x: F.array_contains(F.coalesce(familiar, F.array().cast("array<string>")), x)))
-    n = F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(0)).cast("double")
-    ratio = F.greatest(F.coalesce(known, F.lit(0)), F.lit(0)) / (n + EPSILON)
     rssi = F.coalesce(F.filter(F.transform(items, lambda x: finite(x["rssi"].try_cast("double"))), lambda x: x.isNotNull()), F.array().cast("array<double>"))
-    return F.struct(
-        F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0)).cast("double").alias("detected_count"), n.alias("unique_count"), ratio.alias("familiar_ratio"), (1 - ratio).alias("novel_ratio"),
-        mean_of(rssi).alias("rssi_mean"), F.array_max(rssi).alias("rssi_max"), deviation_of(rssi).alias("rssi_std"), F.size(F.filter(rssi, lambda x: x >= STRONG_SIGNAL)).cast("double").alias("strong_count"),
-    )
+    count = lambda v: F.greatest(F.coalesce(F.size(v), F.lit(0)), F.lit(0)).cast("double")
+
+    def of_both(m: Column) -> Column:
+        known = F.filter(m["ids"], lambda x: F.array_contains(F.coalesce(familiar, F.array().cast("array<string>")), x))
+        ratio = count(known) / (count(m["ids"]) + EPSILON)
+        return F.struct(
+            count(items).alias("detected_count"), count(m["ids"]).alias("unique_count"), ratio.alias("familiar_ratio"), (1 - ratio).alias("novel_ratio"),
+            mean_of(m["rssi"]).alias("rssi_mean"), F.array_max(m["rssi"]).alias("rssi_max"), deviation_of(m["rssi"]).alias("rssi_std"), F.size(F.filter(m["rssi"], lambda x: x >= STRONG_SIGNAL)).cast("double").alias("strong_count"),
+        )
+
+    return bound(F.struct(ids.alias("ids"), rssi.alias("rssi")), of_both)
 
 
 def heart_rate(cell: Column, encoded: bool = False) -> Column:
