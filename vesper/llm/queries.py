@@ -78,7 +78,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     verdicts = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
-    return got.select("doc_id", *map(count, secrets.KINDS[:3]), "base_sha256", said.alias("spans"), verdicts("live"), verdicts("example"))
+    return got.select("doc_id", *map(count, secrets.KINDS[:3]), "base_sha256", said.alias("spans"), *map(verdicts, ("live", "shared", "example")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

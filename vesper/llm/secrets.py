@@ -2,8 +2,9 @@
 
 Base patterns find assignments, access keys and hexadecimal runs. Every candidate, among them bare
 random-looking tokens without any context, is hashed, and the hashes are counted over the corpus by
-distinct repositories and distinct owners. A value that many owners have is a copied example; one
-that few owners have looks live. Bare tokens that look live are added as spans of kind ``owned``.
+distinct repositories and distinct owners. A value of one owner, in however many repositories, looks ``live``; one of
+several owners is ``shared``, as in copied files; one of ``example_owners`` or more is a widely copied ``example``.
+Bare tokens that look live are added as spans of kind ``owned``; shared ones and examples are not.
 The values themselves never leave the scan; only their hashes do.
 
 Defined results: a null or empty text has no spans. Null repositories or owners count as none, so
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import checkpointed
+from ._session import checkpointed, saved, ship
 
 KINDS = ("assign", "access", "hex", "owned")
 
@@ -60,10 +61,13 @@ def _random_looking(value: str) -> bool:
 
 
 def bare_spans(text: str, base: list) -> list[tuple[str, int, int, str]]:
-    """Random-looking tokens that no base span overlaps."""
-    out = []
+    """Random-looking tokens that no base span (of those in order of their starts) overlaps."""
+    out, at, farthest = [], 0, 0
     for m in _BARE.finditer(text):
-        if _random_looking(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        while at < len(base) and base[at][1] < m.end():
+            farthest = max(farthest, base[at][2])
+            at += 1
+        if farthest <= m.start() and _random_looking(m[0]):
             out.append(("owned", *m.span(), m[0]))
     return out
 
@@ -88,7 +92,7 @@ def find(df: DataFrame, text: Column, output: str = "found") -> DataFrame:
 
 
 def ownership(candidates: DataFrame, hash_: str = "hash", repository: str = "repository", owner: str = "owner", *, example_owners: int = 5) -> DataFrame:
-    """Per hash: occurrences, distinct repositories, distinct owners, and the verdict ``example`` or ``live``.
+    """Per hash: occurrences, distinct repositories, distinct owners, and the verdict ``live``, ``shared`` or ``example``.
 
     Counting distinct values shuffles (hash, value) pairs that are already combined on the map side,
     so a value that a third of all rows hold is no more work for any task than another.
@@ -96,7 +100,7 @@ def ownership(candidates: DataFrame, hash_: str = "hash", repository: str = "rep
     got = candidates.groupBy(hash_).agg(
         F.count("*").alias("occurrences"), F.count_distinct(repository).alias("repositories"), F.count_distinct(owner).alias("owners")
     )
-    return got.withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").otherwise("live"))
+    return got.withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") > 1, "shared").otherwise("live"))
 
 
 def scan(df: DataFrame, text: Column, repository: Column, owner: Column, keep: list[Column], *, example_owners: int = 5) -> DataFrame:
@@ -105,11 +109,13 @@ def scan(df: DataFrame, text: Column, repository: Column, owner: Column, keep: l
     Spans have kind, start, end, repositories, owners and verdict. The text is read once; what is
     written and joined afterwards has spans and hashes only.
     """
+    ship(df.sparkSession)
     named = df.select(F.struct(*keep).alias("kept"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), text.alias("text"))
     found = find(named, F.col("text")).select("kept", "repository", "owner", "found").withColumn("rid", F.monotonically_increasing_id())
     found = checkpointed(found)
     each = found.select("rid", "repository", "owner", F.explode(F.concat("found.base", "found.bare")).alias("s")).select("rid", "repository", "owner", "s.*")
-    verdicts = ownership(each, example_owners=example_owners)
+    # written first: a join of two plain exchanges can be split where one value stands in a third of all rows
+    verdicts = saved(ownership(each, example_owners=example_owners), "verdicts")
     joined = each.join(verdicts, "hash").where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = joined.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("rank"), "kind", "end", "repositories", "owners", "verdict"))).alias("spans"))
