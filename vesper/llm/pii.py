@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
 Detected are e-mail and network addresses, telephone, card, account and identity numbers, and names of
-persons (a title or a known given name, with all capitalised words after it, and these words wherever else
-the text has them, so that no bare mention stays). Every replacement is a
+persons (a title or a known given name, also in capitals, with all capitalised words of any script after it, after a
+title also words of scripts without case, and these words wherever else the text has them, so that no bare mention
+stays). Every replacement is a
 keyed permutation of the values of one form, so two different values never get the same surrogate and
 one value always gets the same one, in every document and in any partition, without any shared table:
 
@@ -11,7 +12,8 @@ one value always gets the same one, in every document and in any partition, with
   country codes, a private network's block, an e-mail's last domain label, card check digits
   (valid stays valid) and account check digits keep their form;
 * known given names: a keyed rotation within the names of the same gender and script;
-* other names: the same network over the vowels and consonants of the script, so they can be spoken.
+* other names: the same network over the vowels and consonants of the script, so they can be spoken, other letters over
+  those of their script and block; endings that tell the gender of a surname stay, so its two forms keep their stem.
 
 Values are normalised before that (case of addresses, separators of numbers, national part of telephone
 numbers), and name words are replaced one by one, so that forms of one identity go together.
@@ -27,14 +29,19 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import ship
+
 # Given names by script and gender, and titles by the gender they tell.
 GIVEN = {
     ("latin", "f"): "Anna Maria Elena Laura Julia Sarah Emma Sophie Claire Marie Isabel Carmen Lucia Ingrid Petra Heike Alice Grace Nora Olivia Rachel Susan Karen Linda".split(),
@@ -48,6 +55,10 @@ TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mr
 # Letters that may stand for one another in a made-up name, by script.
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçßøåæœ", "аеиоуыэюя", "бвгдзклмнпрстфхцчшщж", "ёй", "ьъ", "αειουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώη", "ς")
 
+# Endings of surnames for men and for women.
+ENDINGS = (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ski", "ska"), ("cki", "cka"), ("ský", "ská"))
+
+_ENDINGS = sorted({e for pair in ENDINGS for e in pair}, key=len, reverse=True)
 _GIVEN = {n: g for g, names in GIVEN.items() for n in names}
 _PLACE = {c: (k, i) for k, row in enumerate(LETTERS) for i, c in enumerate(row)}
 _ROUNDS = 8
@@ -62,9 +73,26 @@ _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4
 _LOCAL = re.compile(r"\d{3}[ .-]\d{4}")
 _DATE = re.compile(r"(?:\d{4}[-. ]\d{1,2}[-. ]\d{1,2}|\d{1,2}[-. ]\d{1,2}[-. ]\d{4})(?!\d)")
 _LONG = re.compile(r"(?<![A-Za-z0-9])\d{9,}(?![A-Za-z0-9])")
-_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]+")
+_CAPITALISED = regex.compile(r"[\p{Lu}\p{Lt}][\p{L}\p{M}]+")
+_CASELESS = regex.compile(r"\p{Lo}[\p{Lo}\p{M}]*")
 _INSIDE = re.compile(r"\w")
-_AFTER = re.compile(r"\.? (?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ])")
+_AFTER = regex.compile(r"\.? (?=[\p{Lu}\p{Lt}])")
+_AFTER_TITLE = regex.compile(r"\.? ?(?=\p{Lo})")
+
+
+@lru_cache(maxsize=10_000)
+def _alike(c: str) -> str:
+    """The letters that may stand for a lower-case letter or one without case: of the tables, else of its script in its block of 256 (Han: of the first 20,000)."""
+    if c in _PLACE:
+        return LETTERS[_PLACE[c][0]]
+    if "\u4e00" <= c < "\u9c20":
+        return "".join(map(chr, range(0x4E00, 0x9C20)))
+    script, kind = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+    if kind[0] != "L":
+        return c
+    block = ord(c) & ~0xFF
+    near = [x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == kind and unicodedata.name(x, "").startswith(script) and (x in _PLACE) == (c in _PLACE)]
+    return "".join(x for x in near if len(x.upper()) == 1 and x.upper().lower() == x) if c.upper() != c else "".join(near)
 
 
 class Keyed:
@@ -132,9 +160,15 @@ class Keyed:
         low = value.lower()
         if len(low) != len(value):
             return value
-        known = [_PLACE.get(c) for c in low]
-        got = iter(self.permuted(tweak, [p[1] for p in known if p], [len(LETTERS[p[0]]) for p in known if p]))
-        out = [LETTERS[p[0]][next(got)] if p else c for p, c in zip(known, low)]
+        ending = next((e for e in _ENDINGS if low.endswith(e) and len(low) > len(e) + 1), "")
+        stem = low[: len(low) - len(ending)]
+        sets = [_alike(c) for c in stem]
+        # letters that their set lacks, as ones without a simple capital, stay
+        free = [i for i, (c, row) in enumerate(zip(stem, sets)) if len(row) > 1 and c in row]
+        got = self.permuted(tweak, [sets[i].index(stem[i]) for i in free], [len(sets[i]) for i in free])
+        out = list(low)
+        for i, place in zip(free, got):
+            out[i] = sets[i][place]
         return "".join(c.upper() if o.isupper() and len(c.upper()) == 1 else c for c, o in zip(out, value))
 
     def given(self, tweak: str, value: str) -> str:
@@ -205,11 +239,12 @@ def _refilled(shape: str, value: str) -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normalised value) of what is found, in order, without overlaps; earlier patterns win."""
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, without overlaps
 
     def put(start: int, end: int, kind: str, norm: str) -> None:
-        if not any(s < end and start < e for s, e in taken):
-            taken.append((start, end))
+        at = bisect_right(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            insort(taken, (start, end))
             out.append((start, end, kind, norm))
 
     if "@" in text:
@@ -242,25 +277,41 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+def _known(word: str) -> str:
+    """A name word as tables and mentions have it: one all in capitals with its first alone."""
+    return word.capitalize() if len(word) > 2 and word.isupper() else word
+
+
 def _persons(text: str, put) -> None:
     last, known = -1, set()
     for m in _CAPITALISED.finditer(text):
-        if m.start() < last or not (m[0] in _GIVEN or m[0] in TITLES):
+        word = _known(m[0])
+        if m.start() < last or not (word in _GIVEN or word in TITLES):
             continue
         words, end = [], m.end()
-        if m[0] in _GIVEN:
-            words.append((m.start(), m.end(), m[0]))
-        while (gap := _AFTER.match(text, end)) and (w := _CAPITALISED.match(text, gap.end())) and ("." not in gap[0] or not words):
+        if word in _GIVEN:
+            words.append((m.start(), m.end(), word))
+        elif (gap := _AFTER_TITLE.match(text, end)) and (w := _CASELESS.match(text, gap.end())):
             words.append((*w.span(), w[0]))
             end = w.end()
-        if m[0] in TITLES or len(words) > 1:  # a given name alone may be another word
+        while (gap := _AFTER.match(text, end)) and (w := _CAPITALISED.match(text, gap.end())) and ("." not in gap[0] or not words):
+            words.append((*w.span(), _known(w[0])))
+            end = w.end()
+        if word in TITLES or len(words) > 1:  # a given name alone may be another word
             for s, e, w in words:
                 put(s, e, "given" if w in _GIVEN else "surname", w)
                 known.add(w)
             last = end
-    for m in _CAPITALISED.finditer(text) if known else ():  # bare mentions, before or after
-        if m[0] in known and not _INSIDE.match(text[m.start() - 1 : m.start()]) and not _INSIDE.match(text, m.end()):
-            put(*m.span(), "given" if m[0] in _GIVEN else "surname", m[0])
+    if not known:
+        return
+    # bare mentions, before or after
+    for m in _CAPITALISED.finditer(text):
+        word = _known(m[0])
+        if word in known and not _INSIDE.match(text[m.start() - 1 : m.start()]) and not _INSIDE.match(text, m.end()):
+            put(*m.span(), "given" if word in _GIVEN else "surname", word)
+    for word in sorted(w for w in known if _CASELESS.fullmatch(w) and len(w) > 1):
+        for m in re.finditer(re.escape(word), text):
+            put(*m.span(), "surname", word)
 
 
 def _surrogate(keyed: Keyed, text: str, entity: tuple[int, int, str, str], again: dict) -> str:
@@ -271,7 +322,9 @@ def _surrogate(keyed: Keyed, text: str, entity: tuple[int, int, str, str], again
         national = norm[-10:]
         return _refilled(shape, norm[:-10] + keyed.value("phone", national, again.get(("phone", national), 0)))
     got = keyed.value(kind, norm, tweak)
-    if kind in ("given", "surname", "ip4", "ip6"):
+    if kind in ("given", "surname"):
+        return got.upper() if shape.isupper() and len(shape) > 2 and len(got.upper()) == len(got) else got
+    if kind in ("ip4", "ip6"):
         return got
     if kind == "email":
         return "".join(x.upper() if c.isupper() else x for x, c in zip(got, shape))
@@ -322,11 +375,13 @@ def collisions(df: DataFrame, text: Column, key: bytes, again: dict | None = Non
 def replace(df: DataFrame, key: bytes, text: str = "text", spans: str | None = "entities", *, max_again: int = 100_000) -> DataFrame:
     """The table with surrogates in ``text``, and the array ``spans`` of kind, start and end in the original.
 
-    Permutations of one kind cannot collide; what is checked for are made-up names that equal a known
-    one's surrogate. Should more than ``max_again`` originals collide, the check fails instead of going on.
+    Permutations of one kind cannot collide; what is checked for are made-up names that equal a known one's surrogate, or one
+    of another ending or spelling. Originals of one surrogate differ in kind or form, so they are few; should more than
+    ``max_again`` collide, the check fails instead of going on.
     """
     from pyspark.sql.functions import arrow_udf
 
+    ship(df.sparkSession)
     again: dict = {}
     for _ in range(8):
         found = collisions(df, F.col(text), key, again).limit(max_again + 1).collect()
