@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become tokens: lower-cased words, or typed placeholders for numbers, units after numbers and
-names (capitalised words within a sentence). Windows of tokens are hashed, once with and once without
+names (capitalised words within a sentence, and those at its begin that stand within another). Windows of tokens are hashed, once with and once without
 name placeholders, and hash-joined with the windows of the benchmark, so that a question with other
 numbers, names or units is found as well as its exact text. A found pair is verified token by token
 along the diagonals of its windows: a placeholder pair counts as equal only where its slot is
-consistent, one value of the item always standing for the same value in the document.
+consistent, one value of the item always standing for the same value in the document, and that for no other.
+Windows of fewer than two literal words tell nothing and are not joined: a run that counts has a window with more.
 
 Before the join a bit array of fixed size, made from all benchmark windows, leaves out document
 windows that match nothing; it drops no match at any benchmark size.
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, U64, blocks, byte_texts, lower, mix, owners, windows, word_hashes, words
-from ._session import saved
+from ._bytes import _BASE, ALNUM, U64, blocks, byte_texts, lower, mix, owners, windows, word_hashes, words
+from ._session import saved, ship
 
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
@@ -46,6 +47,9 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _LOWERCASE = np.zeros(256, dtype=bool)
 _LOWERCASE[97:123] = True
+#: Second bytes of capitals after their first byte, and the first bytes after which small letters stand: Latin-1, Greek, Cyrillic.
+_CAPITALS = {0xC3: (0x80, 0x9E), 0xCE: (0x86, 0xAB), 0xD0: (0x80, 0xAF)}
+_SMALL = {0xC3: (0x9F, 0xBF), 0xCE: (0xAC, 0xBF), 0xCF: (0x80, 0x8E), 0xD0: (0xB0, 0xBF), 0xD1: (0x80, 0x9F)}
 _END = np.zeros(256, dtype=bool)
 _END[[10, 33, 46, 58, 63]] = True
 _unit_hashes: np.ndarray | None = None
@@ -86,15 +90,21 @@ class Tokens:
         unit = np.zeros(len(starts), dtype=bool)
         if len(starts) > 1:
             unit[1:] = number[:-1] & ~opening[1:] & _among(self.literal[1:], _units())
-        upper = _UPPER[raw]
-        accented = np.zeros(len(raw), dtype=bool)  # capitals of the Latin-1 block
-        accented[:-1] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
+        upper, smaller = _UPPER[raw], _LOWERCASE[raw]
+        for table, flags in ((_CAPITALS, upper), (_SMALL, smaller)):
+            for lead, (low, high) in table.items():
+                at = np.flatnonzero(raw[:-1] == lead)
+                flags[at[(raw[at + 1] >= low) & (raw[at + 1] <= high)]] = True
         terminators = np.concatenate([[0], np.cumsum(_END[raw])])
         inner = np.zeros(len(starts), dtype=bool)
         if len(starts) > 1:
             inner[1:] = (terminators[starts[1:]] == terminators[ends[:-1]]) & ~opening[1:]
-        small = np.concatenate([[0], np.cumsum(_LOWERCASE[raw])])
-        name = (upper[starts] | accented[starts]) & (small[ends] > small[starts]) & inner if len(starts) else np.zeros(0, dtype=bool)
+        small = np.concatenate([[0], np.cumsum(smaller)])
+        name = upper[starts] & (small[ends] > small[starts]) if len(starts) else np.zeros(0, dtype=bool)
+        # at a sentence's begin any word is a capital one: there it is a name if the same text has it within a sentence
+        with np.errstate(over="ignore"):
+            own = mix(self.literal + U64(_BASE) * np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)).astype(U64))
+        name &= inner | _among(own, np.unique(own[name & inner]))
         self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
         self.plain = np.where(number, _MARKS[NUMBER], np.where(unit, _MARKS[UNIT], self.literal))
         self.named = np.where(name, _MARKS[NAME], self.plain)
@@ -103,10 +113,11 @@ class Tokens:
         return slice(self.first[i], self.first[i + 1])
 
     def hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Window hashes of both forms, and which windows lie within one text (for all starts at which a window fits)."""
+        """Window hashes of both forms, and which windows lie within one text and have two literal words or more (for all starts at which a window fits)."""
         a, b = windows(self.plain, size), windows(self.named, size)
         text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        whole = text[: len(a)] == text[size - 1 :] if len(a) else np.zeros(0, dtype=bool)
+        words_ = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+        whole = (text[: len(a)] == text[size - 1 :]) & (words_[size:] - words_[:-size] >= 2) if len(a) else np.zeros(0, dtype=bool)
         return np.stack([mix(a + U64(size)), mix(b + U64(size) + U64(1 << 32))]), whole
 
 
@@ -119,10 +130,10 @@ def item_windows(texts: list[bytes], size: int = WINDOW, least: int = LEAST) ->
         own = min(size, n)
         rows: dict[tuple[int, int], int] = {}
         if n >= least:
-            both, _ = t.hashes(own)
+            both, whole = t.hashes(own)
             for form in both.view(np.int64):
-                for place, h in enumerate(form.tolist()):
-                    rows[(h, place)] = own
+                for place in np.flatnonzero(whole).tolist():
+                    rows[(int(form[place]), place)] = own
         yield [(h, place, k) for (h, place), k in rows.items()]
 
 
@@ -158,9 +169,13 @@ def verify(document: bytes, item: bytes, size: int = WINDOW) -> dict:
         slot = (t.kind[j] == d.kind[i]) & (t.kind[j] != WORD)
         good = same | slot
         seen: dict[int, int] = {}
+        taken: dict[int, int] = {}
         for x in np.flatnonzero(slot).tolist():
-            if seen.setdefault(int(t.literal[j[x]]), int(d.literal[i[x]])) != int(d.literal[i[x]]):
+            u, v = int(t.literal[j[x]]), int(d.literal[i[x]])
+            if seen.get(u, v) != v or taken.get(v, u) != u:
                 good[x] = False
+            else:
+                seen[u], taken[v] = v, u
         edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
         for a, b in zip(edges[0::2], edges[1::2]):
             words_ = int((same[a:b] & (t.kind[j[a:b]] == WORD)).sum())
@@ -185,6 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
             yield pa.array([[{"h": h, "place": p, "size": k} for h, p, k in row] for row in item_windows(byte_texts(column))], kind)
 
     cut.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    ship(docs.sparkSession)
     named = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").withColumn("iid", F.monotonically_increasing_id())
     bench = saved(named.withColumn("w", arrow_udf(cut, "array<struct<h:bigint,place:int,size:int>>")("item_text")), "items")
     each = bench.select("iid", F.explode("w").alias("w")).select("iid", "w.*")
