@@ -6,6 +6,7 @@ import base64
 import os
 import random
 import struct
+from bisect import bisect_left, insort
 from hashlib import sha256
 
 import duckdb
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vesper.llm import components, decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, queries, secrets, substring_dedup, toxicity
+from vesper.llm import byte_bpe, components, decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, queries, secrets, substring_dedup, toxicity
 from vesper.llm._session import ship
 
 from . import brute
@@ -136,6 +137,17 @@ def test_license_phrases_and_blocks(spark):
     assert got[3]["labels"] == [] and got[3]["first_word"] is None
 
 
+def test_wrapped_notices_are_found_and_like_ones_told_apart(spark):
+    gpl = "This program is free software: you can\n# redistribute it and/or modify it under the terms of\n# the GNU General Public License as published"
+    lgpl = "This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General\n Public License"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    scattered = "licensed traffic under the bridge cost 4 pounds and 0 pence, by cc mail or sa list of the nc branch"
+    texts = [f"{prose(i, 30 + 7 * i)} {t} {prose(50 + i, 20)}" for i, t in enumerate([gpl, lgpl, bsd, scattered, "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"])]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    want = [["gpl", "notice-gpl"], ["notice-lgpl"], ["notice-bsd"], [], ["cc-by", "notice-cc-by-nc-4.0"], ["cc-by", "notice-cc-by-sa-4.0"]]
+    assert [got[i] for i in range(6)] == want
+
+
 # ---- 3
 
 
@@ -350,26 +362,68 @@ def test_near_duplicates_like_all_pairs(spark, documents):
 # ---- 10
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=40))
-def test_plan_is_a_packing(counts):
-    places = {}
-    for length, rank, n, first, offset in packing.plan(counts, 64):
-        for k in range(n):
-            assert (length, rank + k) not in places
-            places[length, rank + k] = (first + k, offset)
-    assert len(places) == sum(counts.values())
+@given(st.lists(st.booleans(), max_size=60))
+def test_brackets_like_a_stack(row):
+    first, second, waiting, left = packing.brackets(np.array(row, dtype=bool))
+    stack, pairs, alone = [], set(), []
+    for i, opening in enumerate(row):
+        if opening:
+            stack.append(i)
+        elif stack:
+            pairs.add((stack.pop(), i))
+        else:
+            alone.append(i)
+    assert set(zip(first.tolist(), second.tolist())) == pairs and waiting.tolist() == alone and left.tolist() == stack
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), max_size=8))
+def test_meetings_like_a_stack(parts):
+    met = packing.meetings({i: u for i, (u, _) in enumerate(parts) if u}, {i: o for i, (_, o) in enumerate(parts) if o})
+    stack, want = [], set()
+    for i, (u, o) in enumerate(parts):
+        want |= {((i, k), stack.pop()) for k in range(u) if stack}
+        stack += [(i, o - 1 - k) for k in range(o)]
+    assert {((p, a + k), (q, b + k)) for p, a, n, q, b in met for k in range(n)} == want
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps: list = []
+    opened = 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, n)
+        opened += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        if gap > n:
+            insort(gaps, gap - n)
+    return opened
+
+
+@pytest.mark.parametrize("lengths", [[33] * 5 + [1], [1] * 300, [64] * 3, [n % 64 + 1 for n in range(0, 3000, 7)], [n % 9 + 1 for n in range(400)]])
+def test_supersteps_like_best_fit_decreasing(spark, lengths, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS", 100)
+    got = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length int"), 64).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths)
     by: dict = {}
-    for (length, _), (s, o) in places.items():
-        by.setdefault(s, []).append((o, length))
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for row in by.values():
         at = 0
-        for o, length in sorted(row):
+        for o, n in sorted(row):
             assert o == at
-            at += length
+            at += n
         assert at <= 64
-    total = sum(k * v for k, v in counts.items())
-    assert len(by) <= 1.5 * total / 64 + 1 or min(counts) > 16
+    assert len(by) <= 1.02 * best_fit_decreasing(lengths, 64) + 1
+
+
+def test_ids_of_odd_texts_like_the_library():
+    from tokenizers import Tokenizer
+
+    own, made, r = Tokenizer.from_file(_bpe()[0]), byte_bpe.Encoder(*_bpe(), True), random.Random(6)
+    pool = [" ", "  ", "\n", "\t", "'s", "'ll", "'re", "'", "''", "a", "don't", "é", "1", "²", "…", "日本", "😀", "!", "foo", "<|endoftext|>", "\u0378", "x" * 600, " " * 700, "\x1c", "\x85", "'S", "\u0301", "\r\n"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "ab  c\n" * 300_000]
+    assert made.same_ids()
+    for t, ids in zip(texts, made.all_ids(texts)):
+        assert ids.tolist() == own.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_of_whole_texts(spark, documents):
