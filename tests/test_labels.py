@@ -106,13 +106,59 @@ def test_chained_models(spark, frames):
     train, template = frames
     base = features.model_rows(features.model_features(train, template, None).where("feature like '%dow%' or feature = 'dayofweek'")).persist()
     rows = base.where("is_train").join(folds.hole_folds(train, 2).select("row_id", "fold"), "row_id").select("row_id", "x", "fold")
-    held, test, losses = chained.out_of_fold(rows.join(train.select("row_id", F.col("S1").alias("y")), "row_id"), base.where("not is_train").select("row_id", "x"), 2, "extra_trees", 1)
+    held, test, losses = chained.out_of_fold(rows.join(train.select("row_id", F.col("S1").alias("y")), "row_id"), base.where("not is_train").select("row_id", "x"), 2, "extra_trees", 1, 3)
     assert held.count() == 29 and test.count() == 9 and losses.count() == 2
     assert models.weighted_pair("blend", boosted=False) == [("lightgbm", 0.7), ("extra_trees", 0.3)]
 
 
-@pytest.mark.parametrize("mode", ["accuracy", "registry-ensembles"])
-def test_modes(spark, data, tmp_path, mode):
-    out = modes.run(spark, data, str(tmp_path), mode)
+EIGHT = {"submission", "submission_f1_best", "submission_f1_aggressive", "submission_f1_generalized", "submission_logloss_best", "submission_logloss_generalized", "submission_logloss_cv", "submission_legacy"}
+
+
+@pytest.mark.parametrize("mode,models", [("accuracy", None), ("registry-ensembles", ["logistic_regression"]), ("f1", ["logistic_regression", "extra_trees"])])
+def test_modes(spark, data, tmp_path, mode, models):
+    out = modes.run(spark, data, str(tmp_path), mode, models=models)
     assert all(df.count() > 0 for df in out.values())
     assert all((tmp_path / name).exists() for name in out)
+    for name in (n for n in out if n.startswith("submission")):
+        rows = out[name].collect()
+        assert len(rows) == 9 and all(r[t] is not None for r in rows for t in TARGETS)
+        whole = all(float(r[t]) in (0.0, 1.0) for r in rows for t in TARGETS)
+        assert whole or all(1e-4 <= r[t] <= 1 - 1e-4 for r in rows for t in TARGETS)
+    if mode == "accuracy":
+        assert set(out) == {"cv_scores", "cv_summary", "submission", "strategy_scores", "selected_strategies"}
+        assert {r["strategy"] for r in out["strategy_scores"].collect()} == set(modes.LEGACY)
+    elif mode == "f1":
+        assert EIGHT <= set(out)
+        names = {r[0] for r in out["model_scores"].select("submission_strategy").distinct().collect()}
+        assert names == set(modes.strategies(models)) and "meta_rule_extra_trees" in names
+        losses = out["logloss_scores"]
+        assert losses.where("submission_strategy = 'history_blend'").select("shrink_alpha").distinct().collect()[0][0] == 1.0
+        assert {r[0] for r in losses.select("fold").distinct().collect()} == set(modes.FOLDS)
+    else:
+        assert {r["source"] for r in out["registry_candidate_scores"].collect()} >= {"registry_history_blend", "registry_rule_subject_strategy_tuned", "registry_blend_logistic_regression_rule_0_25"}
+
+
+def test_candidates_are_in_the_order_in_which_they_are_made():
+    names = modes.strategies(models.model_names())
+    assert len(names) == 1 + 4 * len(models.model_names()) + 4 and names[:3] == ["rule_subject_strategy_tuned", "model_logistic_regression", "blend_logistic_regression_rule_0.25"]
+
+
+def test_variants_of_the_two_stages(spark, data, tmp_path, frames, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("ch2026_metrics_train.csv", "ch2026_submission_sample.csv"):
+        (folder / name).write_text(open(f"{data}/{name}").read())
+    days = [datetime.datetime(2024, 6, d, h) for d in range(1, 29) for h in (3, 10, 21)]
+    made = spark.createDataFrame([(s, t, float((t.day * 7 + t.hour + k) % 5)) for k, s in enumerate(("id01", "id02", "id03")) for t in days], "subject_id string, timestamp timestamp_ntz, m_activity double")
+    made.write.parquet(str(folder / "ch2025_data_items" / "ch2025_mActivity.parquet"))
+    monkeypatch.setattr(modes, "VARIANTS", {"one": (2, "xgb", "xgb"), "two": (2, "blend", "lgbm_xgb_30_70")})
+    out = modes.run(spark, str(folder), str(tmp_path / "out"), "xgb-variants", rounds=2)
+    assert set(out) == {"submission_one", "one_scores", "submission_two", "two_scores", "variant_scores"}
+    assert out["submission_two"].count() == 9 and out["variant_scores"].count() == 14
+    got = {(r["target"], r["stage"], r["model_blend"]) for r in out["two_scores"].collect()}
+    assert ("S1", "S", "lightgbm+xgboost") in got and ("Q3", "Q", "lightgbm+xgboost") in got and len(got) == 7
+    train, template = frames
+    every = features.label_rows(train, template)
+    rows = chained.chained_rows(every.select("row_id", "is_train", "subject_id", "lifelog_date"), chained.dual_features(tables.sensors(spark, f"{folder}/ch2025_data_items")))
+    shapes = {(len(r["x"]), len(r["x2"])) for r in rows.collect()}
+    assert shapes == {(2 + 2, 4 + 2)} and rows.count() == 38 and all(np.isfinite(r["x2"]).all() for r in rows.collect())

@@ -61,7 +61,7 @@ EPSILON = 1e-6
 ZSCORE_EPSILON = 1e-8
 PROBABILITY_CLIP = 1e-4
 SHRINK = (0.0, 0.15, 0.25, 0.35, 0.5, 0.75, 1.0)
-ROLLING_MASKS = {"temporal_75": 0.75, "temporal_67": 2 / 3, "temporal_80": 0.80}
+ROLLING_MASKS = {"last_quarter_by_subject": 0.75, "last_third_by_subject": 2 / 3, "last_fifth_by_subject": 0.80}
 
 # Sensor tables and their payload.
 SENSORS = {

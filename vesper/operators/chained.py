@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import heart_rate
 from ..functions.scalars import shifted_date, weekday
-from .models import blended
+from ..sources.sinks import materialised
+from .calendar import label_codes
+from .folds import hole_folds
+from .models import blended, weighted_pair
 from .scores import log_loss, zscored
 
 DAY_HOURS = (6, 19)
@@ -55,7 +58,27 @@ def dual_features(sensors: dict[str, DataFrame]) -> DataFrame:
     return zscored(out, names).withColumn("dayofweek", weekday("date"))
 
 
-def out_of_fold(rows: DataFrame, template: DataFrame, n_folds: int, mode: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+ABSOLUTE = ("day_activity", "night_activity", "daily_steps", "daily_calories", "presleep_screen", "sleep_screen", "sleep_hr", "daily_light")
+
+
+def chained_rows(labels: DataFrame, features: DataFrame) -> DataFrame:
+    """(row_id, is_train, x, x2) of all label rows: the arrays of stage S (absolute features, weekday, subject code) and of
+    stage Q (z-scores besides). A day without logs, and a feature without a value, has the training median, else 0.
+
+    ``labels`` has row_id, is_train, subject_id and lifelog_date; ``features`` is the dual feature space, keyed by date.
+    """
+    absolute = [c for c in ABSOLUTE if c in features.columns]
+    scaled = [f"{c}_zscore" for c in absolute]
+    names = [*absolute, *scaled, "dayofweek"]
+    rows = labels.join(features.withColumnRenamed("date", "lifelog_date"), ["subject_id", "lifelog_date"], "left")
+    medians = rows.where("is_train").agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_{c}") for c in names])  # one row
+    filled = rows.join(F.broadcast(medians)).join(F.broadcast(label_codes(labels, "subject_id")), "subject_id")  # a row for each subject of the label files
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"))
+    own = [F.col("code").cast("double")]
+    return filled.select("row_id", "is_train", F.array(*[value(c) for c in [*absolute, "dayofweek"]], *own).alias("x"), F.array(*[value(c) for c in names], *own).alias("x2"))
+
+
+def out_of_fold(rows: DataFrame, template: DataFrame, n_folds: int, mode: str, seed: int, rounds: int = 150) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of one target: held-out probabilities (row_id, y, p, fold), the template's mean (row_id, p), and the fold losses.
 
     ``rows`` has row_id, fold, x and y; the loop is over a handful of folds, each a distributed fit.
@@ -65,38 +88,55 @@ def out_of_fold(rows: DataFrame, template: DataFrame, n_folds: int, mode: str, s
         fit, valid = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         if fit.isEmpty() or valid.isEmpty():
             continue
-        p = blended(fit, valid, mode, seed + fold).join(valid.select("row_id", "y", "fold"), "row_id")
-        t = blended(fit, template, mode, seed + fold)
+        p = blended(fit, valid, mode, seed + fold, rounds).join(valid.select("row_id", "y", "fold"), "row_id")
+        t = blended(fit, template, mode, seed + fold, rounds)
         held = p if held is None else held.unionByName(p)
         tests = t if tests is None else tests.unionByName(t)
-    losses = held.groupBy("fold").agg(log_loss("y", "p"))
-    return held, tests.groupBy("row_id").agg(F.avg("p").alias("p")), losses
+    # models are fitted once, and their probabilities are read again by the losses and by the next stage
+    held, tests = materialised(held), materialised(tests)
+    return held, tests.groupBy("row_id").agg(F.avg("p").alias("p")), held.groupBy("fold").agg(log_loss("y", "p"))
 
 
 S_TARGETS, Q_TARGETS = ("S1", "S2", "S3", "S4"), ("Q1", "Q2", "Q3")
 
+# The variants, by name: how many folds, and the model pairs of both stages.
+VARIANTS = {
+    "xgb_only": (5, "xgb", "xgb"),
+    "lgbm_xgb_50_50": (5, "lgbm_xgb_50_50", "lgbm_xgb_50_50"),
+    "lgbm_xgb_30_70": (5, "lgbm_xgb_30_70", "lgbm_xgb_30_70"),
+    "q_xgb_s_blend": (5, "blend", "xgb"),
+    "q_70_s_blend": (5, "blend", "lgbm_xgb_30_70"),
+    "hole7_blend": (7, "blend", "blend"),
+}
+
 
-def two_stages(rows: DataFrame, template: DataFrame, labels: DataFrame, n_folds: int = 5, mode: str = "blend", chain: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(row_id, target, value) for the template and (target, logloss): stage S first, whose probabilities are features of stage Q.
+def two_stages(rows: DataFrame, labels: DataFrame, n_folds: int = 5, s_mode: str = "blend", q_mode: str = "blend", chain: bool = True, rounds: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(row_id, target, value) for the template and (target, stage, model_blend, logloss): stage S first, whose probabilities are features of stage Q.
 
-    ``rows`` and ``template`` have row_id and x, ``rows`` has fold; ``labels`` has row_id and the targets.
+    ``rows`` has row_id, is_train, x and x2 of all rows, ``labels`` row_id, subject_id, sleep_date and the targets of those to fit on.
     """
     made = losses = None
 
-    def keep(target: str, test: DataFrame, loss: DataFrame) -> None:
+    def keep(target: str, stage: str, mode: str, test: DataFrame, loss: DataFrame) -> None:
         nonlocal made, losses
-        one, two = test.select("row_id", F.lit(target).alias("target"), F.col("p").alias("value")), loss.agg(F.avg("logloss").alias("logloss")).select(F.lit(target).alias("target"), "logloss")
+        pair = "+".join(m for m, _ in weighted_pair(mode))
+        one = test.select("row_id", F.lit(target).alias("target"), F.col("p").alias("value"))
+        two = loss.agg(F.avg("logloss").alias("logloss")).select(F.lit(target).alias("target"), F.lit(stage).alias("stage"), F.lit(pair).alias("model_blend"), "logloss")
         made = one if made is None else made.unionByName(one)
         losses = two if losses is None else losses.unionByName(two)
 
-    wide, ahead = rows, template
+    folded = rows.where("is_train").join(hole_folds(labels, n_folds).select("row_id", "fold"), "row_id")
+    ahead = rows.where("not is_train")
+    known = lambda target: labels.select("row_id", F.coalesce(F.col(target), F.lit(0)).alias("y"))
+    wide, wide_ahead = folded.select("row_id", "fold", F.col("x2").alias("x")), ahead.select("row_id", F.col("x2").alias("x"))
     for target in S_TARGETS:
-        held, test, loss = out_of_fold(rows.join(labels.select("row_id", F.col(target).alias("y")), "row_id"), template, n_folds, mode, 4200)
-        keep(target, test, loss)
+        held, test, loss = out_of_fold(folded.select("row_id", "fold", "x").join(known(target), "row_id"), ahead.select("row_id", "x"), n_folds, s_mode, 4200, rounds)
+        keep(target, "S", s_mode, test, loss)
         if chain:
-            add = lambda df, p: df.join(p.select("row_id", F.col("p").alias("_p")), "row_id", "left").withColumn("x", F.concat("x", F.array(F.coalesce("_p", F.lit(0.5))))).drop("_p")
-            wide, ahead = add(wide, held), add(ahead, test)
+            add = lambda df, p: df.join(p.select("row_id", F.col("p").alias("_p")), "row_id", "left").withColumn("x", F.concat("x", F.array(F.coalesce("_p", F.lit(0.0))))).drop("_p")
+            wide, wide_ahead = add(wide, held), add(wide_ahead, test)
+    wide, wide_ahead = materialised(wide), materialised(wide_ahead)
     for target in Q_TARGETS:
-        _, test, loss = out_of_fold(wide.join(labels.select("row_id", F.col(target).alias("y")), "row_id"), ahead, n_folds, mode, 5200)
-        keep(target, test, loss)
+        _, test, loss = out_of_fold(wide.join(known(target), "row_id"), wide_ahead, n_folds, q_mode, 5200, rounds)
+        keep(target, "Q", q_mode, test, loss)
     return made, losses

@@ -70,6 +70,19 @@ def logistic_by_group(rows: DataFrame, keys: list[str], steps: int = STEPS) -> D
     return named.groupBy(*keys).applyInPandas(one, schema)
 
 
+def chained_estimators(rounds: int = 150) -> dict[str, Callable[[int], object]]:
+    """MLlib estimators of the two-stage pipeline's pairs, which have settings of their own."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    common = {"featuresCol": "features", "labelCol": "label"}
+    boosted = {"maxIter": rounds, "stepSize": 0.03, "maxDepth": 4, "subsamplingRate": 0.65}
+    return {
+        "lightgbm": lambda s: GBTClassifier(**common, **boosted, featureSubsetStrategy="0.65", seed=s),
+        "xgboost": lambda s: GBTClassifier(**common, **boosted, featureSubsetStrategy="0.65", minInfoGain=1e-4, seed=s + 1),
+        "extra_trees": lambda s: RandomForestClassifier(**common, weightCol="weight", numTrees=180, maxDepth=5, bootstrap=False, featureSubsetStrategy="sqrt", seed=s),
+    }
+
+
 def estimators() -> dict[str, Callable[[int], object]]:
     """MLlib estimators by model name, each made from a seed."""
     from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -95,11 +108,11 @@ def dependencies() -> dict[str, bool]:
     return available("sklearn", "lightgbm", "catboost", "xgboost")
 
 
-def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42) -> DataFrame:
-    """(row_id, p): probabilities of a registry model; labels of one class only give that class."""
+def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42, made: dict | None = None) -> DataFrame:
+    """(row_id, p): probabilities of a model of the registry (or of ``made``); labels of one class only give that class."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    made = estimators()
+    made = estimators() if made is None else made
     if name not in made:
         raise ValueError(f"no such model: {name}; known are {', '.join(made)}")
     rate, lowest, highest, width = fit.agg(F.avg("y"), F.min("y"), F.max("y"), F.max(F.size("x"))).first()
@@ -119,20 +132,20 @@ def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42) -
 def weighted_pair(mode: str, boosted: bool = True) -> list[tuple[str, float]]:
     """(model, weight) of the chained models; without a second boosting library the second one is extra trees."""
     alone = {"lgbm": [("lightgbm", 1.0)], "extra_trees": [("extra_trees", 1.0)]}
-    shares = {"blend": 0.7, "blend_50_50": 0.5, "blend_30_70": 0.3, "xgb": 0.0}
+    shares = {"blend": 0.7, "lgbm_xgb_50_50": 0.5, "lgbm_xgb_30_70": 0.3, "xgb": 0.0}
     if mode in alone:
         return alone[mode]
     if mode not in shares:
         raise ValueError(f"unknown model mode: {mode}")
     if not boosted:
         return [("lightgbm", 0.7), ("extra_trees", 0.3)]
-    return [(m, w) for m, w in (("lightgbm", shares[mode]), ("hist_gradient_boosting", 1 - shares[mode])) if w]
+    return [(m, w) for m, w in (("lightgbm", shares[mode]), ("xgboost", 1 - shares[mode])) if w]
 
 
-def blended(fit: DataFrame, predict: DataFrame, mode: str = "blend", seed: int = 42) -> DataFrame:
+def blended(fit: DataFrame, predict: DataFrame, mode: str = "blend", seed: int = 42, rounds: int = 150) -> DataFrame:
     """(row_id, p): the weighted mean of a pair's probabilities."""
     out = None
     for name, share in weighted_pair(mode):
-        one = fit_predict(name, fit, predict, seed).withColumn("p", F.col("p") * share)
+        one = fit_predict(name, fit, predict, seed, chained_estimators(rounds)).withColumn("p", F.col("p") * share)
         out = one if out is None else out.unionByName(one)
     return out.groupBy("row_id").agg(F.sum("p").alias("p"))

@@ -40,13 +40,13 @@ def prior_predictions(probabilities: DataFrame) -> DataFrame:
     """(predict columns, strategy, label) of all prior predictors. Blends are of probabilities here."""
     p = F.col
     named = {"global_majority": vote("p_global"), "subject_majority": vote("p_subject"), "subject_dow_majority": vote("p_subject_dow"), "global_dow_majority": vote("p_dow")}
-    named |= {f"subject_global_blend_{a:.2f}": vote(a * p("p_subject") + (1 - a) * p("p_global")) for a in ALPHAS}
+    named |= {f"blend_subject_global_{a:g}": vote(a * p("p_subject") + (1 - a) * p("p_global")) for a in ALPHAS}
     return _long(probabilities, named)
 
 
 def vote_blends(probabilities: DataFrame) -> DataFrame:
     """The blends as validation scores them: of hard votes instead of probabilities."""
-    named = {f"subject_global_blend_{a:.2f}": vote(a * vote("p_subject") + (1 - a) * vote("p_global")) for a in ALPHAS}
+    named = {f"blend_subject_global_{a:g}": vote(a * vote("p_subject") + (1 - a) * vote("p_global")) for a in ALPHAS}
     return _long(probabilities, named)
 
 
@@ -62,5 +62,5 @@ def rolling_majorities(fit: DataFrame, predict: DataFrame, sizes: tuple[int, ...
     tails = fit.withColumn("_back", F.row_number().over(back)).groupBy("subject_id", "target").agg(*[F.avg(F.when(F.col("_back") <= n, F.col("y"))).alias(f"_{n}") for n in sizes])
     whole = fit.groupBy("target").agg(F.avg("y").alias("_global"))
     out = predict.join(tails, ["subject_id", "target"], "left").join(whole, "target", "left")
-    each = F.array(*[F.struct(F.lit(f"rolling_majority_{n}").alias("strategy"), vote(F.coalesce(f"_{n}", "_global")).alias("label")) for n in sizes])
+    each = F.array(*[F.struct(F.lit(f"rolling_last_{n}").alias("strategy"), vote(F.coalesce(f"_{n}", "_global")).alias("label")) for n in sizes])
     return out.select(*predict.columns, F.explode(each).alias("_s")).select(*predict.columns, "_s.*")

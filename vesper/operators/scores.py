@@ -46,9 +46,10 @@ def generalization_summary(scores: DataFrame) -> DataFrame:
     return out.withColumn("generalization_score", F.col("mean_f1") - 0.5 * F.col("std_f1") + 0.1 * F.col("min_f1"))
 
 
-def mean_by(scores: DataFrame, *keys: str, value: str = "logloss") -> DataFrame:
-    """Leaderboards: the mean of a score by variant, source, model type or fold, best first."""
-    return scores.groupBy(*keys).agg(F.avg(value).alias(f"mean_{value}")).orderBy(f"mean_{value}", *keys)
+def mean_by(scores: DataFrame, *keys: str, value: str = "logloss", limit: int | None = None) -> DataFrame:
+    """Leaderboards: the mean of a score by variant, source, model type or fold, best first; all or the first ``limit``."""
+    out = scores.groupBy(*keys).agg(F.avg(value).alias(f"mean_{value}")).orderBy(f"mean_{value}", *keys)
+    return out if limit is None else out.limit(limit)
 
 
 def fold_mean(scores: DataFrame, *keys: str, value: str = "logloss") -> DataFrame:

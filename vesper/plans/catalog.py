@@ -355,18 +355,18 @@ def prior_probabilities(spark, d):
 _UNPIVOT = lambda named: " UNION ALL ".join(f"SELECT row_id, subject_id, lifelog_date, target, '{n}' AS strategy, {e} AS label FROM pp" for n, e in named.items())
 
 
-@query("prior_predictions", f"{_PRIORS} " + _UNPIVOT({"global_majority": _VOTE("p_global"), "subject_majority": _VOTE("p_subject"), "subject_dow_majority": _VOTE("p_subject_dow"), "global_dow_majority": _VOTE("p_dow"), **{f"subject_global_blend_{a:.2f}": _VOTE(f"({a} * p_subject + {1 - a} * p_global)") for a in priors.ALPHAS}}), dates=("lifelog_date",))
+@query("prior_predictions", f"{_PRIORS} " + _UNPIVOT({"global_majority": _VOTE("p_global"), "subject_majority": _VOTE("p_subject"), "subject_dow_majority": _VOTE("p_subject_dow"), "global_dow_majority": _VOTE("p_dow"), **{f"blend_subject_global_{a:g}": _VOTE(f"({a} * p_subject + {1 - a} * p_global)") for a in priors.ALPHAS}}), dates=("lifelog_date",))
 def prior_predictions(spark, d):
     return priors.prior_predictions(priors.prior_probabilities(*_fit_predict(spark, d)))
 
 
-@query("vote_blends", f"{_PRIORS} " + _UNPIVOT({f"subject_global_blend_{a:.2f}": _VOTE(f"({a} * {_VOTE('p_subject')} + {1 - a} * {_VOTE('p_global')})") for a in priors.ALPHAS}), dates=("lifelog_date",))
+@query("vote_blends", f"{_PRIORS} " + _UNPIVOT({f"blend_subject_global_{a:g}": _VOTE(f"({a} * {_VOTE('p_subject')} + {1 - a} * {_VOTE('p_global')})") for a in priors.ALPHAS}), dates=("lifelog_date",))
 def vote_blends(spark, d):
     return priors.vote_blends(priors.prior_probabilities(*_fit_predict(spark, d)))
 
 
 @query("rolling_majorities", f"""{_FIRST}, t AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY lifelog_date DESC) AS bk FROM fit), s AS (SELECT subject_id, {', '.join(f"avg(y) FILTER (bk <= {n}) AS m{n}" for n in priors.ROLLING)} FROM t GROUP BY 1), j AS (SELECT pre.*, s.* EXCLUDE (subject_id), (SELECT avg(y) FROM fit) AS g FROM pre LEFT JOIN s USING (subject_id))
-""" + " UNION ALL ".join(f"SELECT row_id, subject_id, lifelog_date, target, 'rolling_majority_{n}' AS strategy, (coalesce(m{n}, g) >= 0.5)::INT AS label FROM j" for n in priors.ROLLING), dates=("lifelog_date",))
+""" + " UNION ALL ".join(f"SELECT row_id, subject_id, lifelog_date, target, 'rolling_last_{n}' AS strategy, (coalesce(m{n}, g) >= 0.5)::INT AS label FROM j" for n in priors.ROLLING), dates=("lifelog_date",))
 def rolling_majorities(spark, d):
     return priors.rolling_majorities(*_fit_predict(spark, d))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import TARGETS
-from ..functions.scalars import aggressive, blend, history_probability, label_at
-from ..operators.chained import two_stages
-from ..operators.folds import hole_folds, rolling_masks, subject_folds, temporal_mask
-from ..operators.history import label_history, long_labels
-from ..operators.models import dependencies, logistic_by_group
+from ..functions.constants import ROLLING_MASKS, TARGETS
+from ..functions.scalars import aggressive, blend, file_safe_name, history_probability, label_at, shrink, strategy_model
+from ..operators.chained import VARIANTS, chained_rows, dual_features, two_stages
+from ..operators.folds import rolling_masks, subject_folds, temporal_mask
+from ..operators.history import label_history, long_labels, template_history
+from ..operators.models import dependencies, fit_predict, logistic_by_group, model_names
 from ..operators.priors import prior_predictions, prior_probabilities, rolling_majorities, vote_blends
 from ..operators.rules import optimistic_predictions, tuned_predictions, validation_predictions
 from ..operators.scores import binary_scores, cv_summary, logloss_summary
@@ -20,7 +22,29 @@ from .features import label_rows, model_features, model_rows, sensor_features
 
 MODES = ("f1", "accuracy", "xgb-variants", "registry-ensembles", "lstm", "sequence-variants", "lstm-targetwise", "anchor-stack", "conservative-blend", "feature-diagnosis", "raw-cnn", "new-models", "oof-ensemble")
 AVAILABLE = ("f1", "accuracy", "xgb-variants", "registry-ensembles")
+
+# Shares of a model in its blends with the rule, models with the rule as a feature, and the order of legacy predictors.
 BLENDS = (0.25, 0.5, 0.75)
+META_MODELS = ("extra_trees", "lightgbm", "catboost", "hist_gradient_boosting")
+RULE, HISTORY = "rule_subject_strategy_tuned", "history_blend"
+FOLDS = tuple(ROLLING_MASKS)
+LEGACY = ("logistic", "global_majority", "subject_majority", "subject_dow_majority", "global_dow_majority", *[f"blend_subject_global_{a:g}" for a in BLENDS], *[f"rolling_last_{n}" for n in (1, 3, 5, 7, 14)], "subject_strategy_tuned")
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def strategies(models: tuple[str, ...] | list[str]) -> list[str]:
+    """All candidates in the order in which they are made: the rule, each model with its blends, the models on the rule."""
+    each = [s for m in models for s in (f"model_{m}", *[f"blend_{m}_rule_{a:g}" for a in BLENDS])]
+    return [RULE, *each, *[f"meta_rule_{m}" for m in META_MODELS if m in models]]
+
+
+# ---- legacy: thirteen simple predictors and the logistic model
 
 
 def cross_validation(labels: DataFrame, rows: DataFrame) -> DataFrame:
@@ -34,104 +58,238 @@ def cross_validation(labels: DataFrame, rows: DataFrame) -> DataFrame:
     return scored.groupBy("fold", "strategy", "target").agg(*binary_scores("y", "label"))
 
 
-def baseline_scores(labels: DataFrame) -> DataFrame:
-    """(target, strategy, accuracy, f1, positive_rate, candidate_ord) of thirteen predictors on the last quarter."""
+def baseline_scores(labels: DataFrame, cv: DataFrame | None = None) -> DataFrame:
+    """(target, strategy, accuracy, f1, positive_rate, candidate_ord) of the simple predictors on the last quarter, and of
+    the logistic model where its cross-validation is given; the order is that in which candidates are made."""
     y = long_labels(labels, TARGETS)
     split = temporal_mask(y)
     fit, valid = split.where("not is_valid").select(*y.columns), split.where("is_valid").select(*y.columns)
     p = prior_probabilities(fit, valid)
-    every = prior_predictions(p).where("strategy not like 'subject_global_blend%'").unionByName(vote_blends(p)).unionByName(rolling_majorities(fit, valid))
+    every = prior_predictions(p).where("strategy not like 'blend%'").unionByName(vote_blends(p)).unionByName(rolling_majorities(fit, valid))
     tuned = optimistic_predictions(fit, valid).select(*valid.columns, F.lit("subject_strategy_tuned").alias("strategy"), "label")
     out = every.unionByName(tuned).groupBy("target", "strategy").agg(*binary_scores("y", "label"))
-    return out.withColumn("candidate_ord", F.col("strategy"))
+    if cv is not None:
+        out = out.unionByName(cv.where("strategy = 'temporal'").select("target", F.lit("logistic").alias("strategy"), "accuracy", "f1", "positive_rate"))
+    return out.withColumn("candidate_ord", F.array_position(F.array(*map(F.lit, LEGACY)), F.col("strategy")))
 
 
-def candidate_probabilities(labels: DataFrame, rows: DataFrame) -> DataFrame:
-    """(fold, target, submission_strategy, model_name, candidate_ord, row_id, y, p) on the three rolling folds.
+def legacy_predictions(train: DataFrame, template: DataFrame, rows: DataFrame, selected: DataFrame) -> DataFrame:
+    """(row_id, target, value): the template's labels by each target's selected predictor, fitted on all of train.
 
-    Candidates are the tuned rule, the logistic model, their blends, and the subject history.
+    All fourteen sets of predictions are one long table; the join with the selection leaves those that are asked for.
     """
+    y = long_labels(train, TARGETS)
+    every = label_rows(train, template)
+    wanted = every.where("not is_train").select("row_id", "subject_id", "lifelog_date").join(F.broadcast(y.select("target").distinct()))  # seven targets
+    keep = ["row_id", "target", "strategy", "label"]
+    sets = prior_predictions(prior_probabilities(y, wanted)).select(*keep).unionByName(rolling_majorities(y, wanted).select(*keep))
+    sets = sets.unionByName(tuned_predictions(y, wanted).withColumn("strategy", F.lit("subject_strategy_tuned")).select(*keep))
+    sets = sets.unionByName(_logistic(every, rows).select("row_id", "target", F.lit("logistic").alias("strategy"), label_at("p", 0.5).alias("label")))
+    return sets.join(selected.select("target", "strategy"), ["target", "strategy"]).select("row_id", "target", F.col("label").alias("value"))
+
+
+def _logistic(every: DataFrame, rows: DataFrame) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in TARGETS])
+    long = every.select("row_id", (~F.col("is_train")).alias("is_valid"), F.explode(each).alias("_t")).select("row_id", "is_valid", "_t.*").fillna(0.0, ["y"])
+    return logistic_by_group(long.join(rows.select("row_id", "x"), "row_id"), ["target"])
+
+
+# ---- candidates: the rule, registry models, their blends, and models on the rule
+
+
+def _probabilities(fit: DataFrame, ahead: DataFrame, asked: list[str]) -> list[DataFrame]:
+    """(row_id, submission_strategy, p) of one target's asked strategies; each model is fitted once for all of its blends.
+
+    ``fit`` has row_id, x, y, last_value and prior, ``ahead`` row_id, x and rule. A model that fails is left out, with a warning.
+    """
+    out = [ahead.select("row_id", F.lit(RULE).alias("submission_strategy"), F.col("rule").alias("p"))] if RULE in asked else []
+    models = dict.fromkeys(s[len("meta_rule_"):] if s.startswith("meta_rule_") else s.split("_", 1)[1].split("_rule_")[0] for s in asked if s not in (RULE, HISTORY))
+    with_rule = lambda df, c: df.withColumn("x", F.concat("x", F.array(c.cast("double"))))
+    for model in models:
+        plain = [s for s in asked if s == f"model_{model}" or s.startswith(f"blend_{model}_rule_")]
+        for meta, names in ((False, plain), (True, [s for s in asked if s == f"meta_rule_{model}"])):
+            if not names:
+                continue
+            one, two = (with_rule(fit, F.coalesce("last_value", "prior")), with_rule(ahead, F.col("rule"))) if meta else (fit, ahead)
+            try:
+                p = sinks.materialised(fit_predict(model, one.select("row_id", "x", "y"), two.select("row_id", "x"), 2026).join(ahead.select("row_id", "rule"), "row_id"))
+            except Exception as error:  # noqa: BLE001
+                warnings.warn(f"skipped {model}: {error}", stacklevel=2)
+                continue
+            for name in names:
+                value = blend("p", "rule", float(name.rsplit("_", 1)[1])) if name.startswith("blend_") else F.col("p")
+                out.append(p.select("row_id", F.lit(name).alias("submission_strategy"), value.alias("p")))
+    return out
+
+
+def candidate_probabilities(labels: DataFrame, rows: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """(fold, target, submission_strategy, model_name, candidate_ord, row_id, y, prior, p) on the three rolling folds.
+
+    The loops are over folds, targets and models; each turn is a distributed fit.
+    """
+    asked = strategies(model_names() if models is None else models)
     y = long_labels(labels, TARGETS)
-    out = None
-    for fold in ("temporal_75", "temporal_67", "temporal_80"):
+    past = sinks.materialised(label_history(y).select("row_id", "target", "last_value", "last_7_mean", "last_3_mean", "dow_mean"))
+    parts = []
+    for fold in FOLDS:
         masked = rolling_masks(y).where(F.col("fold") == fold)
         fit, valid = masked.where("not is_valid").select(*y.columns), masked.where("is_valid").select(*y.columns)
-        rule = validation_predictions(fit, valid).select("row_id", "target", "y", F.col("label").cast("double").alias("rule"))
-        model = logistic_by_group(masked.join(rows.select("row_id", "x"), "row_id").withColumn("fold", F.lit(fold)), ["target", "fold"]).select("row_id", "target", "p")
         prior = fit.groupBy("target").agg(F.avg("y").alias("prior"))
-        past = label_history(y).select("row_id", "target", "last_7_mean", "last_3_mean", "dow_mean")
-        both = rule.join(model, ["row_id", "target"]).join(prior, "target").join(past, ["row_id", "target"])
-        named = [("rule_subject_strategy_tuned", "rule", F.col("rule")), ("model_logistic", "logistic", F.col("p"))]
-        named += [(f"blend_logistic_rule_{a}", "logistic", blend("p", "rule", a)) for a in BLENDS]
-        named += [("history_blend", "history", history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior")))]
-        each = F.array(*[F.struct(F.lit(s).alias("submission_strategy"), F.lit(m).alias("model_name"), F.lit(i).alias("candidate_ord"), v.alias("p")) for i, (s, m, v) in enumerate(named)])
-        one = both.select(F.lit(fold).alias("fold"), "target", "row_id", "y", "prior", F.explode(each).alias("_c")).select("fold", "target", "row_id", "y", "prior", "_c.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        rule = validation_predictions(fit, valid).select("row_id", "target", "y", F.col("label").cast("double").alias("rule"))
+        x = rows.select("row_id", "x")
+        one = sinks.materialised(fit.select("row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
+        two = sinks.materialised(rule.join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
+        for target in TARGETS:
+            ahead = two.where(F.col("target") == target)
+            found = _probabilities(one.where(F.col("target") == target), ahead, asked)
+            found.append(ahead.select("row_id", F.lit(HISTORY).alias("submission_strategy"), history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior")).alias("p")))
+            parts.append(_stacked(found).join(ahead.select("row_id", "y", "prior"), "row_id").select(F.lit(fold).alias("fold"), F.lit(target).alias("target"), "*"))
+    out = _stacked(parts)
+    order = F.array_position(F.array(*map(F.lit, [*asked, HISTORY])), F.col("submission_strategy"))
+    return out.withColumn("model_name", strategy_model("submission_strategy")).withColumn("candidate_ord", order)
 
 
 def f1_scores(candidates: DataFrame) -> DataFrame:
-    return best_thresholds(candidates, ["fold", "target", "submission_strategy", "model_name", "candidate_ord"])
+    scored = candidates.where(F.col("submission_strategy") != HISTORY)
+    return best_thresholds(scored, ["fold", "target", "submission_strategy", "model_name", "candidate_ord"])
 
 
 def logloss_scores(candidates: DataFrame) -> DataFrame:
-    return shrink_grid(candidates, ["fold", "target", "submission_strategy", "model_name"])
+    """Losses of all shrinkage factors; of the subject history, which leans on the prior by itself, of the factor 1 alone."""
+    out = shrink_grid(candidates, ["fold", "target", "submission_strategy", "model_name"])
+    return out.where((F.col("submission_strategy") != HISTORY) | (F.col("shrink_alpha") == 1.0))
 
 
-def _final(candidates_train: DataFrame, train: DataFrame, template: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row_id, target, rule, p, prior) of the template's rows from fits on all of train."""
+def final_probabilities(train: DataFrame, template: DataFrame, rows: DataFrame, asked: dict[str, list[str]]) -> DataFrame:
+    """(row_id, target, submission_strategy, p, prior) of the template's rows, of each target's asked strategies fitted on all of train."""
     y = long_labels(train, TARGETS)
     every = label_rows(train, template)
     ahead = every.where("not is_train")
-    wanted = ahead.select("row_id", "subject_id", "lifelog_date").join(y.select("target").distinct())
+    wanted = ahead.select("row_id", "subject_id", "lifelog_date").join(F.broadcast(y.select("target").distinct()))  # seven targets
     rule = tuned_predictions(y, wanted).select("row_id", "target", F.col("label").cast("double").alias("rule"))
-    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in TARGETS])
-    long = every.select("row_id", (~F.col("is_train")).alias("is_valid"), F.explode(each).alias("_t")).select("row_id", "is_valid", "_t.*").fillna(0.0, ["y"])
-    model = logistic_by_group(long.join(rows.select("row_id", "x"), "row_id"), ["target"]).select("row_id", "target", "p")
-    return rule.join(model, ["row_id", "target"]).join(y.groupBy("target").agg(F.avg("y").alias("prior")), "target")
+    prior, x = y.groupBy("target").agg(F.avg("y").alias("prior")), rows.select("row_id", "x")
+    past = label_history(y).select("row_id", "target", "last_value")
+    one = sinks.materialised(y.select("row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
+    later = template_history(y, ahead).select("row_id", "target", "last_7_mean", "last_3_mean", "dow_mean")
+    two = sinks.materialised(rule.join(later, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
+    parts = []
+    for target, names in sorted(asked.items()):
+        mine = two.where(F.col("target") == target)
+        found = _probabilities(one.where(F.col("target") == target), mine, list(dict.fromkeys(names)))
+        if HISTORY in names:
+            found.append(mine.select("row_id", F.lit(HISTORY).alias("submission_strategy"), history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior")).alias("p")))
+        parts.append(_stacked(found).join(mine.select("row_id", "prior"), "row_id").withColumn("target", F.lit(target)))
+    return _stacked(parts).select("row_id", "target", "submission_strategy", "p", "prior")
+
+
+def _asked(*chosen: DataFrame) -> dict[str, list[str]]:
+    """The strategies that selections name, by target: as many as targets times selections."""
+    out: dict[str, list[str]] = {}
+    for df in chosen:
+        for r in df.select("target", "submission_strategy").distinct().collect():
+            out.setdefault(r["target"], []).append(r["submission_strategy"])
+    return out
+
+
+# ---- outputs
+
 
+def f1_outputs(train: DataFrame, template: DataFrame, rows: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
+    """Scores and selections, and the submissions of the best, the stable and the calibrated choices."""
+    scored, losses = sinks.materialised(f1_scores(candidates)), sinks.materialised(logloss_scores(candidates))
+    quarter = scored.where(F.col("fold") == FOLDS[0])
+    chosen, stable, calm = (sinks.materialised(x) for x in (select_by_f1(quarter), select_generalized(scored), select_logloss(losses)))
+    final = sinks.materialised(final_probabilities(train, template, rows, _asked(chosen, stable, calm)))
+    ahead = label_rows(train, template).where("not is_train")
+    of = lambda df, *more: final.join(df.select("target", "submission_strategy", *more), ["target", "submission_strategy"])
 
-def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", train_csv: str = "ch2026_metrics_train.csv", template_csv: str = "ch2026_submission_sample.csv") -> dict[str, DataFrame]:
-    """Run a mode and write its CSV files; the frames by name. Modes whose models have no public definition raise NotImplementedError."""
+    def frame(df: DataFrame, value, as_int: bool = True) -> DataFrame:
+        return sinks.predictions_frame(ahead, df.select("row_id", "target", value.alias("value")), as_int=as_int)
+
+    best, safe = of(chosen, "threshold"), of(stable, "threshold")
+    first = frame(best, label_at("p", F.col("threshold")))
+    return {
+        "submission": first, "submission_f1_best": first,
+        "submission_f1_aggressive": frame(best, label_at("p", aggressive("threshold"))),
+        "submission_f1_generalized": frame(safe, label_at("p", F.col("threshold"))),
+        "submission_logloss_best": frame(best, F.col("p"), False),
+        "submission_logloss_generalized": frame(safe, F.col("p"), False),
+        "submission_logloss_cv": frame(of(calm, "shrink_alpha"), shrink("p", "prior", F.col("shrink_alpha")), False),
+        "model_scores": scored, "generalization_scores": scored, "strategy_scores": quarter, "selected_strategies": chosen, "generalized_strategies": stable,
+        "logloss_scores": losses, "logloss_summary": logloss_summary(losses), "logloss_selected_strategies": calm,
+    }
+
+
+def registry_outputs(train: DataFrame, template: DataFrame, rows: DataFrame, losses: DataFrame, output_dir: str) -> dict[str, DataFrame]:
+    """The best factor of each target and strategy, and the probabilities of all strategies, clipped; a target without a
+    candidate has its prior. Probabilities are one table partitioned by source, and a submission for each source is a slice of it."""
+    best = sinks.materialised(registry(losses))
+    final = final_probabilities(train, template, rows, _asked(best))
+    found = final.join(best.select("target", "submission_strategy", "source", "shrink_alpha"), ["target", "submission_strategy"])
+    found = sinks.materialised(found.select("row_id", "target", F.concat(F.lit("registry_"), "source").alias("strategy"), shrink("p", "prior", F.col("shrink_alpha")).alias("value")))
+    prior = long_labels(train, TARGETS).groupBy("target").agg(F.avg("y").alias("prior"))
+    ahead = label_rows(train, template).where("not is_train")
+    every = ahead.select("row_id").join(F.broadcast(found.select("strategy").distinct())).join(F.broadcast(prior))  # strategies and targets: a few dozen rows
+    filled = every.join(found, ["row_id", "target", "strategy"], "left").select("row_id", "target", "strategy", F.coalesce("value", "prior").alias("value"))
+    filled = sinks.materialised(filled)
+    sinks.write_registry(filled, output_dir)
+    manifest = best.select("target", F.concat(F.lit("registry_"), "source").alias("source"), F.concat(F.lit("submission_registry_"), "source").alias("submission"), "mean_logloss", "std_logloss", "max_logloss", "shrink_alpha", "selection_score")
+    out = {"registry_logloss_scores": losses, "registry_candidate_scores": manifest}
+    for name in sorted(r[0] for r in filled.select("strategy").distinct().collect()):
+        out[f"submission_{file_safe_name(name)}"] = sinks.predictions_frame(ahead, filled.where(F.col("strategy") == name).select("row_id", "target", "value"), as_int=False)
+    return out
+
+
+def chained_outputs(train: DataFrame, template: DataFrame, logs: dict[str, DataFrame], variants: dict[str, tuple[int, str, str]], rounds: int = 150, clip: float = 1e-4) -> dict[str, DataFrame]:
+    """Of each variant the clipped submission and the scores, and the scores of all as one table."""
+    if not logs:
+        raise ValueError("the two-stage pipeline needs sensor logs")
+    every = label_rows(train, template)
+    rows = sinks.materialised(chained_rows(every.select("row_id", "is_train", "subject_id", "lifelog_date"), dual_features(logs)))
+    ahead, out, scores = every.where("not is_train"), {}, []
+    for name, (n_folds, s_mode, q_mode) in variants.items():
+        values, losses = two_stages(rows, train, n_folds, s_mode, q_mode, rounds=rounds)
+        out[f"submission_{name}"] = sinks.predictions_frame(ahead, values, as_int=False, clip=clip)
+        out[f"{name}_scores"] = sinks.materialised(losses)
+        scores.append(out[f"{name}_scores"].withColumn("variant", F.lit(name)))
+    out["variant_scores"] = _stacked(scores)
+    return out
+
+
+def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", train_csv: str = "ch2026_metrics_train.csv", template_csv: str = "ch2026_submission_sample.csv", items: str = "ch2025_data_items", models: list[str] | None = None, rounds: int = 150) -> dict[str, DataFrame]:
+    """Run a mode and write its CSV files; the frames by name. Modes whose models have no public definition raise NotImplementedError.
+
+    ``models`` are the registry models to try (all by default), ``rounds`` those of the chained boosting.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}; known are {', '.join(MODES)}")
     if mode not in AVAILABLE:
         raise NotImplementedError(f"mode {mode} is not available")
     train, template = tables.labels(spark, f"{data_dir}/{train_csv}"), tables.labels(spark, f"{data_dir}/{template_csv}")
-    logs = tables.sensors(spark, f"{data_dir}/ch2025_data_items")
-    features = model_features(train, template, sensor_features(logs) if logs else None)
-    rows = sinks.materialised(model_rows(features))
-    out: dict[str, DataFrame] = {}
-    if mode == "accuracy":
-        scores = baseline_scores(train)
-        out = {"strategy_scores": scores, "selected_strategies": select_by_accuracy(scores)}
-    elif mode == "xgb-variants":
-        folds = hole_folds(train).select("row_id", "fold")
-        values, losses = two_stages(rows.where("is_train").join(folds, "row_id").select("row_id", "x", "fold"), rows.where("not is_train").select("row_id", "x"), train)
-        out = {"variant_scores": losses, "chained": values}
+    logs = tables.sensors(spark, f"{data_dir}/{items}")
+    if mode == "xgb-variants":
+        out = chained_outputs(train, template, logs, VARIANTS, rounds)
     else:
-        candidates = sinks.materialised(candidate_probabilities(train, rows))
-        losses = logloss_scores(candidates)
-        if mode == "registry-ensembles":
-            out = {"registry": registry(losses), "logloss_scores": losses}
+        features = model_features(train, template, sensor_features(logs) if logs else None)
+        rows = sinks.materialised(model_rows(features))
+        ahead = label_rows(train, template).where("not is_train")
+    if mode == "registry-ensembles":
+        losses = sinks.materialised(logloss_scores(candidate_probabilities(train, rows, models)))
+        out = registry_outputs(train, template, rows, losses, output_dir)
+    elif mode in ("accuracy", "f1"):
+        cv = sinks.materialised(cross_validation(train, rows))
+        scores = sinks.materialised(baseline_scores(train, cv))
+        selected = select_by_accuracy(scores)
+        legacy = sinks.predictions_frame(ahead, legacy_predictions(train, template, rows, selected))
+        out = {"cv_scores": cv, "cv_summary": cv_summary(cv)}
+        if mode == "accuracy":
+            out |= {"submission": legacy, "strategy_scores": scores, "selected_strategies": selected}
         else:
-            cv = cross_validation(train, rows)
-            scored = f1_scores(candidates)
-            chosen = select_by_f1(scored.where("fold = 'temporal_75'"))
-            stable = select_generalized(scored)
-            final = _final(candidates, train, template, rows)
-            p = final.select("row_id", "target", F.col("rule"), F.col("p"))
-            picked = p.join(chosen.select("target", "submission_strategy", "threshold"), "target")
-            share = F.regexp_extract("submission_strategy", r"_rule_([0-9.]+)$", 1).try_cast("double")
-            value = F.when(F.col("submission_strategy").startswith("rule"), F.col("rule")).when(share.isNotNull(), blend("p", "rule", share)).otherwise(F.col("p"))
-            labelled = picked.withColumn("q", value)
-            ahead = label_rows(train, template).where("not is_train")
-            out = {
-                "cv_scores": cv, "cv_summary": cv_summary(cv), "model_scores": scored, "selected": chosen, "generalized": stable, "logloss_scores": losses, "logloss_summary": logloss_summary(losses), "logloss_selected": select_logloss(losses),
-                "submission": sinks.predictions_frame(ahead, labelled.select("row_id", "target", label_at("q", F.col("threshold")).alias("value"))),
-                "submission_aggressive": sinks.predictions_frame(ahead, labelled.select("row_id", "target", label_at("q", aggressive("threshold")).alias("value"))),
-                "submission_logloss": sinks.predictions_frame(ahead, labelled.select("row_id", "target", F.col("q").alias("value")), as_int=False),
-            }
+            out |= f1_outputs(train, template, rows, sinks.materialised(candidate_probabilities(train, rows, models)))
+            out["submission_legacy"] = legacy
+            if logs:
+                chained = chained_outputs(train, template, logs, {"chained": (5, "blend", "blend")}, rounds)
+                out |= {"submission_chained": chained["submission_chained"], "chained_scores": chained["chained_scores"]}
     for name, df in out.items():
         sinks.write_csv(df, f"{output_dir}/{name}")
     return out
