@@ -17,11 +17,6 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def listed(cell: Column, kind: str) -> Column:
-    """The array, or an empty one of that type for null."""
-    return F.coalesce(cell, F.array().cast(kind))
-
-
 def numbers(cell: Column) -> Column:
     """The finite values of an array of numbers, as doubles; null for null."""
     return F.filter(F.transform(cell, lambda x: finite(x)), lambda x: x.isNotNull())

@@ -23,18 +23,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> dict:
     """Balanced logistic regression by gradient descent on clipped z-scores; one class only gives a constant."""
     if y.min() == y.max():
         return {"constant": float(y[0])}
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale == 0, 1.0, scale)
-    z = np.clip((x - mean) / scale, -8, 8)
-    rate = y.mean()
-    share = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
-    w, bias = np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))
-    for step in range(steps):
-        error = (_squashed(z @ w + bias) - y) * share
-        speed = 0.08 / (1 + step / 250)
-        w = w - speed * (z.T @ error / len(y) + 0.01 * w)
-        bias -= speed * float(error.mean())
-    return {"weights": w, "bias": bias, "mean": mean, "scale": scale}
+    model = {"mean": x.mean(axis=0), "scale": np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)}
+    # one design matrix with a column of ones: the last coefficient is the bias, which alone isn't drawn to 0
+    design = np.column_stack([_standard(model, x), np.ones(len(y))])
+    drawn = np.append(np.full(x.shape[1], 0.01), 0.0)
+    ones = y.mean()
+    # rows weighted so that both classes count half; the mean over rows is in the weights
+    pull = (design * (np.where(y == 1, 0.5 / ones, 0.5 / (1 - ones)) / len(y))[:, None]).T
+    model["theta"] = np.append(np.zeros(x.shape[1]), np.log(ones / (1 - ones)))
+    for speed in 0.08 / (1 + np.arange(steps) / 250):
+        model["theta"] = model["theta"] - speed * (pull @ (_squashed(design @ model["theta"]) - y) + drawn * model["theta"])
+    return model
+
+
+def _standard(model: dict, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -8, 8)
 
 
 def _squashed(logits: np.ndarray) -> np.ndarray:
@@ -44,7 +47,7 @@ def _squashed(logits: np.ndarray) -> np.ndarray:
 def predict_logistic(model: dict, x: np.ndarray) -> np.ndarray:
     if "constant" in model:
         return np.full(len(x), model["constant"])
-    return _squashed(np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["weights"] + model["bias"])
+    return _squashed(_standard(model, x) @ model["theta"][:-1] + model["theta"][-1])
 
 
 def logistic_by_group(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:

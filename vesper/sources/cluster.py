@@ -24,10 +24,15 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def set_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (local mode) a temporary one is made and set."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and the session is local a temporary one is made and set.
+
+    On a cluster executors would each write to a disk of their own, so there the setting is needed.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = folder or tempfile.mkdtemp(prefix="vesper-checkpoint-")
         context.setCheckpointDir(folder)
     return folder or context._jsc.sc().getCheckpointDir().get()
