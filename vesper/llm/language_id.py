@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._bytes import ALNUM, LOWER, blocks
+from ._session import ship
 
 UNDETERMINED = "und"
 PREDICTION = T.StructType(
@@ -138,6 +139,7 @@ def fit(
     rejection floor is ``slack`` times the ``low`` quantile of the cosines that texts of the fit reach with
     centroids of the other half of them.
     """
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("y is not null and t is not null")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
