@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+from hashlib import sha256
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vesper.llm import _session, decontaminate, packing, queries, secrets, substring_dedup
+from vesper.llm import _session, decontaminate, packing, pii, queries, secrets, substring_dedup
 
-from .test_operators import SF, _bpe, prose, table
+from . import brute
+from .test_operators import SF, _bpe, documents, prose, table  # noqa: F401
 
 
 def edited(words: list[str], rate: float, r: random.Random) -> list[str]:
@@ -99,3 +101,26 @@ def test_a_stage_leaves_tables_of_other_queries(spark):
     assert own
     _session.release(spark, own)
     assert not own
+
+
+def test_surrogates_over_a_corpus_are_distinct_and_constant(spark, documents):
+    keyed, seen = pii.Keyed(queries.DEMO_KEY), {}
+    got = {r["doc_id"]: r for r in queries.op1_pii_surrogates(spark, SF).collect()}
+    for i, t, *_ in documents:
+        want, spans = pii.rewrite(keyed, t or "", {})
+        assert (got[i]["text"] or "") == want and got[i]["entities"] == ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+        for e in pii.entities(t or ""):
+            made = pii._surrogate(keyed, (t or ""), e, {})
+            kind, norm = ("phone", e[3][-10:]) if e[2] == "phone" else e[2:]
+            plain = "".join(c for c in made.lower() if c.isalnum())[-10 if kind == "phone" else 0 :]
+            assert seen.setdefault((kind, norm), plain) == plain and plain != "".join(c for c in norm.lower() if c.isalnum())
+    assert len(set((k, v) for (k, _), v in seen.items())) == len(seen) > 10
+
+
+def test_secret_query_like_the_definition(spark, documents):
+    got = {r["doc_id"]: r for r in queries.op6_secret_scan(spark, SF).collect()}
+    for i, t, *_ in documents:
+        want = brute.secrets(t)
+        assert got[i]["base_sha256"] == sha256(",".join(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+        assert set(want) <= set(got[i]["spans"].split(",")) | {""}
