@@ -384,12 +384,34 @@ def rule_labels(spark, d):
     return rules.rule_labels(*_fit_predict(spark, d)).select("row_id", "rule", "label")
 
 
-@query("tuned_rules")
+_F1 = "(2 * pr * rc / greatest(pr + rc, 1e-12))"
+
+
+def _rules_sql(fit: str, predict: str, more: str) -> str:
+    """CTEs of all rules' labels (rl) for the rows of one table from those of another, with the columns ``more`` of the former."""
+    each = " UNION ALL ".join(f"SELECT row_id, subject_id, {more}'{r}' AS rule, {i} AS ord, CASE WHEN t IS NULL THEN 1 ELSE {e} END AS label FROM jr" for i, (r, e) in enumerate(_RULE_SQL.items()))
+    return f"""sr AS (SELECT subject_id, list(y ORDER BY lifelog_date) AS t, avg(y) AS m FROM {fit} GROUP BY 1), dr AS (SELECT subject_id, isodow(lifelog_date) AS w, avg(y) AS dm, arg_max(y, lifelog_date) AS dl FROM {fit} GROUP BY ALL),
+jr AS (SELECT p.*, t, m, dm, dl, len(t) AS n, row_number() OVER (PARTITION BY p.subject_id ORDER BY row_id) - 1 AS pos FROM {predict} p LEFT JOIN sr USING (subject_id) LEFT JOIN dr ON dr.subject_id = p.subject_id AND dr.w = isodow(p.lifelog_date)),
+rl AS ({each})"""
+
+
+def _tuned_sql(labels: str) -> str:
+    """CTEs of each subject's rule (tr), tuned on its last quarter."""
+    return f"""qt AS (SELECT subject_id, quantile_cont({_DAYS}, 0.75) AS q FROM {labels} GROUP BY 1), sp AS (SELECT l.*, {_DAYS} >= q AS v FROM {labels} l JOIN qt USING (subject_id)), fr AS (SELECT * FROM sp WHERE NOT v), vr AS (SELECT * FROM sp WHERE v),
+{_rules_sql("fr", "vr", "y, ")},
+ct AS (SELECT subject_id, rule, ord, avg((y = label)::INT) AS accuracy, count(*) FILTER (y = 1 AND label = 1) / greatest(count(*) FILTER (label = 1), 1) AS pr, count(*) FILTER (y = 1 AND label = 1) / greatest(count(*) FILTER (y = 1), 1) AS rc FROM rl WHERE subject_id IN (SELECT subject_id FROM fr) GROUP BY ALL),
+bt AS (SELECT subject_id, rule, row_number() OVER (PARTITION BY subject_id ORDER BY accuracy DESC, {_F1} DESC, ord) AS k FROM ct),
+tr AS (SELECT subject_id, coalesce(rule, '{rules.FALLBACK}') AS rule FROM (SELECT DISTINCT subject_id FROM {labels}) LEFT JOIN (SELECT * FROM bt WHERE k = 1) USING (subject_id))"""
+
+
+
+
+@query("tuned_rules", f"{_LABELS}, {_tuned_sql('lab')} SELECT subject_id, 'Q1' AS target, rule FROM tr")
 def tuned_rules(spark, d):
     return rules.tuned_rules(_labels(spark, d))
 
 
-@query("tuned_predictions")
+@query("tuned_predictions", f"""{_FIRST}, trs AS (WITH {_tuned_sql('fit')} SELECT * FROM tr), {_rules_sql("fit", "pre", "")} SELECT row_id, 'Q1' AS target, label FROM rl LEFT JOIN trs USING (subject_id) WHERE rl.rule = coalesce(trs.rule, 'all_1')""")
 def tuned_predictions(spark, d):
     return rules.tuned_predictions(*_fit_predict(spark, d)).select("row_id", "target", "label")
 
@@ -397,7 +419,6 @@ def tuned_predictions(spark, d):
 # ---- scores and selection: labels.quality against a score from the text's length
 
 _SCORED = """WITH p AS (SELECT l.doc_id, l.quality AS y, d.source, d.lang AS target, 1 / (1 + exp(-(d.n_chars - 1500) / 1000.0)) AS p FROM labels l JOIN documents d USING (doc_id))"""
-_F1 = "(2 * pr * rc / greatest(pr + rc, 1e-12))"
 
 
 def _scored(spark, d):
