@@ -13,6 +13,7 @@ prediction is ``und``. Repeated rows give repeated results; other columns are ke
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._bytes import ALNUM, LOWER, blocks
+from ._bytes import ALNUM, LOWER, blocks, give_back
 from ._session import ship
 
 UNDETERMINED = "und"
@@ -152,21 +153,31 @@ def fit(
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [c.astype(np.uint32).tobytes() for _, _, data, bounds in blocks(lowered(batch["t"].to_pylist())) for c in counts(data, bounds, bits)]
+            got = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for _, _, data, bounds in blocks(lowered(batch["t"].to_pylist())) for c in counts(data, bounds, bits)]
             yield pa.record_batch([batch["y"].cast(pa.string()), pa.array(got, pa.binary())], names=["y", "v"])
 
     got = drawn.select("y", "t").mapInArrow(vectors, "y string, v binary").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["v"])))
-    raw = np.stack([np.frombuffer(r["v"], dtype=np.uint32) for r in got])
     y = np.array([r["y"] for r in got])
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x = np.stack([_vector(r, idf) for r in raw])
+    # counts stay packed, so that the driver holds one matrix alone
+    packed = [bytes(r["v"]) for r in got]
+    del got
+    unpacked = lambda v: np.frombuffer(zlib.decompress(v), dtype=np.uint32)
+    known, totals = np.zeros(1 << bits, np.int64), np.zeros(len(packed), np.int64)
+    for i, v in enumerate(packed):
+        count = unpacked(v)
+        known += count > 0
+        totals[i] = count.sum()
+    idf = (np.log((1 + len(packed)) / (1 + known)) + 0.1).astype(np.float32)
+    x = np.empty((len(packed), 1 << bits), np.float32)
+    for i, v in enumerate(packed):
+        x[i] = _vector(unpacked(v), idf)
     languages = sorted(sizes)
     parts = [_kmeans(x[y == name], centroids, rounds, seed) for name in languages if (y == name).any()]
     languages = [name for name in languages if (y == name).any()]
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     model = Centroids(languages, owner, np.concatenate(parts).astype(np.float32), idf, np.zeros(24))
-    near, bins = _held_out(x, y, model.vectors, centroids, rounds, seed), np.array([_length_bin(n) for n in raw.sum(axis=1)])
+    near, bins = _held_out(x, y, model.vectors, centroids, rounds, seed), np.array([_length_bin(n) for n in totals])
     own = [near[bins == b] for b in range(24)]
     enough = [b for b in range(24) if len(own[b]) >= 20]
     floors = np.zeros(24)
@@ -180,6 +191,8 @@ def fit(
         if len(own[b]):
             floors[b] = min(floors[b], slack * own[b].min())
     model.floors = floors
+    del x, packed
+    give_back()
     return model
 
 
