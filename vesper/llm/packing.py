@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._bytes import give_back
 from ._session import drop, saved, ship
 from .byte_bpe import Encoder, encoder
 
@@ -61,6 +62,7 @@ def pieces(df: DataFrame, text: Column, keep: list[Column], *, path: str, patter
 
     ship(df.sparkSession)
     trusted = Encoder(path, pattern, True).same_ids()
+    give_back()
     names, kinds = ["piece", "start", "length", "ids_crc32", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

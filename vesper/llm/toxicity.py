@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._bytes import ALNUM, LOWER, U64, blocks, owners, word_hashes, words
+from ._bytes import ALNUM, LOWER, U64, blocks, give_back, owners, word_hashes, words
 from ._session import ship
 
 SIZES = (3, 4, 5)
@@ -156,6 +156,8 @@ def fit(
     if len({r["y"] for r in got}) < 2:
         return Model(np.zeros(1 << bits, np.float32), float(np.log((rate or 1e-6) / max(1 - rate, 1e-6))), window)
     weights, bias = _train(got, rate, bits, dim, window, epochs, seed)
+    del got
+    give_back()
     return Model(weights, bias, window)
 
 
