@@ -84,14 +84,17 @@ def release(spark: SparkSession, own: set) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of an Arrow batch where the session leaves Spark's default: whole texts, some very long, go to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: whole texts, some very long, go to Python.
+BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Get a session ready: the package's code on the executors, and Arrow batches small enough for whole texts."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_code(spark)
 
 

@@ -60,6 +60,7 @@ ENDINGS = (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"
 
 _ENDINGS = sorted({e for pair in ENDINGS for e in pair}, key=len, reverse=True)
 _GIVEN = {n: g for g, names in GIVEN.items() for n in names}
+_HAN = "".join(map(chr, range(0x4E00, 0x9C20)))
 _PLACE = {c: (k, i) for k, row in enumerate(LETTERS) for i, c in enumerate(row)}
 _ROUNDS = 8
 
@@ -86,7 +87,7 @@ def _alike(c: str) -> str:
     if c in _PLACE:
         return LETTERS[_PLACE[c][0]]
     if "\u4e00" <= c < "\u9c20":
-        return "".join(map(chr, range(0x4E00, 0x9C20)))
+        return _HAN
     script, kind = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
     if kind[0] != "L":
         return c
