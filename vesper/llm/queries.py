@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, near_dedup, ogg, packing, pii, secrets, substring_dedup, toxicity
+from . import decontaminate, filter_audit, language_id, licenses, near_dedup, ogg, packing, pii, secrets, substring_dedup, toxicity, vector_codes
 from ._session import fold, table
 
 
@@ -111,6 +111,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024)
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per source, order of five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    text = F.col("text")
+    parts = filter_audit.histograms(docs, "doc_id", F.col("source"), filter_audit.text_filters(text), text, labels, (F.col("quality") == 1, F.col("toxic") == 1))
+    return filter_audit.audit(parts, 5, ["good_lost", "toxic_lost"])
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 of every embedding that is whole."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -123,6 +136,8 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_filter_interactions": op11_filter_interactions,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -130,4 +145,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle(),
         "op9_near_dedup": near_dedup.oracle(),
+        "op11_filter_interactions": filter_audit.oracle(),
+        "op12_vector_codes": vector_codes.oracle(),
     }
