@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, language_id, licenses, near_dedup, ogg, packing, pii, secrets, substring_dedup, toxicity, vector_codes
+from . import decontaminate, filter_audit, language_id, licenses, near_dedup, ogg, packing, pii, secrets, substring_dedup, toxicity, vector_codes, vector_dedup
 from ._session import fold, table
 
 
@@ -124,6 +124,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every embedding."""
+    out = vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -138,6 +144,7 @@ def queries() -> dict:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_filter_interactions": op11_filter_interactions,
         "op12_vector_codes": op12_vector_codes,
+        "op13_embedding_near_dedup": op13_embedding_near_dedup,
     }
 
 
@@ -147,4 +154,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_near_dedup": near_dedup.oracle(),
         "op11_filter_interactions": filter_audit.oracle(),
         "op12_vector_codes": vector_codes.oracle(),
+        "op13_embedding_near_dedup": vector_dedup.oracle(),
     }
