@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,17 @@ def words(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return edges[0::2], edges[1::2]
 
 
+#: Entries of a word from which on it is hashed by itself: some words of 1,024 letters and more have one sum of powers for any odd base.
+LONG_WORD = 64
+
+
+def digested(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes, with those of long words replaced by digests of their entries."""
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words; equal bytes give equal hashes wherever they stand."""
     powers, inverses = _grown(len(data))
@@ -113,7 +125,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         sums = np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)], dtype=U64)
         own = (sums[ends - 1] - sums[starts - 1]) * inverses[starts]
         own += (ends - starts).astype(U64)
-    return mix(own)
+    return digested(mix(own), data, starts, ends)
 
 
 def owners(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from ._bytes import U64, _grown, mix
+from ._bytes import U64, _grown, digested, mix
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 #: The pattern whose cuts are made here.
@@ -176,7 +176,8 @@ class Encoder:
         sums = np.zeros(len(points) + 1, dtype=U64)
         with np.errstate(over="ignore"):
             np.cumsum((points.astype(U64) + U64(1)) * powers[: len(points)], out=sums[1:])
-            hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(U64)) | U64(1)
+            hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(U64))
+        hashes = digested(hashes, points, starts, ends) | U64(1)
         if self.used > KEPT_IDS:
             self._forget()
         slot = (hashes >> U64(64 - SLOTS)).astype(np.int64)
