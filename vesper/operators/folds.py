@@ -36,9 +36,9 @@ def complement(df: DataFrame, fold: DataFrame, key: str = "row_id") -> DataFrame
 
 
 def subject_folds(df: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """(fold, all columns, is_valid): each subject held out once, and the last quarter of every subject as fold ``temporal``."""
+    """(fold, all columns, is_valid): each subject held out once, and the last quarter of every subject as the fold of that name."""
     subjects = df.select(F.col(subject).alias("_held")).distinct()
     # rows times subjects: the definition of leaving each one out; the list of subjects is a column of the label file
     out = df.join(subjects).withColumn("is_valid", F.col(subject) == F.col("_held"))
-    one = out.select(F.concat(F.lit("subject_"), "_held").alias("fold"), *df.columns, "is_valid")
-    return one.unionByName(temporal_mask(df).select(F.lit("temporal").alias("fold"), *df.columns, "is_valid"))
+    one = out.select(F.col("_held").alias("fold"), *df.columns, "is_valid")
+    return one.unionByName(temporal_mask(df).select(F.lit("last_quarter_by_subject").alias("fold"), *df.columns, "is_valid"))

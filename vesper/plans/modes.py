@@ -53,7 +53,7 @@ def cross_validation(labels: DataFrame, rows: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in TARGETS])
     long = folds.select("row_id", "fold", "is_valid", F.explode(each).alias("_t")).select("row_id", "fold", "is_valid", "_t.*")
     p = logistic_by_group(long.join(rows.select("row_id", "x"), "row_id"), ["target", "fold"])
-    strategy = F.when(F.col("fold") == "temporal", "temporal").otherwise("leave_one_subject_out")
+    strategy = F.when(F.col("fold") == FOLDS[0], "temporal").otherwise("leave_subject_out")
     scored = p.withColumn("label", label_at("p", 0.5)).withColumn("strategy", strategy)
     return scored.groupBy("fold", "strategy", "target").agg(*binary_scores("y", "label"))
 
