@@ -106,8 +106,8 @@ def test_chained_models(spark, frames):
     train, template = frames
     base = features.model_rows(features.model_features(train, template, None).where("feature like '%dow%' or feature = 'dayofweek'")).persist()
     rows = base.where("is_train").join(folds.hole_folds(train, 2).select("row_id", "fold"), "row_id").select("row_id", "x", "fold")
-    held, test, losses = chained.out_of_fold(rows.join(train.select("row_id", F.col("S1").alias("y")), "row_id"), base.where("not is_train").select("row_id", "x"), 2, "extra_trees", 1, 3)
-    assert held.count() == 29 and test.count() == 9 and losses.count() == 2
+    held, test, losses = chained.out_of_fold(rows.join(train.select("row_id", "S1", "S2"), "row_id"), base.where("not is_train").select("row_id", "x"), ("S1", "S2"), 2, "extra_trees", 1, 3)
+    assert held.count() == 2 * 29 and test.count() == 2 * 9 and losses.count() == 2 * 2
     assert models.weighted_pair("blend", boosted=False) == [("lightgbm", 0.7), ("extra_trees", 0.3)]
 
 
@@ -142,12 +142,16 @@ def test_modes(spark, data, tmp_path, mode, models, monkeypatch):
 
 def test_a_model_on_the_rule_and_a_failing_model(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    fit = spark.createDataFrame([(i, [float(v), 1.0], float(v > 0), None if i % 5 else 1.0, 0.5) for i, v in enumerate(rng.normal(size=40))], "row_id int, x array<double>, y double, last_value double, prior double")
-    ahead = spark.createDataFrame([(100 + i, [float(v), 1.0], float(i % 2)) for i, v in enumerate((-2.0, 2.0))], "row_id int, x array<double>, rule double")
+    values = dict(enumerate(rng.normal(size=40))) | {100: -2.0, 101: 2.0}
+    x = spark.createDataFrame([(i, [float(v), 1.0]) for i, v in values.items()], "row_id int, x array<double>")
+    fit = spark.createDataFrame([("f", "t", i, float(v > 0), None if i % 5 else 1.0, 0.5) for i, v in values.items() if i < 100], "fold string, target string, row_id int, y double, last_value double, prior double")
+    ahead = spark.createDataFrame([("f", "t", 100 + i, float(i % 2)) for i in range(2)], "fold string, target string, row_id int, rule double")
+    asked = ["meta_rule_logistic_regression", "blend_logistic_regression_rule_0.25", "model_nothing_such", "meta_rule_lightgbm", modes.RULE]
     with pytest.warns(UserWarning, match="skipped nothing_such"):
-        got = modes._probabilities(fit, ahead, ["meta_rule_logistic_regression", "blend_logistic_regression_rule_0.25", "model_nothing_such"])
-    rows = {(r["submission_strategy"], r["row_id"]): r["p"] for df in got for r in df.collect()}
-    assert len(rows) == 4 and rows["meta_rule_logistic_regression", 100] < 0.5 < rows["meta_rule_logistic_regression", 101]
+        got = modes._probabilities(x, fit, ahead, {("f", "t"): asked}).collect()
+    rows = {(r["submission_strategy"], r["row_id"]): r["p"] for r in got}
+    assert len(rows) == 8 and rows["meta_rule_logistic_regression", 100] < 0.5 < rows["meta_rule_logistic_regression", 101]
+    assert rows["meta_rule_lightgbm", 100] < 0.5 < rows["meta_rule_lightgbm", 101] and rows[modes.RULE, 101] == 1
 
 
 def test_candidates_are_in_the_order_in_which_they_are_made():

@@ -10,7 +10,8 @@ from ..functions.scalars import shifted_date, weekday
 from ..sources.sinks import materialised
 from .calendar import label_codes
 from .folds import hole_folds
-from .models import blended, weighted_pair
+from .models import chained_ensembles, weighted_pair
+from .registry import fit_all
 from .scores import log_loss, zscored
 
 DAY_HOURS = (6, 19)
@@ -78,23 +79,25 @@ def chained_rows(labels: DataFrame, features: DataFrame) -> DataFrame:
     return filled.select("row_id", "is_train", F.array(*[value(c) for c in [*absolute, "dayofweek"]], *own).alias("x"), F.array(*[value(c) for c in names], *own).alias("x2"))
 
 
-def out_of_fold(rows: DataFrame, template: DataFrame, n_folds: int, mode: str, seed: int, rounds: int = 150) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of one target: held-out probabilities (row_id, y, p, fold), the template's mean (row_id, p), and the fold losses.
+def out_of_fold(rows: DataFrame, template: DataFrame, targets: tuple[str, ...], n_folds: int, mode: str, seed: int, rounds: int = 150) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Held-out probabilities (row_id, target, y, p, fold), the template's means (row_id, target, p), and losses (target, fold, logloss).
 
-    ``rows`` has row_id, fold, x and y; the loop is over a handful of folds, each a distributed fit.
+    ``rows`` has row_id, fold, x and a column for each target. Every target and fold is a label set of one table, so that all of
+    their models grow in the same passes; row_id tells rows and template apart.
     """
-    held = tests = None
-    for fold in range(n_folds):
-        fit, valid = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        if fit.isEmpty() or valid.isEmpty():
-            continue
-        p = blended(fit, valid, mode, seed + fold, rounds).join(valid.select("row_id", "y", "fold"), "row_id")
-        t = blended(fit, template, mode, seed + fold, rounds)
-        held = p if held is None else held.unionByName(p)
-        tests = t if tests is None else tests.unionByName(t)
-    # models are fitted once, and their probabilities are read again by the losses and by the next stage
-    held, tests = materialised(held), materialised(tests)
-    return held, tests.groupBy("row_id").agg(F.avg("p").alias("p")), held.groupBy("fold").agg(log_loss("y", "p"))
+    sets = [(t, f) for t in targets for f in range(n_folds)]
+    role = [F.when(F.col("fold") == f, 2).otherwise(F.col(t).cast("int")) for t, f in sets]
+    every = rows.select("row_id", "x", F.array(*role).alias("roles")).unionByName(template.select("row_id", "x", F.array(*[F.lit(2)] * len(sets)).alias("roles")))
+    pair = weighted_pair(mode)
+    asked = [(k, model, None) for k in range(len(sets)) for model, _ in pair]
+    found = fit_all(every, len(sets), asked, seed, chained_ensembles(rounds))
+    named = F.array(*[F.struct(F.lit(sets[k][0]).alias("target"), F.lit(sets[k][1]).alias("fold"), F.lit(w).alias("w")) for k in range(len(sets)) for _, w in pair])
+    p = found.withColumn("_s", F.get(named, F.col("fit"))).groupBy("row_id", "_s.target", "_s.fold").agg(F.sum(F.col("p") * F.col("_s.w")).alias("p"))
+    p = materialised(p)
+    y = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in targets])).alias("_y")
+    held = materialised(p.join(rows.select("row_id", "fold", y).select("row_id", "fold", "_y.*"), ["row_id", "target", "fold"]))
+    tests = p.join(template.select("row_id"), "row_id").groupBy("row_id", "target").agg(F.avg("p").alias("p"))
+    return held, materialised(tests), held.groupBy("target", "fold").agg(log_loss("y", "p"))
 
 
 S_TARGETS, Q_TARGETS = ("S1", "S2", "S3", "S4"), ("Q1", "Q2", "Q3")
@@ -115,28 +118,20 @@ def two_stages(rows: DataFrame, labels: DataFrame, n_folds: int = 5, s_mode: str
 
     ``rows`` has row_id, is_train, x and x2 of all rows, ``labels`` row_id, subject_id, sleep_date and the targets of those to fit on.
     """
-    made = losses = None
-
-    def keep(target: str, stage: str, mode: str, test: DataFrame, loss: DataFrame) -> None:
-        nonlocal made, losses
-        pair = "+".join(m for m, _ in weighted_pair(mode))
-        one = test.select("row_id", F.lit(target).alias("target"), F.col("p").alias("value"))
-        two = loss.agg(F.avg("logloss").alias("logloss")).select(F.lit(target).alias("target"), F.lit(stage).alias("stage"), F.lit(pair).alias("model_blend"), "logloss")
-        made = one if made is None else made.unionByName(one)
-        losses = two if losses is None else losses.unionByName(two)
-
     folded = rows.where("is_train").join(hole_folds(labels, n_folds).select("row_id", "fold"), "row_id")
     ahead = rows.where("not is_train")
-    known = lambda target: labels.select("row_id", F.coalesce(F.col(target), F.lit(0)).alias("y"))
+    known = labels.select("row_id", *[F.coalesce(F.col(t), F.lit(0)).alias(t) for t in (*S_TARGETS, *Q_TARGETS)])
+    held, tests, losses = out_of_fold(folded.select("row_id", "fold", "x").join(known, "row_id"), ahead.select("row_id", "x"), S_TARGETS, n_folds, s_mode, 4200, rounds)
     wide, wide_ahead = folded.select("row_id", "fold", F.col("x2").alias("x")), ahead.select("row_id", F.col("x2").alias("x"))
-    for target in S_TARGETS:
-        held, test, loss = out_of_fold(folded.select("row_id", "fold", "x").join(known(target), "row_id"), ahead.select("row_id", "x"), n_folds, s_mode, 4200, rounds)
-        keep(target, "S", s_mode, test, loss)
-        if chain:
-            add = lambda df, p: df.join(p.select("row_id", F.col("p").alias("_p")), "row_id", "left").withColumn("x", F.concat("x", F.array(F.coalesce("_p", F.lit(0.0))))).drop("_p")
-            wide, wide_ahead = add(wide, held), add(wide_ahead, test)
-    wide, wide_ahead = materialised(wide), materialised(wide_ahead)
-    for target in Q_TARGETS:
-        _, test, loss = out_of_fold(wide.join(known(target), "row_id"), wide_ahead, n_folds, q_mode, 5200, rounds)
-        keep(target, "Q", q_mode, test, loss)
-    return made, losses
+    if chain:
+        # the S probabilities in the targets' order are features of stage Q
+        also = lambda p: p.groupBy("row_id").pivot("target", list(S_TARGETS)).agg(F.first("p"))
+        add = lambda df, p: df.join(also(p), "row_id", "left").withColumn("x", F.concat("x", F.array(*[F.coalesce(t, F.lit(0.0)) for t in S_TARGETS]))).drop(*S_TARGETS)
+        wide, wide_ahead = materialised(add(wide, held)), materialised(add(wide_ahead, tests))
+    _, q_tests, q_losses = out_of_fold(wide.join(known, "row_id"), wide_ahead, Q_TARGETS, n_folds, q_mode, 5200, rounds)
+    value = tests.unionByName(q_tests).select("row_id", "target", F.col("p").alias("value"))
+    scored = []
+    for stage, mode, loss in (("S", s_mode, losses), ("Q", q_mode, q_losses)):
+        pair = "+".join(m for m, _ in weighted_pair(mode))
+        scored.append(loss.groupBy("target").agg(F.avg("logloss").alias("logloss")).select("target", F.lit(stage).alias("stage"), F.lit(pair).alias("model_blend"), "logloss"))
+    return value, scored[0].unionByName(scored[1])

@@ -1,7 +1,7 @@
-"""Models over feature arrays: the balanced logistic fit in numpy per group, and MLlib stand-ins for the rest.
+"""The named models: the balanced logistic fit in numpy, settings of the tree ensembles, MLlib estimators of the rest.
 
-Only the logistic fit gives the same numbers as the published method. The others are MLlib look-alikes
-of the named settings; a kernel machine has none and is left out.
+Only the logistic fit gives the same numbers as the published method. Tree ensembles and the kernel machine are built in ``trees``
+and ``folded``; logistic regression, linear machine, forest and network are MLlib's with the named settings.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import available
 from ..sources.cluster import ship_code
+from .trees import Ensemble
 
 STEPS = 1000
 
@@ -73,49 +74,52 @@ def logistic_by_group(rows: DataFrame, keys: list[str], steps: int = STEPS) -> D
     return named.groupBy(*keys).applyInPandas(one, schema)
 
 
-def chained_estimators(rounds: int = 150) -> dict[str, Callable[[int], object]]:
-    """MLlib estimators of the two-stage pipeline's pairs, which have settings of their own."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+#: The registry's models in order, and the settings of those that are tree ensembles.
+NAMES = ("logistic_regression", "linear_svc", "svc_rbf", "random_forest", "extra_trees", "hist_gradient_boosting", "mlp", "lightgbm", "catboost")
+ENSEMBLES = {
+    "extra_trees": Ensemble(160, depth=6, min_rows=2, grow="random", balanced=True),
+    "hist_gradient_boosting": Ensemble(80, 0.05, leaves=7, l2=0.2, min_rows=20),
+    "lightgbm": Ensemble(70, 0.03, leaves=7, l2=2.0, min_rows=8, columns=0.8),
+    "catboost": Ensemble(70, 0.04, depth=3, l2=8.0, grow="same", from_odds=False),
+}
 
-    common = {"featuresCol": "features", "labelCol": "label"}
-    boosted = {"maxIter": rounds, "stepSize": 0.03, "maxDepth": 4, "subsamplingRate": 0.65}
+
+def chained_ensembles(rounds: int = 150) -> dict[str, Ensemble]:
+    """Settings of the two-stage pipeline's pairs."""
+    common = {"rate": 0.03, "depth": 4, "l1": 1.0, "l2": 1.0, "columns": 0.65}
     return {
-        "lightgbm": lambda s: GBTClassifier(**common, **boosted, featureSubsetStrategy="0.65", seed=s),
-        "xgboost": lambda s: GBTClassifier(**common, **boosted, featureSubsetStrategy="0.65", minInfoGain=1e-4, seed=s + 1),
-        "extra_trees": lambda s: RandomForestClassifier(**common, weightCol="weight", numTrees=180, maxDepth=5, bootstrap=False, featureSubsetStrategy="sqrt", seed=s),
+        "lightgbm": Ensemble(rounds, **common, leaves=15, min_rows=15),
+        "xgboost": Ensemble(rounds, **common, rows=0.65, min_hessian=1.0, grow="level"),
+        "extra_trees": Ensemble(180, depth=5, min_rows=4, grow="random"),
     }
 
 
 def estimators() -> dict[str, Callable[[int], object]]:
     """MLlib estimators by model name, each made from a seed."""
-    from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
         "logistic_regression": lambda s: LogisticRegression(**common, weightCol="weight", regParam=0.02, standardization=True),
         "linear_svc": lambda s: LinearSVC(**common, weightCol="weight", regParam=0.05),
         "random_forest": lambda s: RandomForestClassifier(**common, weightCol="weight", numTrees=120, maxDepth=5, minInstancesPerNode=3, seed=s),
-        "extra_trees": lambda s: RandomForestClassifier(**common, weightCol="weight", numTrees=160, maxDepth=6, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="sqrt", seed=s),
-        "hist_gradient_boosting": lambda s: GBTClassifier(**common, maxIter=80, stepSize=0.05, maxDepth=3, seed=s),
         "mlp": lambda s: MultilayerPerceptronClassifier(**common, layers=[0, 24, 2], maxIter=200, seed=s),
-        "lightgbm": lambda s: GBTClassifier(**common, maxIter=70, stepSize=0.03, maxDepth=3, seed=s),
-        "catboost": lambda s: GBTClassifier(**common, maxIter=70, stepSize=0.04, maxDepth=3, seed=s),
     }
 
 
 def model_names() -> list[str]:
-    return list(estimators())
+    return list(NAMES)
 
 
 def dependencies() -> dict[str, bool]:
     return available("sklearn", "lightgbm", "catboost", "xgboost")
 
 
-def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42, made: dict | None = None) -> DataFrame:
-    """(row_id, p): probabilities of a model of the registry (or of ``made``); labels of one class only give that class."""
+def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42) -> DataFrame:
+    """(row_id, p): probabilities of one of MLlib's models; labels of one class only give that class."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    made = estimators() if made is None else made
+    made = estimators()
     if name not in made:
         raise ValueError(f"no such model: {name}; known are {', '.join(made)}")
     rate, lowest, highest, width = fit.agg(F.avg("y"), F.min("y"), F.max("y"), F.max(F.size("x"))).first()
@@ -144,11 +148,3 @@ def weighted_pair(mode: str, boosted: bool = True) -> list[tuple[str, float]]:
         return [("lightgbm", 0.7), ("extra_trees", 0.3)]
     return [(m, w) for m, w in (("lightgbm", shares[mode]), ("xgboost", 1 - shares[mode])) if w]
 
-
-def blended(fit: DataFrame, predict: DataFrame, mode: str = "blend", seed: int = 42, rounds: int = 150) -> DataFrame:
-    """(row_id, p): the weighted mean of a pair's probabilities."""
-    out = None
-    for name, share in weighted_pair(mode):
-        one = fit_predict(name, fit, predict, seed, chained_estimators(rounds)).withColumn("p", F.col("p") * share)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("row_id").agg(F.sum("p").alias("p"))

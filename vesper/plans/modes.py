@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROLLING_MASKS, TARGETS
-from ..functions.scalars import aggressive, blend, file_safe_name, history_probability, label_at, shrink, strategy_model
+from ..functions.scalars import aggressive, file_safe_name, history_probability, label_at, shrink, strategy_model
 from ..operators.chained import VARIANTS, chained_rows, dual_features, two_stages
-from ..operators.folds import rolling_masks, subject_folds, temporal_mask
+from ..operators.folded import logistic
+from ..operators.folds import rolling_masks, temporal_mask
 from ..operators.history import label_history, long_labels, template_history
-from ..operators.models import dependencies, fit_predict, logistic_by_group, model_names
+from ..operators.models import dependencies, model_names
 from ..operators.priors import prior_predictions, prior_probabilities, rolling_majorities, vote_blends
+from ..operators.registry import fit_all
 from ..operators.rules import optimistic_predictions, tuned_predictions, validation_predictions
 from ..operators.scores import binary_scores, cv_summary, logloss_summary
 from ..operators.selection import best_thresholds, registry, select_by_accuracy, select_by_f1, select_generalized, select_logloss, shrink_grid
@@ -47,14 +47,26 @@ def strategies(models: tuple[str, ...] | list[str]) -> list[str]:
 # ---- legacy: thirteen simple predictors and the logistic model
 
 
+#: Held-out subjects of one table of roles: a row has a number for each of them and target.
+SUBJECTS = 100
+
+
 def cross_validation(labels: DataFrame, rows: DataFrame) -> DataFrame:
-    """(fold, strategy, target, accuracy, f1, positive_rate) of the logistic model, each subject and the last quarter held out."""
-    folds = subject_folds(labels.select("row_id", "subject_id", "lifelog_date", *TARGETS))
-    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in TARGETS])
-    long = folds.select("row_id", "fold", "is_valid", F.explode(each).alias("_t")).select("row_id", "fold", "is_valid", "_t.*")
-    p = logistic_by_group(long.join(rows.select("row_id", "x"), "row_id"), ["target", "fold"])
-    strategy = F.when(F.col("fold") == FOLDS[0], "temporal").otherwise("leave_subject_out")
-    scored = p.withColumn("label", label_at("p", 0.5)).withColumn("strategy", strategy)
+    """(fold, strategy, target, accuracy, f1, positive_rate) of the logistic model, each subject and the last quarter held out.
+
+    A fold is a role of each row, so that no row is copied for it; subjects are taken by the hundred.
+    """
+    masked = temporal_mask(labels.select("row_id", "subject_id", "lifelog_date", *TARGETS)).withColumnRenamed("is_valid", "late")
+    masked = sinks.materialised(masked.join(rows.select("row_id", "x"), "row_id"))
+    subjects = sorted(r[0] for r in labels.select("subject_id").distinct().collect())  # the label file's subjects
+    folds = [(s, "leave_subject_out", F.col("subject_id") == s) for s in subjects] + [(FOLDS[0], "temporal", F.col("late"))]
+    parts = []
+    for at in range(0, len(folds), SUBJECTS):
+        sets = [(*fold, t) for fold in folds[at : at + SUBJECTS] for t in TARGETS]
+        roles = F.array(*[F.when(held, 2).otherwise(F.coalesce(F.col(t).cast("int"), F.lit(3))) for _, _, held, t in sets])
+        names = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(s).alias("strategy"), F.lit(t).alias("target")) for f, s, _, t in sets])
+        parts.append(logistic(masked.select("row_id", "x", roles.alias("roles"))).select("row_id", "p", F.get(names, F.col("fit")).alias("_n")).select("row_id", "p", "_n.*"))
+    scored = _stacked(parts).join(long_labels(labels, TARGETS).select("row_id", "target", "y"), ["row_id", "target"]).withColumn("label", label_at("p", 0.5))
     return scored.groupBy("fold", "strategy", "target").agg(*binary_scores("y", "label"))
 
 
@@ -89,62 +101,79 @@ def legacy_predictions(train: DataFrame, template: DataFrame, rows: DataFrame, s
 
 
 def _logistic(every: DataFrame, rows: DataFrame) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in TARGETS])
-    long = every.select("row_id", (~F.col("is_train")).alias("is_valid"), F.explode(each).alias("_t")).select("row_id", "is_valid", "_t.*").fillna(0.0, ["y"])
-    return logistic_by_group(long.join(rows.select("row_id", "x"), "row_id"), ["target"])
+    roles = F.array(*[F.when(F.col("is_train"), F.coalesce(F.col(t).cast("int"), F.lit(3))).otherwise(2) for t in TARGETS])
+    p = logistic(every.select("row_id", roles.alias("roles")).join(rows.select("row_id", "x"), "row_id"))
+    return p.select("row_id", F.get(F.array(*map(F.lit, TARGETS)), F.col("fit")).alias("target"), "p")
 
 
 # ---- candidates: the rule, registry models, their blends, and models on the rule
 
 
-def _probabilities(fit: DataFrame, ahead: DataFrame, asked: list[str]) -> list[DataFrame]:
-    """(row_id, submission_strategy, p) of one target's asked strategies; each model is fitted once for all of its blends.
+def _model(strategy: str) -> tuple[str, bool, float]:
+    """(model, whether it has the rule as a feature, its share) of a strategy other than the rule and the history."""
+    if strategy.startswith("meta_rule_"):
+        return strategy.removeprefix("meta_rule_"), True, 1.0
+    if strategy.startswith("blend_"):
+        model, share = strategy.removeprefix("blend_").split("_rule_")
+        return model, False, float(share)
+    return strategy.removeprefix("model_"), False, 1.0
+
 
-    ``fit`` has row_id, x, y, last_value and prior, ``ahead`` row_id, x and rule. A model that fails is left out, with a warning.
+def _probabilities(x: DataFrame, fit: DataFrame, ahead: DataFrame, asked: dict[tuple[str, str], list[str]]) -> DataFrame:
+    """(fold, target, row_id, submission_strategy, p) of each (fold, target)'s asked strategies, all fitted as one set of fits.
+
+    ``x`` has row_id and x, ``fit`` and ``ahead`` are long by fold and target, with y, last_value and prior, and with the rule. A pair of
+    fold and target is a label set of one wide table, in which it has a feature of its own for its rule: the last label where
+    it trains, the rule where it is asked. Each model is fitted once for all of its blends.
     """
-    out = [ahead.select("row_id", F.lit(RULE).alias("submission_strategy"), F.col("rule").alias("p"))] if RULE in asked else []
-    models = dict.fromkeys(s[len("meta_rule_"):] if s.startswith("meta_rule_") else s.split("_", 1)[1].split("_rule_")[0] for s in asked if s not in (RULE, HISTORY))
-    with_rule = lambda df, c: df.withColumn("x", F.concat("x", F.array(c.cast("double"))))
-    for model in models:
-        plain = [s for s in asked if s == f"model_{model}" or s.startswith(f"blend_{model}_rule_")]
-        for meta, names in ((False, plain), (True, [s for s in asked if s == f"meta_rule_{model}"])):
-            if not names:
-                continue
-            one, two = (with_rule(fit, F.coalesce("last_value", "prior")), with_rule(ahead, F.col("rule"))) if meta else (fit, ahead)
-            try:
-                p = sinks.materialised(fit_predict(model, one.select("row_id", "x", "y"), two.select("row_id", "x"), 2026).join(ahead.select("row_id", "rule"), "row_id"))
-            except Exception as error:  # noqa: BLE001
-                warnings.warn(f"skipped {model}: {error}", stacklevel=2)
-                continue
-            for name in names:
-                value = blend("p", "rule", float(name.rsplit("_", 1)[1])) if name.startswith("blend_") else F.col("p")
-                out.append(p.select("row_id", F.lit(name).alias("submission_strategy"), value.alias("p")))
-    return out
+    pairs = sorted(asked)
+    mine = [(F.col("fold") == f) & (F.col("target") == t) for f, t in pairs]
+    trains = fit.groupBy("row_id").agg(*[F.max(F.when(c, F.col("y").cast("int"))).alias(f"y{k}") for k, c in enumerate(mine)], *[F.max(F.when(c, F.coalesce("last_value", "prior"))).cast("double").alias(f"l{k}") for k, c in enumerate(mine)])
+    asks = ahead.groupBy("row_id").agg(*[F.max(F.when(c, 2)).alias(f"a{k}") for k, c in enumerate(mine)], *[F.max(F.when(c, F.col("rule"))).alias(f"r{k}") for k, c in enumerate(mine)])
+    first = x.select(F.size("x")).first()
+    width, own = first[0] if first else 0, range(len(pairs))
+    rows = x.join(trains, "row_id", "left").join(asks, "row_id", "left").select(
+        "row_id", F.array(*[F.coalesce(f"y{k}", f"a{k}", F.lit(3)) for k in own]).alias("roles"), F.concat("x", F.array(*[F.coalesce(f"l{k}", f"r{k}", F.lit(0.0)) for k in own])).alias("x")
+    )
+    fits: dict[tuple[int, str, tuple[int, ...]], int] = {}
+    names: list[tuple] = []
+    for k, pair in enumerate(pairs):
+        for strategy in asked[pair]:
+            if strategy not in (RULE, HISTORY):
+                model, meta, share = _model(strategy)
+                columns = (*range(width), *([width + k] if meta else []))
+                names.append((fits.setdefault((k, model, columns), len(fits)), *pair, strategy, share))
+    rule = ahead.select("fold", "target", "row_id", F.lit(RULE).alias("submission_strategy"), F.col("rule").alias("p"))
+    out = rule.where(F.concat_ws("/", "fold", "target").isin(["/".join(pair) for pair in pairs if RULE in asked[pair]]))
+    if not names:
+        return out
+    named = x.sparkSession.createDataFrame(names, "fit int, fold string, target string, submission_strategy string, share double")
+    p = fit_all(rows, len(pairs), list(fits)).join(F.broadcast(named), "fit").join(ahead.select("fold", "target", "row_id", "rule"), ["fold", "target", "row_id"])
+    mixed = F.when(F.col("share") == 1, F.col("p")).otherwise(F.col("share") * F.col("p") + (1 - F.col("share")) * F.col("rule"))
+    return out.unionByName(p.select("fold", "target", "row_id", "submission_strategy", mixed.alias("p")))
+
+
+def _history(ahead: DataFrame) -> DataFrame:
+    value = history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior"))
+    return ahead.select("fold", "target", "row_id", F.lit(HISTORY).alias("submission_strategy"), value.alias("p"))
 
 
 def candidate_probabilities(labels: DataFrame, rows: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """(fold, target, submission_strategy, model_name, candidate_ord, row_id, y, prior, p) on the three rolling folds.
-
-    The loops are over folds, targets and models; each turn is a distributed fit.
-    """
+    """(fold, target, submission_strategy, model_name, candidate_ord, row_id, y, prior, p) on the three rolling folds, from one set of fits."""
     asked = strategies(model_names() if models is None else models)
     y = long_labels(labels, TARGETS)
     past = sinks.materialised(label_history(y).select("row_id", "target", "last_value", "last_7_mean", "last_3_mean", "dow_mean"))
-    parts = []
+    fits, aheads = [], []
     for fold in FOLDS:
         masked = rolling_masks(y).where(F.col("fold") == fold)
         fit, valid = masked.where("not is_valid").select(*y.columns), masked.where("is_valid").select(*y.columns)
         prior = fit.groupBy("target").agg(F.avg("y").alias("prior"))
         rule = validation_predictions(fit, valid).select("row_id", "target", "y", F.col("label").cast("double").alias("rule"))
-        x = rows.select("row_id", "x")
-        one = sinks.materialised(fit.select("row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
-        two = sinks.materialised(rule.join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
-        for target in TARGETS:
-            ahead = two.where(F.col("target") == target)
-            found = _probabilities(one.where(F.col("target") == target), ahead, asked)
-            found.append(ahead.select("row_id", F.lit(HISTORY).alias("submission_strategy"), history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior")).alias("p")))
-            parts.append(_stacked(found).join(ahead.select("row_id", "y", "prior"), "row_id").select(F.lit(fold).alias("fold"), F.lit(target).alias("target"), "*"))
-    out = _stacked(parts)
+        fits.append(fit.select(F.lit(fold).alias("fold"), "row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target"))
+        aheads.append(rule.withColumn("fold", F.lit(fold)).join(past, ["row_id", "target"]).join(prior, "target"))
+    fit, ahead = sinks.materialised(_stacked(fits)), sinks.materialised(_stacked(aheads))
+    found = _probabilities(rows.select("row_id", "x"), fit, ahead, {(f, t): asked for f in FOLDS for t in TARGETS})
+    out = found.unionByName(_history(ahead)).join(ahead.select("fold", "target", "row_id", "y", "prior"), ["fold", "target", "row_id"])
     order = F.array_position(F.array(*map(F.lit, [*asked, HISTORY])), F.col("submission_strategy"))
     return out.withColumn("model_name", strategy_model("submission_strategy")).withColumn("candidate_ord", order)
 
@@ -167,19 +196,16 @@ def final_probabilities(train: DataFrame, template: DataFrame, rows: DataFrame,
     ahead = every.where("not is_train")
     wanted = ahead.select("row_id", "subject_id", "lifelog_date").join(F.broadcast(y.select("target").distinct()))  # seven targets
     rule = tuned_predictions(y, wanted).select("row_id", "target", F.col("label").cast("double").alias("rule"))
-    prior, x = y.groupBy("target").agg(F.avg("y").alias("prior")), rows.select("row_id", "x")
+    prior, all_ = y.groupBy("target").agg(F.avg("y").alias("prior")), F.lit("all").alias("fold")
     past = label_history(y).select("row_id", "target", "last_value")
-    one = sinks.materialised(y.select("row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
+    fit = sinks.materialised(y.select(all_, "row_id", "target", "y").join(past, ["row_id", "target"]).join(prior, "target"))
     later = template_history(y, ahead).select("row_id", "target", "last_7_mean", "last_3_mean", "dow_mean")
-    two = sinks.materialised(rule.join(later, ["row_id", "target"]).join(prior, "target").join(x, "row_id"))
-    parts = []
-    for target, names in sorted(asked.items()):
-        mine = two.where(F.col("target") == target)
-        found = _probabilities(one.where(F.col("target") == target), mine, list(dict.fromkeys(names)))
-        if HISTORY in names:
-            found.append(mine.select("row_id", F.lit(HISTORY).alias("submission_strategy"), history_probability(F.col("last_7_mean"), F.col("last_3_mean"), F.col("dow_mean"), F.col("prior")).alias("p")))
-        parts.append(_stacked(found).join(mine.select("row_id", "prior"), "row_id").withColumn("target", F.lit(target)))
-    return _stacked(parts).select("row_id", "target", "submission_strategy", "p", "prior")
+    two = sinks.materialised(rule.select(all_, "*").join(later, ["row_id", "target"]).join(prior, "target"))
+    wanted = {("all", target): list(dict.fromkeys(names)) for target, names in sorted(asked.items())}
+    found = _probabilities(rows.select("row_id", "x"), fit, two, wanted)
+    past_ones = [target for target, names in asked.items() if HISTORY in names]
+    found = found.unionByName(_history(two.where(F.col("target").isin(past_ones))))
+    return found.join(prior, "target").select("row_id", "target", "submission_strategy", "p", "prior")
 
 
 def _asked(*chosen: DataFrame) -> dict[str, list[str]]:
