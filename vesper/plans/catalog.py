@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, scalars
 from ..functions.constants import AMBIENCE, APPS, PAIRS, PERIODS, ROLLING_MASKS, SHRINK, WINDOWS
-from ..operators import calendar, chained, cross_features, folds, history, models, places, priors, rules, scores, selection, stats
+from ..operators import calendar, chained, cross_features, folded, folds, history, models, places, priors, rules, scores, selection, stats, trees
 from ..sources import sinks
 
 Q: dict = {}
@@ -620,6 +620,85 @@ def logistic_by_group(spark, d):
     return models.logistic_by_group(masked.withColumn("x", x), ["target", "fold"])
 
 
+# ---- fits of many label sets at once: SQL unrolls their steps
+
+_INPUTS = [c for c in history.COLUMNS if c != "change_rate"]
+_SETS = list(ROLLING_MASKS)
+_ROLED = f"""WITH h AS (FROM ({SQL['label_history']})), m AS (FROM ({SQL['rolling_masks']})),
+u AS ({' UNION ALL '.join(f"SELECT row_id, {i} AS i, coalesce({c}, 0.5) AS v FROM h" for i, c in enumerate(_INPUTS))}),
+r AS (SELECT fold, row_id, y, is_valid FROM m JOIN h USING (row_id))"""
+
+
+def _roled(spark, d):
+    """Label rows with their history as features, and the three rolling folds as roles."""
+    rows = history.label_history(_labels(spark, d))
+    valid = folds.rolling_masks(rows).groupBy("row_id").agg(*[F.max(F.when(F.col("fold") == f, F.col("is_valid"))).alias(f) for f in _SETS])
+    x, roles = F.array(*[F.coalesce(F.col(c), F.lit(0.5)) for c in _INPUTS]), F.array(*[F.when(F.col(f), 2).otherwise(F.col("y").cast("int")) for f in _SETS])
+    return rows.join(valid, "row_id").select("row_id", x.alias("x"), roles.alias("roles"))
+
+
+def _by_fold(p):
+    return p.select("row_id", F.get(F.array(*map(F.lit, _SETS)), F.col("fit")).alias("fold"), "p")
+
+
+def _descent(steps: int) -> str:
+    n, t = len(_INPUTS), [f"""t0 AS (SELECT fold, i, CASE WHEN i = {len(_INPUTS)} THEN ln(q / (1 - q)) ELSE 0 END AS th FROM rate, (SELECT unnest(range({len(_INPUTS) + 1})) AS i))"""]
+    for k in range(steps):
+        t.append(f"""t{k + 1} AS (SELECT fold, i, th - {0.08 / (1 + k / 250)!r} * (g + CASE WHEN i < {n} THEN 0.01 * th ELSE 0 END) AS th FROM t{k} JOIN (
+  SELECT fold, i, sum((1 / (1 + exp(-greatest(-30, least(30, s)))) - y) * CASE WHEN y = 1 THEN 0.5 / q ELSE 0.5 / (1 - q) END / n * z) AS g
+  FROM z JOIN (SELECT fold, row_id, sum(z * th) AS s FROM z JOIN t{k} USING (fold, i) GROUP BY ALL) USING (fold, row_id) JOIN rate USING (fold) WHERE NOT is_valid GROUP BY ALL) USING (fold, i))""")
+    return f"""{_ROLED}, rate AS (SELECT fold, avg(y) AS q, count(*) AS n FROM r WHERE NOT is_valid GROUP BY 1),
+ms AS (SELECT fold, i, avg(v) AS mu, stddev_pop(v) AS sd FROM r JOIN u USING (row_id) WHERE NOT is_valid GROUP BY ALL),
+z AS (SELECT fold, row_id, y, is_valid, i, greatest(-8, least(8, (v - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END)) AS z FROM r JOIN u USING (row_id) JOIN ms USING (fold, i) UNION ALL SELECT fold, row_id, y, is_valid, {n}, 1.0 FROM r),
+{', '.join(t)} SELECT fold, row_id, 1 / (1 + exp(-greatest(-30, least(30, sum(z * th))))) AS p FROM z JOIN t{steps} USING (fold, i) WHERE is_valid GROUP BY ALL"""
+
+
+@query("logistic_folds", _descent(5))
+def logistic_folds(spark, d):
+    """Five steps of the balanced logistic descent for three folds at once, a pass each."""
+    return _by_fold(folded.logistic(_roled(spark, d), steps=5, local=0))
+
+
+_STUMPS = trees.Ensemble(3, 0.3, leaves=2, l2=0.2, min_rows=20)
+
+
+def _stumps(s) -> str:
+    t = ["f0 AS (SELECT r.*, ln(avg(y) FILTER (NOT is_valid) OVER (PARTITION BY fold) / (1 - avg(y) FILTER (NOT is_valid) OVER (PARTITION BY fold))) AS f FROM r)"]
+    worth = lambda g, h: f"(({g}) / 1073741824.0) * (({g}) / 1073741824.0) / (({h}) / 1073741824.0 + {s.l2})"
+    for k in range(s.rounds):
+        t.append(f"""d{k} AS (SELECT fold, row_id, round_even((1 / (1 + exp(-f)) - y) * 1073741824, 0)::BIGINT AS g, round_even(1 / (1 + exp(-f)) * (1 - 1 / (1 + exp(-f))) * 1073741824, 0)::BIGINT AS h FROM f{k} WHERE NOT is_valid),
+v{k} AS (SELECT fold, i, v, count(*) AS n, sum(g) AS g, sum(h) AS h FROM d{k} JOIN u USING (row_id) GROUP BY ALL),
+l{k} AS (SELECT fold, i, cut, sum(n) FILTER (v <= cut) AS nl, sum(g) FILTER (v <= cut) AS gl, sum(h) FILTER (v <= cut) AS hl, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM v{k} JOIN cuts USING (i) GROUP BY ALL),
+b{k} AS (SELECT *, {worth('gl', 'hl')} + {worth('g - gl', 'h - hl')} - {worth('g', 'h')} AS gain FROM l{k} WHERE nl >= {s.min_rows} AND n - nl >= {s.min_rows}),
+s{k} AS (SELECT * FROM b{k} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, i, cut) = 1),
+f{k + 1} AS (SELECT f.fold, f.row_id, f.y, f.is_valid, f.f - {s.rate} * coalesce(CASE WHEN u.v <= s.cut THEN s.gl / 1073741824.0 / (s.hl / 1073741824.0 + {s.l2}) ELSE (s.g - s.gl) / 1073741824.0 / ((s.h - s.hl) / 1073741824.0 + {s.l2}) END, 0) AS f
+  FROM f{k} f LEFT JOIN s{k} s ON s.fold = f.fold LEFT JOIN u ON u.row_id = f.row_id AND u.i = s.i)""")
+    return f"""{_ROLED}, cuts AS (SELECT i, (v + lead(v) OVER (PARTITION BY i ORDER BY v)) / 2 AS cut FROM (SELECT DISTINCT i, v FROM u) QUALIFY cut IS NOT NULL),
+{', '.join(t)} SELECT fold, row_id, 1 / (1 + exp(-f)) AS p FROM f{s.rounds} WHERE is_valid"""
+
+
+@query("boosted_stumps", _stumps(_STUMPS))
+def boosted_stumps(spark, d):
+    """Three rounds of boosted stumps for three folds at once."""
+    return _by_fold(trees.grow(_roled(spark, d), [trees.Fit(k, _STUMPS) for k in range(len(_SETS))], len(_SETS))[0])
+
+
+@query("tree_ensembles")
+def tree_ensembles(spark, d):
+    """A leaf-wise, a level-wise, an oblivious and a random ensemble of five rounds, for three folds in the same passes."""
+    kinds = {"leaf": trees.Ensemble(5, 0.1, leaves=7, min_rows=20), "level": trees.Ensemble(5, 0.1, depth=3, l1=1.0, l2=1.0, rows=0.65, columns=0.65, grow="level"), "same": trees.Ensemble(5, 0.1, depth=3, l2=8.0, grow="same"), "random": trees.Ensemble(5, depth=4, min_rows=2, balanced=True, grow="random")}
+    fits = [trees.Fit(k, s) for s in kinds.values() for k in range(len(_SETS))]
+    p = trees.grow(_roled(spark, d), fits, len(_SETS))[0]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("fit") / len(_SETS)).cast("int")).alias("kind")
+    return p.select(kind, F.get(F.array(*map(F.lit, _SETS)), F.col("fit") % len(_SETS)).alias("fold"), "row_id", "p")
+
+
+@query("kernel_machines")
+def kernel_machines(spark, d):
+    """Held-out probabilities of the radial kernel machine, for three folds at once."""
+    return _by_fold(folded.kernel_machines(_roled(spark, d), landmarks=128, passes=20))
+
+
 def queries() -> dict:
     return dict(Q)
 
