@@ -1,4 +1,4 @@
-"""Linear and kernel machines of many label sets at once, without a copy of rows for any of them.
+"""Linear models, small networks and kernel machines of many label sets at once, without a copy of rows for any of them.
 
 ``rows`` has row_id, x (an array of doubles without gaps) and roles: for each label set 0 or 1 (a label to learn from), 2 (asked) or
 3 (left out). A step is one pass: every task adds up the gradients of all label sets over its rows, Spark sums them by label set, and
@@ -7,6 +7,9 @@ the driver, which has the coefficients alone, takes the step. No group of rows h
 ``logistic`` is the balanced gradient descent of ``models.fit_logistic``, a pass for each of its steps; tables of up to ``LOCAL`` rows,
 by count, take all steps within one task instead, with the same numbers.
 
+``networks`` have one hidden layer of rectified units, drawn-in weights (their sum of squares costs ``alpha`` / 2 a row in all) and
+Adam's steps on the gradient of all rows; steps are passes or stay within a task, as above.
+
 ``kernel_machines`` are balanced support vector machines with a radial kernel and Platt's probabilities: a row is given by its
 kernel values with a bounded sample of rows (``landmarks``, those of the smallest hashes), in a basis of which products are the
 kernel's. A table of no more rows than that has the exact kernel; of a larger one it is the projection on the sample's span. The hinge is
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..sources.cluster import ship_code
 from ..sources.sinks import materialised
-from .models import STEPS, predict_logistic
+from .models import STEPS
 
 LOCAL = 20_000
 ASKED = 2
@@ -114,17 +117,57 @@ def _models(rows: DataFrame) -> dict[int, dict]:
     return out
 
 
-def _pull(model: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The gradient of some rows: balanced errors times clipped z-scores, and of the bias."""
-    rate = model["ones"] / model["n"]
-    error = (predict_logistic(model, x) - y) * np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) / model["n"]
-    return np.append(np.clip((x - model["mean"]) / model["scale"], -8, 8).T @ error, error.sum())
+def _standard(model: dict, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -model["clip"], model["clip"])
+
+
+def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: int, local: int) -> None:
+    """Take the steps of all models: ``pull`` has the gradient of some standardised rows, ``stepped`` changes a model by their sum."""
+    if not models:
+        return
+    if rows.count() <= local:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = [(_matrix(b, "x"), _matrix(b, "roles", np.int8)) for b in batches if len(b)]
+            x, roles = (np.concatenate(p) for p in zip(*some))
+            for k, m in models.items():
+                own = roles[:, k] < ASKED
+                z, y = _standard(m, x[own]), roles[own, k].astype(float)
+                for step in range(steps):
+                    stepped(m, pull(m, z, y), step)
+            yield pa.record_batch([pa.array(list(models), pa.int32()), pa.array([m["theta"].tobytes() for m in models.values()], pa.binary())], names=["key", "sums"])
+
+        for r in rows.coalesce(1).mapInArrow(run, "key int, sums binary").collect():  # a row for each label set
+            models[r["key"]]["theta"] = np.frombuffer(r["sums"], dtype=np.float64)
+        return
+    for step in range(steps):
+
+        def gradients(batch: pa.RecordBatch):
+            x, roles = _matrix(batch, "x"), _matrix(batch, "roles", np.int8)
+            return ((k, pull(m, _standard(m, x[own]), roles[own, k].astype(float))) for k, m in models.items() for own in [roles[:, k] < ASKED])
+
+        for k, g in _sums(rows, gradients).items():
+            stepped(models[k], g, step)
+
+
+def _said(models: dict[int, dict], decide):
+    """Probabilities of a batch's asked rows: the sigmoid of what a model decides, or its constant."""
+
+    def said(batch: pa.RecordBatch, k: int, asked: np.ndarray):
+        m = models[k]
+        if "constant" in m:
+            return None if m["constant"] is None else np.full(len(asked), m["constant"])
+        return _sigmoid(decide(m, _standard(m, _matrix(batch, "x")[asked])))
+
+    return said
+
+
+def _sigmoid(d: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(d, -30, 30)))
 
 
-def _stepped(model: dict, gradient: np.ndarray, step: int) -> None:
-    drawn = 0.01 * model["theta"]
-    drawn[-1] = 0.0
-    model["theta"] = model["theta"] - 0.08 / (1 + step / 250) * (gradient + drawn)
+def _line(model: dict, z: np.ndarray) -> np.ndarray:
+    return z @ model["theta"][:-1] + model["theta"][-1]
 
 
 def logistic(rows: DataFrame, steps: int = STEPS, local: int = LOCAL) -> DataFrame:
@@ -133,45 +176,58 @@ def logistic(rows: DataFrame, steps: int = STEPS, local: int = LOCAL) -> DataFra
     rows = materialised(rows.select("row_id", "x", "roles"))
     models = _models(rows)
     for m in models.values():
-        m["theta"] = np.zeros(len(m["mean"]) + 1)
+        m["clip"], m["theta"] = 8.0, np.zeros(len(m["mean"]) + 1)
         if "constant" not in m:
             m["theta"][-1] = np.log(m["ones"] / (m["n"] - m["ones"]))
-    open_ = {k: m for k, m in models.items() if "constant" not in m}
-    if rows.count() <= local:
-        gathered = rows.coalesce(1).mapInArrow(_all_steps(open_, steps), "key int, sums binary")
-        for r in gathered.collect():  # a row for each label set
-            models[r["key"]]["theta"] = np.frombuffer(r["sums"], dtype=np.float64)
-    else:
-        for step in range(steps if open_ else 0):
-
-            def gradients(batch: pa.RecordBatch):
-                x, roles = _matrix(batch, "x"), _matrix(batch, "roles", np.int8)
-                return ((k, _pull(m, x[own], roles[own, k].astype(float))) for k, m in open_.items() for own in [roles[:, k] < ASKED])
 
-            for k, g in _sums(rows, gradients).items():
-                _stepped(open_[k], g, step)
+    def pull(m: dict, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rate = m["ones"] / m["n"]
+        error = (_sigmoid(_line(m, z)) - y) * np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) / m["n"]
+        return np.append(error @ z, error.sum())
 
-    def said(batch: pa.RecordBatch, k: int, asked: np.ndarray):
-        m = models[k]
-        return predict_logistic(m, _matrix(batch, "x")[asked]) if m.get("constant", 0.0) is not None else None
+    def stepped(m: dict, gradient: np.ndarray, step: int) -> None:
+        drawn = 0.01 * m["theta"]
+        drawn[-1] = 0.0
+        m["theta"] = m["theta"] - 0.08 / (1 + step / 250) * (gradient + drawn)
 
-    return _answers(rows, said)
+    _descended(rows, {k: m for k, m in models.items() if "constant" not in m}, pull, stepped, steps, local)
+    return _answers(rows, _said(models, _line))
 
 
-def _all_steps(models: dict[int, dict], steps: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [(_matrix(b, "x"), _matrix(b, "roles", np.int8)) for b in batches if len(b)]
-        x, roles = (np.concatenate(p) for p in zip(*some)) if some else (None, None)
-        for k, m in models.items():
-            own = roles[:, k] < ASKED
-            z, y, rate = np.clip((x[own] - m["mean"]) / m["scale"], -8, 8), roles[own, k].astype(float), m["ones"] / m["n"]
-            design = np.column_stack([z, np.ones(len(z))])
-            pull = (design * (np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) / m["n"])[:, None]).T
-            for step in range(steps):
-                _stepped(m, pull @ (1 / (1 + np.exp(-np.clip(design @ m["theta"], -30, 30))) - y), step)
-        yield pa.record_batch([pa.array(list(models), pa.int32()), pa.array([m["theta"].tobytes() for m in models.values()], pa.binary())], names=["key", "sums"])
-
-    return run
+def networks(rows: DataFrame, hidden: int = 24, alpha: float = 0.03, steps: int = 300, rate: float = 0.002, seed: int = 2026, local: int = LOCAL) -> DataFrame:
+    """(row_id, fit, p) of the asked rows, a network for each label set."""
+    ship_code(rows.sparkSession)
+    rows = materialised(rows.select("row_id", "x", "roles"))
+    models = _models(rows)
+    for k, m in models.items():
+        width, rng = len(m["mean"]), np.random.default_rng([seed, k])
+        edge = np.sqrt(6 / (width + hidden)), np.sqrt(6 / (hidden + 1))
+        m["clip"], m["theta"] = np.inf, np.concatenate([rng.uniform(-edge[0], edge[0], width * hidden), np.zeros(hidden), rng.uniform(-edge[1], edge[1], hidden), [0.0]])
+        m["first"] = m["second"] = np.zeros(len(m["theta"]))
+
+    def layers(m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        t, width = m["theta"], len(m["mean"])
+        return t[: width * hidden].reshape(width, hidden), t[width * hidden : (width + 1) * hidden], t[(width + 1) * hidden : -1], t[-1]
+
+    def decide(m: dict, z: np.ndarray) -> np.ndarray:
+        w, b, v, c = layers(m)
+        return np.maximum(z @ w + b, 0) @ v + c
+
+    def pull(m: dict, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        w, b, v, c = layers(m)
+        units = np.maximum(z @ w + b, 0)
+        error = (_sigmoid(units @ v + c) - y) / m["n"]
+        back = np.outer(error, v) * (units > 0)
+        return np.concatenate([(z.T @ back).ravel(), back.sum(axis=0), units.T @ error, [error.sum()]])
+
+    def stepped(m: dict, gradient: np.ndarray, step: int) -> None:
+        w, b, v, _ = layers(m)
+        gradient = gradient + alpha / m["n"] * np.concatenate([w.ravel(), np.zeros(len(b)), v, [0.0]])
+        m["first"], m["second"] = 0.9 * m["first"] + 0.1 * gradient, 0.999 * m["second"] + 0.001 * gradient**2
+        m["theta"] = m["theta"] - rate * m["first"] / (1 - 0.9 ** (step + 1)) / (np.sqrt(m["second"] / (1 - 0.999 ** (step + 1))) + 1e-8)
+
+    _descended(rows, {k: m for k, m in models.items() if "constant" not in m}, pull, stepped, steps, local)
+    return _answers(rows, _said(models, decide))
 
 
 # ---- kernel machines

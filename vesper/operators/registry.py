@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import materialised
-from .folded import kernel_machines
+from .folded import kernel_machines, networks
 from .models import ENSEMBLES, fit_predict
 from .trees import ASKED, Ensemble, Fit, grow
 
 
+#: Models that are fitted for all label sets of the same features at once.
+SHARED = {"svc_rbf": kernel_machines, "mlp": networks}
+
+
 def fit_all(rows: DataFrame, roles: int, asked: list[tuple[int, str, tuple[int, ...] | None]], seed: int = 2026, ensembles: dict[str, Ensemble] = ENSEMBLES) -> DataFrame:
     """(row_id, fit, p) of asked rows: ``asked`` has (label set, model, features or None for all), ``fit`` is a place in it.
 
     ``rows`` has row_id, x and roles (see ``trees``). All tree ensembles grow in the same passes over one binned table, and all kernel
-    machines of the same features in theirs; MLlib's models are fitted one by one. A model that MLlib refuses, or that isn't known,
+    machines and networks of the same features in theirs; MLlib's models are fitted one by one. A model that MLlib refuses, or that isn't known,
     is left out with a warning; label sets without training rows give nothing.
     """
     rows, parts = materialised(rows.select("row_id", "x", "roles")), []
@@ -26,10 +30,10 @@ def fit_all(rows: DataFrame, roles: int, asked: list[tuple[int, str, tuple[int,
     if trees:
         fits = [Fit(asked[i][0], ensembles[asked[i][1]], asked[i][2], seed) for i in trees]
         parts.append(_named(grow(rows, fits, roles)[0], dict(enumerate(trees))))
-    kernels = {}
+    shared: dict[tuple, dict[int, int]] = {}
     for i, (role, model, columns) in enumerate(asked):
-        if model == "svc_rbf":
-            kernels.setdefault(columns, {})[role] = i
+        if model in SHARED:
+            shared.setdefault((model, columns), {})[role] = i
         elif model not in ensembles:
             of = rows.select("row_id", _some(columns).alias("x"), F.get("roles", F.lit(role)).alias("y"))
             try:
@@ -37,7 +41,7 @@ def fit_all(rows: DataFrame, roles: int, asked: list[tuple[int, str, tuple[int,
                 parts.append(materialised(p.select("row_id", F.lit(i).alias("fit"), "p")))
             except (ValueError, IllegalArgumentException) as error:
                 warnings.warn(f"skipped {model}: {error}", stacklevel=2)
-    parts += [_named(kernel_machines(rows.withColumn("x", _some(columns))), of) for columns, of in kernels.items()]
+    parts += [_named(SHARED[model](rows.withColumn("x", _some(columns))), of) for (model, columns), of in shared.items()]
     out = rows.select("row_id", F.lit(0).alias("fit"), F.lit(0.0).alias("p")).where("false")
     for part in parts:
         out = out.unionByName(part)

@@ -14,6 +14,10 @@ Ways to grow a tree: ``leaf`` splits the leaf of the greatest gain until there a
 ``same`` splits all of a level at one common feature and cut; ``random`` draws some features a node and a cut within each one's range
 there, and its trees are averaged instead of boosted.
 
+Ordered boosting (``ordered``) keeps a row's own label out of the values that it learns from: a permutation by hash falls into
+segments, each as long as all before it, and the margin that a row is trained with adds the values that its leaves have by the
+rows of earlier segments alone. Rows that are asked get the values of all rows.
+
 Cuts lie half-way between values where a feature has no more values than bins, else at approximate quantiles; they are the same for
 all fits, and labels have no part in them. Missing values are the caller's to fill. A label set of one class is that class's
 constant, one without a training row has null. Values at a cut go left.
@@ -38,6 +42,8 @@ BLOCK = 64
 PASS_BYTES = 256 << 20
 #: Boosted trees after which margins are written anew, so that a pass doesn't evaluate all trees before it.
 PENDING = 16
+#: Segments of a permutation in ordered boosting.
+SEGMENTS = 6
 ASKED, LEFT_OUT = 2, 3
 
 
@@ -58,6 +64,7 @@ class Ensemble:
     grow: str = "leaf"
     from_odds: bool = True
     balanced: bool = False
+    ordered: bool = False
 
 
 @dataclass(frozen=True)
@@ -78,6 +85,8 @@ class Tree:
     cut: list = field(default_factory=lambda: [0])
     left: list = field(default_factory=lambda: [0])
     value: list = field(default_factory=lambda: [0.0])
+    #: Values by leaf and segment for training rows, if they are ordered.
+    prefix: np.ndarray | None = None
 
     def split(self, node: int, feature: int, cut: int) -> int:
         at = len(self.feature)
@@ -99,6 +108,10 @@ class Tree:
     def values(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaf_of(bins)]
 
+    def trained(self, bins: np.ndarray, segment: np.ndarray | None) -> np.ndarray:
+        """What the tree adds to the margins of training rows."""
+        return self.values(bins) if self.prefix is None else self.prefix[self.leaf_of(bins), segment]
+
 
 # ---- the binned table
 
@@ -138,13 +151,19 @@ def _bytes(column: pa.Array, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
-def _kept(salt: np.ndarray, share: float, *of: int) -> np.ndarray:
-    """Whether a tree takes a row: a share of all, drawn by the row's hash."""
+def _drawn_by_hash(salt: np.ndarray, *of: int) -> np.ndarray:
+    """A number from 0 to under 1 for each row, the same for the same row and ``of``."""
     with np.errstate(over="ignore"):
         x = salt.astype(np.uint64) ^ np.random.default_rng(of).integers(0, 1 << 63, dtype=np.uint64)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        return (x ^ (x >> np.uint64(31))) < np.uint64(min(share, 1.0) * ((1 << 64) - 1025))
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _segments(salt: np.ndarray, fit: Fit, at: int) -> np.ndarray:
+    """A row's segment in the fit's permutation: the last one has half of the rows, the one before a quarter, and so on."""
+    place = np.maximum(_drawn_by_hash(salt, fit.seed, at, 1), 2.0**-SEGMENTS)
+    return np.maximum(SEGMENTS + np.floor(np.log2(place)).astype(np.int64), 0)
 
 
 # ---- growing
@@ -160,8 +179,12 @@ class Run:
 
     def begin(self) -> None:
         self.tree, self.known, self.best, self.deep, self.need = Tree(), {}, {}, {0: 0}, [0]
+        #: Once a tree that is ordered has grown: sums by leaf and segment.
+        self.by_segment: dict[tuple[int, int], tuple] | None = None
 
     def columns(self, node: int) -> np.ndarray:
+        if self.by_segment is not None:
+            return np.zeros(1, dtype=np.int64)
         s, n = self.fit.settings, len(self.allowed)
         drawn = max(1, int(n**0.5)) if s.grow == "random" else max(1, int(s.columns * n))
         if drawn >= n:
@@ -171,6 +194,9 @@ class Run:
 
     def take(self, node: int, found: tuple) -> None:
         """(gain, feature, cut, then rows, gradients and hessians of the node and of its left child)."""
+        if self.by_segment is not None:
+            self.by_segment[node, found[2]] = found[3:6]
+            return
         self.best[node] = found
         self.known[node] = found[3:6]
 
@@ -184,6 +210,15 @@ class Run:
     def grow(self) -> bool:
         """Split as far as is known; whether the tree is complete. ``need`` has the leaves to look at next."""
         s, self.need = self.fit.settings, []
+        if self.by_segment is not None:
+            self.tree.prefix = np.zeros((len(self.tree.feature), SEGMENTS))
+            for node in range(len(self.tree.feature)):
+                g = h = 0
+                for segment in range(SEGMENTS):
+                    self.tree.prefix[node, segment] = self._value(g, h)
+                    _, more_g, more_h = self.by_segment.get((node, segment), (0, 0, 0))
+                    g, h = g + more_g, h + more_h
+            return True
         least = -np.inf if s.grow == "random" else 1e-9
         deep_enough = lambda n: bool(s.depth) and self.deep[n] >= s.depth
         open_ = lambda n: not deep_enough(n) and self.known[n][0] >= 2 * s.min_rows and (s.grow != "random" or 0 < self.known[n][1] < self.known[n][2])
@@ -198,10 +233,18 @@ class Run:
                 self.need = [c for c in made if (not deep_enough(c) if s.grow == "same" else open_(c))]
         if self.need:
             return False
-        for node, (_, g, h) in self.known.items():
-            if self.tree.feature[node] < 0:
-                self.tree.value[node] = g / h if s.grow == "random" and h else -s.rate * float(_drawn(np.float64(g / SCALE), s.l1)) / (h / SCALE + s.l2) if h or s.l2 else 0.0
-        return True
+        leaves = [n for n in self.known if self.tree.feature[n] < 0]
+        for node in leaves:
+            self.tree.value[node] = self._value(*self.known[node][1:])
+        if s.ordered:
+            self.by_segment, self.need = {}, leaves
+        return not s.ordered
+
+    def _value(self, g: int, h: int) -> float:
+        s = self.fit.settings
+        if s.grow == "random":
+            return g / h if h else 0.0
+        return -s.rate * float(_drawn(np.float64(g / SCALE), s.l1)) / (h / SCALE + s.l2) if h or s.l2 else 0.0
 
 
 def _drawn(g, l1: float):
@@ -238,12 +281,13 @@ def _histograms(runs: list[Run], margin, bins: int):
                         made[r.at] = rows, w * (p - y), w * p * (1 - p)
                 rows, g, h = made[r.at]
                 if s.rows < 1:
-                    own = _kept(salt[rows], s.rows, r.fit.seed, r.at, r.number)
+                    own = _drawn_by_hash(salt[rows], r.fit.seed, r.at, r.number) < s.rows
                     rows, g, h = rows[own], g[own], h[own]
                 leaf = r.tree.leaf_of(codes[rows])
                 for node in r.need:
                     here, columns = np.flatnonzero(leaf == node), chosen[slot, node]
-                    flat = (codes[np.ix_(rows[here], columns)].astype(np.int64) + np.arange(len(columns)) * bins).ravel()
+                    cells = codes[np.ix_(rows[here], columns)] if r.by_segment is None else _segments(salt[rows[here]], r.fit, r.at)[:, None]
+                    flat = (cells.astype(np.int64) + np.arange(len(columns)) * bins).ravel()
                     sums = [np.bincount(flat, minlength=len(columns) * bins)]
                     sums += [np.bincount(flat, np.repeat(np.rint(v[here] * SCALE), len(columns)), len(columns) * bins) for v in (g, h)]
                     sums = np.array(sums).astype(np.int64).reshape(3, len(columns), bins)
@@ -268,6 +312,9 @@ def _best_splits(runs: list[Run], centres: list[np.ndarray], bins: int):
         for node, raw in zip(table["node"].to_pylist(), table["sums"].to_pylist()):
             part = np.frombuffer(raw, dtype=np.int64).reshape(3, -1, bins)
             sums[node] = sums[node] + part if node in sums else part
+        if r.by_segment is not None:
+            rows = [(slot, node, 0.0, 0, segment, *three[:, 0, segment].tolist(), 0, 0, 0) for node, three in sums.items() for segment in range(SEGMENTS)]
+            return _split_table(rows)
         gains, lefts, wholes = {}, {}, {}
         for node, (n, g, h) in sums.items():
             left = np.cumsum(np.stack([n, g, h]), axis=2)
@@ -285,12 +332,16 @@ def _best_splits(runs: list[Run], centres: list[np.ndarray], bins: int):
         for node, gain in gains.items():
             at, cut = divmod(int(gain.argmax()), bins)
             rows.append((slot, node, float(gain[at, cut]), int(r.columns(node)[block * BLOCK + at]), cut, *wholes[node].tolist(), *lefts[node][:, at, cut].tolist()))
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in BEST.split(", ")])
+        return _split_table(rows)
 
     return run
 
 
+def _split_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in BEST.split(", ")])
+
+
 def _drawn_cuts(r: Run, node: int, block: int, n: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
     """One cut a feature, drawn evenly within the range of its values in the node; none where there is one value."""
     out = np.zeros(n.shape, dtype=bool)
@@ -337,7 +388,7 @@ def grow(rows: DataFrame, fits: list[Fit], roles: int, bins: int = BINS) -> tupl
     for r in rows.select(F.posexplode("roles").alias("i", "role")).groupBy("i", "role").count().collect():  # four a label set
         counts[r["i"], int(r["role"])] = r["count"]
     cuts = cuts_of(rows, bins)
-    wide = max([1, *(len(c) + 1 for c in cuts)])
+    wide = max([SEGMENTS, *(len(c) + 1 for c in cuts)])
     centres = [_centres(c) for c in cuts]
     table = materialised(binned(rows, cuts, roles))
     start, constant, runs = np.zeros(len(fits)), {}, []
@@ -355,23 +406,27 @@ def grow(rows: DataFrame, fits: list[Fit], roles: int, bins: int = BINS) -> tupl
     margins: DataFrame | None = None
     active = [r for r in runs if r.fit.settings.rounds > 0 and len(r.allowed)]
 
-    def margin_of(written: list[int], trees: list[list[Tree]]):
+    def margin_of_rest():
+        rest = [t[n:] for t, n in zip(trees, written)]
+
         def margin(at: int, batch: pa.RecordBatch, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
             m = _bytes(batch["margins"], np.float64)[rows, at] if "margins" in batch.schema.names else np.full(len(rows), start[at])
-            return m + sum((t.values(codes[rows]) for t in trees[at][written[at] :]), np.zeros(len(rows)))
+            segment = _segments(batch["salt"].to_numpy()[rows], fits[at], at) if fits[at].settings.ordered else None
+            return m + sum((t.trained(codes[rows], segment) for t in rest[at]), np.zeros(len(rows)))
 
         return margin
 
     while active:
         source = table if margins is None else margins
         for job in _jobs(active, wide):
-            made = source.mapInArrow(_histograms(job, margin_of(list(written), trees), wide), "slot int, block int, node int, sums binary")
-            found: dict[tuple[int, int], tuple] = {}
+            made = source.mapInArrow(_histograms(job, margin_of_rest(), wide), "slot int, block int, node int, sums binary")
+            found: dict[tuple[int, int, int], tuple] = {}
             for x in made.groupBy("slot", "block").applyInArrow(_best_splits(job, centres, wide), BEST).collect():  # one a block and leaf
-                key, new = (x["slot"], x["node"]), tuple(x[2:])
+                ordered = job[x["slot"]].by_segment is not None
+                key, new = (x["slot"], x["node"], x["cut"] if ordered else -1), tuple(x[2:])
                 if key not in found or (-new[0], new[1], new[2]) < (-found[key][0], found[key][1], found[key][2]):
                     found[key] = new
-            for (slot, node), x in sorted(found.items()):
+            for (slot, node, _), x in sorted(found.items()):
                 job[slot].take(node, x)
         for r in active:
             if r.grow():
@@ -382,7 +437,7 @@ def grow(rows: DataFrame, fits: list[Fit], roles: int, bins: int = BINS) -> tupl
         active = [r for r in active if r.need]
         boosted = {r.at for r in active if r.fit.settings.grow != "random"}
         if any(len(trees[at]) - written[at] >= PENDING for at in boosted):
-            margins = materialised(source.mapInArrow(_with_margins(margin_of(list(written), trees), len(fits)), f"{table.schema.simpleString()[7:-1].replace(':', ' ')}, margins binary"))
+            margins = materialised(source.mapInArrow(_with_margins(margin_of_rest(), len(fits)), f"{table.schema.simpleString()[7:-1].replace(':', ' ')}, margins binary"))
             written = [len(t) for t in trees]
     return table.mapInArrow(_predicted(fits, trees, start, constant), f"row_id {dict(table.dtypes)['row_id']}, fit int, p double"), trees, cuts
 
