@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import weekday
+from .blocks import places
 from .folds import temporal_mask
+from .history import MOST
 from .scores import binary_scores
 
 # Rule sizes, in candidate order.
@@ -26,19 +28,27 @@ def known_rule(name: str) -> str:
     return name
 
 
-def rule_labels(fit: DataFrame, predict: DataFrame) -> DataFrame:
+def _placed(predict: DataFrame, most: int) -> DataFrame:
+    """Add ``_pos``, a row's place among its subject's in the frame's order: by a window, or by blocks where a subject has more rows than that."""
+    if predict.groupBy(*_ID).count().where(F.col("count") > most).isEmpty():
+        return predict.withColumn("_pos", F.row_number().over(Window.partitionBy(*_ID).orderBy("row_id")) - 1)
+    return places(predict, _ID, ["row_id"], "_pos")
+
+
+def rule_labels(fit: DataFrame, predict: DataFrame, most: int = MOST) -> DataFrame:
     """(predict columns, rule, ord, label) of every rule.
 
     A subject's state is bounded: its last 28 labels, its mean, and per weekday mean and last label.
     Subjects without labels get 1 from every rule but ``all_0``.
     """
     back = Window.partitionBy(*_ID).orderBy(F.col("lifelog_date").desc(), F.col("row_id").desc())
-    rows = fit.withColumn("_dow", weekday("lifelog_date")).withColumn("_back", F.row_number().over(back))
-    tail = F.array_sort(F.collect_list(F.when(F.col("_back") <= _KEEP, F.struct((-F.col("_back")).alias("o"), "y"))))
-    state = rows.groupBy(*_ID).agg(F.transform(tail, lambda x: x["y"]).alias("_tail"), F.avg("y").alias("_mean"))
+    rows = fit.withColumn("_dow", weekday("lifelog_date"))
+    # only a subject's last rows are ranked: Spark keeps as many of each task before they are dealt out
+    tails = fit.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= _KEEP)
+    tails = tails.groupBy(*_ID).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("o"), "y"))), lambda x: x["y"]).alias("_tail"))
+    state = rows.groupBy(*_ID).agg(F.avg("y").alias("_mean")).join(tails, _ID)
     dows = rows.groupBy(*_ID, "_dow").agg(F.avg("y").alias("_dow_mean"), F.max_by("y", F.struct("lifelog_date", "row_id")).alias("_dow_last"))
-    place = F.row_number().over(Window.partitionBy(*_ID).orderBy("row_id")) - 1  # in the frame's order
-    out = predict.withColumn("_dow", weekday("lifelog_date")).withColumn("_pos", place)
+    out = _placed(predict, most).withColumn("_dow", weekday("lifelog_date"))
     out = out.join(state, _ID, "left").join(dows, [*_ID, "_dow"], "left")
     size = F.size("_tail")
     last = F.element_at("_tail", -1)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.arrays import ambience, list_stats, usage
 from ..functions.constants import TARGETS
+from ..functions.scalars import finite
 from ..operators.calendar import calendar_features, imputed
 from ..operators.cross_features import cross_features
 from ..operators.history import COLUMNS, label_history, long_labels, template_history
 from ..operators.places import ble_features, gps_features, wifi_features
 from ..operators.stats import KEY, keyed, table_features
+from ..sources.cluster import ship_code
 from ..sources.sinks import materialised
 
 
@@ -63,12 +70,8 @@ def label_rows(train: DataFrame, template: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def model_features(train: DataFrame, template: DataFrame, sensor: DataFrame | None) -> DataFrame:
-    """(row_id, is_train, feature, value): sensor, calendar and history features, imputed from train, and the subject's one-hot.
-
-    Only features that some train row has are kept.
-    """
-    rows = label_rows(train, template)
+def _given(rows: DataFrame, sensor: DataFrame | None) -> DataFrame:
+    """(row_id, is_train, feature, value): the sensor, calendar and history features that rows have."""
     dated = calendar_features(rows)
     names = ["dayofweek", "month", "day", "sleep_gap_days", "days_since_start"]
     each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
@@ -80,6 +83,17 @@ def model_features(train: DataFrame, template: DataFrame, sensor: DataFrame | No
     out = out.unionByName(past.unionByName(ahead).select("row_id", "is_train", F.explode(each).alias("_f")).select("row_id", "is_train", "_f.*"))
     if sensor is not None:
         out = out.unionByName(rows.select("row_id", "is_train", *KEY).join(sensor, list(KEY)).select("row_id", "is_train", "feature", "value"))
+    return out
+
+
+def model_features(train: DataFrame, template: DataFrame, sensor: DataFrame | None) -> DataFrame:
+    """(row_id, is_train, feature, value): sensor, calendar and history features, imputed from train, and the subject's one-hot.
+
+    Only features that some train row has are kept. A row for each row and feature: for small tables and to look at; ``model_matrix``
+    has the same values as arrays.
+    """
+    rows = label_rows(train, template)
+    out = _given(rows, sensor)
     known = out.where("is_train").select("feature").distinct()
     every = rows.select("row_id", "is_train").join(known).join(out, ["row_id", "is_train", "feature"], "left")  # the dense model matrix, by definition
     filled = imputed(every, out.where("is_train"))
@@ -92,3 +106,33 @@ def model_rows(features: DataFrame) -> DataFrame:
     """(row_id, is_train, x): values as arrays in the order of feature names."""
     pairs = F.array_sort(F.collect_list(F.struct("feature", "value")))
     return features.groupBy("row_id", "is_train").agg(F.transform(pairs, lambda p: p["value"]).alias("x"))
+
+
+def model_matrix(train: DataFrame, template: DataFrame, sensor: DataFrame | None) -> DataFrame:
+    """(row_id, is_train, x): ``model_rows`` of ``model_features`` from sparse rows.
+
+    Features get numbers in the order of their names. A row goes to one place with the numbers and values that it has, its
+    subject's among them; training medians, and zeros for other subjects, are what all other places hold and are no rows at all.
+    """
+    ship_code(train.sparkSession)
+    rows = materialised(label_rows(train, template))
+    given = materialised(_given(rows, sensor))
+    own = F.concat(F.lit("subject_"), F.col("subject_id")).alias("feature")
+    median = given.where("is_train").groupBy("feature").agg(F.coalesce(finite(F.median(F.nanvl(F.col("value"), F.lit(None)))), F.lit(0.0)).alias("base"))
+    numbers = median.unionByName(rows.select(own).where("feature is not null").distinct().withColumn("base", F.lit(0.0)))
+    numbers = materialised(numbers.withColumn("at", F.row_number().over(Window.orderBy("feature")) - 1))  # a row for each feature
+    base = np.array([r["base"] for r in numbers.select("at", "base").orderBy("at").collect()])
+    cells = given.select("row_id", "feature", finite(F.col("value")).alias("value")).unionByName(rows.select("row_id", own, F.lit(1.0).alias("value")))
+    cells = cells.where("value is not null").join(numbers.select("feature", "at"), "feature").groupBy("row_id").agg(F.collect_list(F.struct("at", "value")).alias("cells"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, len(b), 64)):
+            x = np.tile(base, (len(batch), 1))
+            lists = batch["cells"].fill_null([])
+            at, value = lists.flatten().flatten()
+            x[np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy()), at.to_numpy()] = value.to_numpy()
+            places = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(base))
+            yield pa.record_batch([batch["row_id"], batch["is_train"], pa.ListArray.from_arrays(places, pa.array(x.ravel()))], names=["row_id", "is_train", "x"])
+
+    every = rows.select("row_id", "is_train").join(cells, "row_id", "left")
+    return every.mapInArrow(dense, f"row_id {dict(rows.dtypes)['row_id']}, is_train boolean, x array<double>")

@@ -18,7 +18,7 @@ from ..operators.rules import optimistic_predictions, tuned_predictions, validat
 from ..operators.scores import binary_scores, cv_summary, logloss_summary
 from ..operators.selection import best_thresholds, registry, select_by_accuracy, select_by_f1, select_generalized, select_logloss, shrink_grid
 from ..sources import sinks, tables
-from .features import label_rows, model_features, model_rows, sensor_features
+from .features import label_rows, model_matrix, sensor_features
 
 MODES = ("f1", "accuracy", "xgb-variants", "registry-ensembles", "lstm", "sequence-variants", "lstm-targetwise", "anchor-stack", "conservative-blend", "feature-diagnosis", "raw-cnn", "new-models", "oof-ensemble")
 AVAILABLE = ("f1", "accuracy", "xgb-variants", "registry-ensembles")
@@ -296,8 +296,7 @@ def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", t
     if mode == "xgb-variants":
         out = chained_outputs(train, template, logs, VARIANTS, rounds)
     else:
-        features = model_features(train, template, sensor_features(logs) if logs else None)
-        rows = sinks.materialised(model_rows(features))
+        rows = sinks.materialised(model_matrix(train, template, sensor_features(logs) if logs else None))
         ahead = label_rows(train, template).where("not is_train")
     if mode == "registry-ensembles":
         losses = sinks.materialised(logloss_scores(candidate_probabilities(train, rows, models)))
