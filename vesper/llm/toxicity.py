@@ -88,15 +88,10 @@ def _window_max(values: np.ndarray, size: int) -> float:
     return float(((sums[at + size] - sums[at]) / size).max())
 
 
-def _bags(text: bytes, bits: int, window: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the fit: feature codes of all words one after the other, and how many each word has; of a text of more than ``most``
-    windows, the words of as many that are spread evenly over all of it."""
+def _bags(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the fit: feature codes of all words one after the other, and how many each word has."""
     (_, _, data, bounds), *_ = blocks([text])
     starts, _, grams, own = _features(data, bits)
-    n = -(-len(own) // window)
-    if n > most:
-        at = (np.linspace(0, len(own) // window - 1, most).astype(np.int64)[:, None] * window + np.arange(window)).ravel()
-        own, grams = own[at], [(codes, a[at], b[at]) for codes, a, b in grams]
     columns, lengths = [own], [np.ones(len(own), np.int64)]
     order = [np.arange(len(own))]
     for codes, a, b in grams:
@@ -118,21 +113,19 @@ def fit(
     label: str = "toxic",
     *,
     max_rows: int = 3000,
-    max_windows: int = 128,
     bits: int = 16,
     dim: int = 8,
     window: int = 32,
     epochs: int = 30,
     seed: int = 11,
 ) -> Model:
-    """Fit on at most ``max_rows`` labelled texts, a third of them of label 1 where there are as many, and of each text on
-    at most ``max_windows`` windows that are spread evenly over it, so what is gathered is bounded in bytes.
+    """Fit on at most ``max_rows`` labelled texts, whole, a third of them of label 1 where there are as many.
 
-    The bound is on this fit alone. Rows are drawn from ``labels`` by key hash, so only a bounded
+    Where rows of a key contradict each other, label 1 holds. The bound is on this fit alone. Rows are drawn from ``labels`` by key hash, so only a bounded
     list of keys is broadcast to the scan of ``df``; the driver gets feature codes, not texts.
     """
     ship(df.sparkSession)
-    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").dropDuplicates(["k"])
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
@@ -146,7 +139,7 @@ def fit(
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_bags(t, bits, window, max_windows) for t in _lowered(batch["t"].to_pylist())]
+            got = [_bags(t, bits) for t in _lowered(batch["t"].to_pylist())]
             yield pa.record_batch([batch["k"].cast(pa.string()), batch["y"], pa.array([c.astype(np.uint32).tobytes() for c, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["k", "y", "codes", "sizes"])
 
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k").select("k", "y", "t")
