@@ -64,7 +64,9 @@ _HAN = "".join(map(chr, range(0x4E00, 0x9C20)))
 _PLACE = {c: (k, i) for k, row in enumerate(LETTERS) for i, c in enumerate(row)}
 _ROUNDS = 8
 
-_EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.%+-]*[\w%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_AT = r"[\w.%+-]*+(?<=[\w%+-])@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_EMAIL, _EMAIL_HERE = re.compile(r"(?<![\w.%+-])" + _AT), re.compile(_AT)
+_FIRST = re.compile("[A-Za-z0-9]")
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _IP4 = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -237,6 +239,18 @@ def _refilled(shape: str, value: str) -> str:
     return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(got, c)) else c for c in shape)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of e-mail addresses, which begin with the first ASCII letter or digit of their run; every run is read once."""
+    at = 0
+    while m := at and _EMAIL_HERE.match(text, at) or _EMAIL.search(text, at):
+        sign = text.index("@", m.start())
+        if first := _FIRST.search(text, m.start(), sign):
+            yield first.start(), m.end()
+            at = m.end()
+        else:
+            at = sign + 1
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normalised value) of what is found, in order, without overlaps; earlier patterns win."""
     out: list[tuple[int, int, str, str]] = []
@@ -249,8 +263,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((start, end, kind, norm))
 
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            put(*m.span(), "email", m[0].lower())
+        for start, end in _emails(text):
+            put(start, end, "email", text[start:end].lower())
     if any(d in text for d in "0123456789"):
         if ":" in text:
             for m in _IP6.finditer(text):
