@@ -112,7 +112,7 @@ def fit(
     key: str = "doc_id",
     label: str = "toxic",
     *,
-    max_rows: int = 3000,
+    max_rows: int = 2400,
     bits: int = 16,
     dim: int = 8,
     window: int = 32,
