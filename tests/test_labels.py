@@ -178,3 +178,8 @@ def test_variants_of_the_two_stages(spark, data, tmp_path, frames, monkeypatch):
     rows = chained.chained_rows(every.select("row_id", "is_train", "subject_id", "lifelog_date"), chained.dual_features(tables.sensors(spark, f"{folder}/ch2025_data_items")))
     shapes = {(len(r["x"]), len(r["x2"])) for r in rows.collect()}
     assert shapes == {(2 + 2, 4 + 2)} and rows.count() == 38 and all(np.isfinite(r["x2"]).all() for r in rows.collect())
+
+
+def test_leaderboard_breaks_ties_by_accuracy_and_positive_rate(spark):
+    scores = spark.createDataFrame([("Q1", "a", 0.5, 0.6, 0.9), ("Q1", "b", 0.5, 0.6, 0.2), ("Q1", "c", 0.9, 0.1, 0.5), ("Q1", "d", 0.5, 0.7, 0.5), ("S1", "e", 0.1, 0.1, 0.1)], "target string, strategy string, f1 double, accuracy double, positive_rate double")
+    assert [(r["target"], r["rank"], r["strategy"]) for r in modes.leaderboard(scores).collect()] == [("Q1", 1, "c"), ("Q1", 2, "d"), ("Q1", 3, "b"), ("S1", 1, "e")]

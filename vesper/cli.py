@@ -20,9 +20,13 @@ def main(args: list[str] | None = None) -> None:
         print(modes.install_check())
         return
     spark = SparkSession.builder.appName("vesper").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for name, df in modes.run(spark, got.data_dir, got.output_dir, got.mode).items():
+    out = modes.run(spark, got.data_dir, got.output_dir, got.mode)
+    for name, df in out.items():
         print(name)
-        df.show(3, truncate=False)
+        df.show(3 if name.startswith("submission") else 25, truncate=False)
+    if "strategy_scores" in out:
+        print("best candidates of each target")
+        modes.leaderboard(out["strategy_scores"]).show(25, truncate=False)
 
 
 if __name__ == "__main__":

@@ -320,5 +320,10 @@ def run(spark: SparkSession, data_dir: str, output_dir: str, mode: str = "f1", t
     return out
 
 
+def leaderboard(scores: DataFrame, n: int = 3) -> DataFrame:
+    """The best ``n`` candidates of each target by f1, accuracy and the lower positive rate, with their rank."""
+    return sinks.top_rows(scores, [F.desc("f1"), F.desc("accuracy"), F.asc("positive_rate")], ["target"], n).orderBy("target", "rank")
+
+
 def install_check() -> dict[str, bool]:
     return dependencies()
