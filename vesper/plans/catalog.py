@@ -622,10 +622,10 @@ def logistic_by_group(spark, d):
 
 # ---- fits of many label sets at once: SQL unrolls their steps
 
-_INPUTS = [c for c in history.COLUMNS if c != "change_rate"]
+_PAST = [c for c in history.COLUMNS if c != "change_rate"]
 _SETS = list(ROLLING_MASKS)
 _ROLED = f"""WITH h AS (FROM ({SQL['label_history']})), m AS (FROM ({SQL['rolling_masks']})),
-u AS ({' UNION ALL '.join(f"SELECT row_id, {i} AS i, coalesce({c}, 0.5) AS v FROM h" for i, c in enumerate(_INPUTS))}),
+u AS ({' UNION ALL '.join(f"SELECT row_id, {i} AS i, coalesce({c}, 0.5) AS v FROM h" for i, c in enumerate(_PAST))}),
 r AS (SELECT fold, row_id, y, is_valid FROM m JOIN h USING (row_id))"""
 
 
@@ -633,7 +633,7 @@ def _roled(spark, d):
     """Label rows with their history as features, and the three rolling folds as roles."""
     rows = history.label_history(_labels(spark, d))
     valid = folds.rolling_masks(rows).groupBy("row_id").agg(*[F.max(F.when(F.col("fold") == f, F.col("is_valid"))).alias(f) for f in _SETS])
-    x, roles = F.array(*[F.coalesce(F.col(c), F.lit(0.5)) for c in _INPUTS]), F.array(*[F.when(F.col(f), 2).otherwise(F.col("y").cast("int")) for f in _SETS])
+    x, roles = F.array(*[F.coalesce(F.col(c), F.lit(0.5)) for c in _PAST]), F.array(*[F.when(F.col(f), 2).otherwise(F.col("y").cast("int")) for f in _SETS])
     return rows.join(valid, "row_id").select("row_id", x.alias("x"), roles.alias("roles"))
 
 
@@ -642,7 +642,7 @@ def _by_fold(p):
 
 
 def _descent(steps: int) -> str:
-    n, t = len(_INPUTS), [f"""t0 AS (SELECT fold, i, CASE WHEN i = {len(_INPUTS)} THEN ln(q / (1 - q)) ELSE 0 END AS th FROM rate, (SELECT unnest(range({len(_INPUTS) + 1})) AS i))"""]
+    n, t = len(_PAST), [f"""t0 AS (SELECT fold, i, CASE WHEN i = {len(_PAST)} THEN ln(q / (1 - q)) ELSE 0 END AS th FROM rate, (SELECT unnest(range({len(_PAST) + 1})) AS i))"""]
     for k in range(steps):
         t.append(f"""t{k + 1} AS (SELECT fold, i, th - {0.08 / (1 + k / 250)!r} * (g + CASE WHEN i < {n} THEN 0.01 * th ELSE 0 END) AS th FROM t{k} JOIN (
   SELECT fold, i, sum((1 / (1 + exp(-greatest(-30, least(30, s)))) - y) * CASE WHEN y = 1 THEN 0.5 / q ELSE 0.5 / (1 - q) END / n * z) AS g
