@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
+import math
+import random
 
-from vesper.operators import stats
+import numpy as np
+
+from vesper.functions.constants import WINDOWS
+from vesper.operators import places, stats
 from vesper.plans import features
 from vesper.sources import tables
 
@@ -52,3 +58,44 @@ def test_ratio_gate_and_zero_fill(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "subject_id string, timestamp timestamp_ntz, x double")
     assert stats.table_features(stats.keyed(empty), "t").count() == 0
+
+
+def test_window_statistics_by_counts(spark):
+    """Against plain Python: ties, nulls, NaN, infinities, single values and windows that hold nulls alone."""
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0, 1e12]
+    rows = [(s, datetime.datetime(2024, 6, 1 + rng.randrange(2), rng.randrange(24), rng.randrange(60)), rng.choice([rng.gauss(0, 1), float(rng.randrange(4))])) for s in "ab" for _ in range(300)]
+    rows += [("c", datetime.datetime(2024, 6, 1, h), odd[h % 6]) for h in (0, 1, 2, 6, 7, 12, 18)] + [("d", datetime.datetime(2024, 6, 1, 4), None)]
+    df = stats.keyed(spark.createDataFrame(rows, "subject_id string, timestamp timestamp_ntz, x double"))
+    got = {(r["subject_id"], r["lifelog_date"], r["window"]): r for r in stats.window_stats(df, ["x"]).collect()}
+    groups = {}
+    for s, at, x in rows:
+        for w, hours in WINDOWS.items():
+            if at.hour in hours:
+                groups.setdefault((s, at.date(), w), []).append(x)
+    assert got.keys() == groups.keys()
+    same = lambda a, b: a == b or (a is not None and b is not None and (math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)))
+    for key, values in groups.items():
+        x = np.sort(np.array([v for v in values if v is not None], dtype=float))  # NaN last, as in Spark
+        with np.errstate(invalid="ignore"):
+            low, high = (x[(len(x) - 1) // 2], x[len(x) // 2]) if len(x) else (None, None)
+            want = {
+                "mean": x.mean() if len(x) else None, "std": x.std(ddof=1) if len(x) > 1 else None, "min": x[0] if len(x) else None, "max": x[-1] if len(x) else None,
+                "median": low if low == high else (low + high) / 2, "sum": x.sum() if len(x) else 0.0, "count": float(len(x)), "nunique": float(len(np.unique(x))),
+            }
+        for name, v in want.items():
+            assert same(got[key][name], v), (key, name, got[key][name], v)
+
+
+def test_familiar_ids_by_join(spark):
+    """Scans that repeat an id, null ids and subjects, empty and null scans, and a subject with half of all scans."""
+    rng = random.Random(6)
+    scans = [(rng.choice(["hot", "hot", "a", "b", None]), i, None if i % 17 == 0 else [(rng.choice([None, *map(str, range(30))]), -60.0) for _ in range(i % 5)]) for i in range(900)]
+    df = spark.createDataFrame(scans, "subject_id string, i int, m_wifi array<struct<bssid:string,rssi:double>>")
+    got = {r["i"]: r for r in places.network_features(df, "m_wifi", "bssid", "wifi", 20).collect()}
+    seen = collections.Counter((s, x) for s, _, cell in scans if s for x, _ in cell or [] if x)
+    assert len(got) == len(scans) and len({n >= 20 for n in seen.values()}) == 2
+    for s, i, cell in scans:
+        own = {x for x, _ in cell or [] if x}
+        ratio = sum(seen[s, x] >= 20 for x in own) / (len(own) + 1e-6)
+        assert abs(got[i]["wifi_familiar_ratio"] - ratio) < 1e-12 and got[i]["wifi_unique_count"] == len(own)

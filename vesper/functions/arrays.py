@@ -150,10 +150,15 @@ def gps(cell: Column) -> Column:
     return bound(made, lambda m: F.struct(*fields, *[m[name][x].alias(f"{name}_{x}") for name in GPS_FIELDS for x in ("mean", "std", "min", "max", "range")]))
 
 
+def scan_ids(cell: Column, id_field: str) -> Column:
+    """The distinct ids of a scan."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(cell, F.slice(cell, 1, 0)), lambda x: x[id_field].cast("string")), lambda x: x.isNotNull()))
+
+
 def network(cell: Column, id_field: str, familiar: Column) -> Column:
-    """Eight features of a scan, given the subject's familiar ids; an empty scan is wholly novel."""
+    """Eight features of a scan, given familiar ids (all of the subject, or those of the scan); an empty scan is wholly novel."""
     items = F.coalesce(cell, F.slice(cell, 1, 0))
-    ids = F.array_distinct(F.filter(F.transform(items, lambda x: x[id_field].cast("string")), lambda x: x.isNotNull()))
+    ids = scan_ids(cell, id_field)
     rssi = F.coalesce(F.filter(F.transform(items, lambda x: finite(x["rssi"].try_cast("double"))), lambda x: x.isNotNull()), F.array().cast("array<double>"))
     count = lambda v: F.greatest(F.coalesce(F.size(v), F.lit(0)), F.lit(0)).cast("double")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import gps, network
+from ..functions.arrays import gps, network, scan_ids
 from ..functions.constants import BLE_FAMILIAR, WIFI_FAMILIAR
+from ..sources.sinks import materialised
 
 
 def home_places(df: DataFrame, subject: str, hour: str, x: str, y: str) -> DataFrame:
@@ -37,9 +38,17 @@ def frequent_ids(df: DataFrame, subject: str, cell: str, id_field: str | None, l
 
 
 def network_features(df: DataFrame, cell: str, id_field: str, prefix: str, least: int) -> DataFrame:
-    """The table with eight scan features in place of the cell; familiar ids are a bounded list per subject by their threshold."""
-    known = frequent_ids(df, "subject_id", cell, id_field, least).groupBy("subject_id").agg(F.collect_set("id").alias("_known"))
-    out = df.join(known, "subject_id", "left").withColumn("_n", network(F.col(cell), id_field, F.col("_known")))
+    """The table with eight scan features in place of the cell.
+
+    A scan's ids are met with the subject's familiar ids in a join by (subject, id), and those that it has itself come back to the
+    row; no row carries all familiar ids of its subject. Both sides are written first, so that a join can be split where a subject
+    sees one id in most of its scans.
+    """
+    rows = materialised(df.withColumn("_row", F.monotonically_increasing_id()))
+    known = materialised(frequent_ids(rows, "subject_id", cell, id_field, least).select("subject_id", "id"))
+    seen = rows.select("_row", F.col("subject_id").cast("string").alias("subject_id"), F.explode(scan_ids(F.col(cell), id_field)).alias("id"))
+    met = seen.join(known, ["subject_id", "id"]).groupBy("_row").agg(F.collect_list("id").alias("_known"))
+    out = rows.join(met, "_row", "left").withColumn("_n", network(F.col(cell), id_field, F.col("_known")))
     fields = out.schema["_n"].dataType.names
     return out.select(*[c for c in df.columns if c != cell], *[F.col(f"_n.{f}").alias(f"{prefix}_{f}") for f in fields])
 

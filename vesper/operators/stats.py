@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.constants import EPSILON, PAIRS, PERIODS, RATIO_LIMIT
-from ..functions.scalars import calendar_date, time_period, windows_of_hour
+from ..functions.constants import EPSILON, PAIRS, PERIODS, RATIO_LIMIT, WINDOWS
+from ..functions.scalars import calendar_date, time_period
+from ..sources.sinks import materialised
 
 KEY = ("subject_id", "lifelog_date")
 DAILY = ("mean", "std", "min", "max", "median", "sum", "count")
 WINDOWED = (*DAILY, "nunique")
 PERIODIC = ("mean", "sum", "count")
+WHOLE_DAY = "daily_00_24"
 
 
 def keyed(df: DataFrame, subject: str = "subject_id", ts: str = "timestamp") -> DataFrame:
@@ -25,11 +28,6 @@ def keyed(df: DataFrame, subject: str = "subject_id", ts: str = "timestamp") ->
     return out.withColumns({"subject_id": F.col(subject).cast("string"), "lifelog_date": calendar_date(ts), "_hour": F.hour(ts), "_period": time_period(ts)})
 
 
-def in_windows(df: DataFrame) -> DataFrame:
-    """Each row once for every window that holds its hour."""
-    return df.withColumn("window", F.explode(windows_of_hour(F.col("_hour"))))
-
-
 def melted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     """(keep, column, value): one row per value column; a single column needs no generator."""
     if len(columns) == 1:
@@ -61,9 +59,58 @@ def daily_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return grouped_stats(melted(df, columns, *KEY), [*KEY, "column"], DAILY)
 
 
+def _in_window(name: str) -> Column:
+    return F.col("_hour").isin(list(WINDOWS[name]))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, column, value, a count for each window): how often a value stands in each window, nulls among the values.
+
+    A row is counted where it is, for all windows at once, and never repeated for the windows that hold its hour.
+    """
+    return melted(df, columns, *KEY, "_hour").groupBy(*KEY, "column", "value").agg(*[F.count_if(_in_window(w)).alias(w) for w in WINDOWS])
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """Per key, window and column the statistics of ``value_counts``; a window without rows has no row.
+
+    Values are sorted once for a key and column. A window's median stands where its running count passes the half, so that
+    no task holds the values of a group in memory: the sort spills.
+    """
+    group = Window.partitionBy(*KEY, "column")
+    ahead = group.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col("value")
+    known = counts.withColumns({f"_n_{w}": F.when(v.isNotNull(), F.col(w)).otherwise(0) for w in WINDOWS})
+    held = lambda w, x: F.when(F.col(f"_n_{w}") > 0, x)
+    run = known.withColumns({f"_run_{w}": F.sum(f"_n_{w}").over(ahead) for w in WINDOWS})
+    run = run.withColumns({f"_all_{w}": F.sum(f"_n_{w}").over(group) for w in WINDOWS} | {f"_sum_{w}": F.sum(held(w, v * F.col(f"_n_{w}"))).over(group) for w in WINDOWS})
+    made = []
+    for w in WINDOWS:
+        n, total, mean = F.col(f"_n_{w}"), F.col(f"_all_{w}"), F.try_divide(f"_sum_{w}", f"_all_{w}")
+        at_rank = lambda k: F.min(held(w, F.when(F.col(f"_run_{w}") >= k, v)))  # noqa: E731, B023
+        made += [
+            F.sum(w).alias(f"_rows_{w}"), F.max(total).alias(f"_count_{w}"), F.max(f"_sum_{w}").alias(f"_total_{w}"), F.sum(held(w, n * F.pow(v - mean, 2))).alias(f"_squares_{w}"),
+            F.min(held(w, v)).alias(f"_min_{w}"), F.max(held(w, v)).alias(f"_max_{w}"), F.count_if(n > 0).alias(f"_kinds_{w}"),
+            at_rank(F.floor((total + 1) / 2)).alias(f"_low_{w}"), at_rank(F.floor(total / 2) + 1).alias(f"_high_{w}"),
+        ]
+    wide = run.groupBy(*KEY, "column").agg(*made)
+
+    def of(w: str) -> Column:
+        c = lambda name: F.col(f"_{name}_{w}")
+        low, high = c("low"), c("high")
+        return F.struct(
+            F.lit(w).alias("window"), c("rows").alias("_rows"), F.try_divide(c("total"), c("count")).alias("mean"), F.when(c("count") > 1, F.sqrt(c("squares") / (c("count") - 1))).alias("std"),
+            c("min").alias("min"), c("max").alias("max"), F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("median"),
+            F.coalesce(c("total"), F.lit(0.0)).alias("sum"), c("count").cast("double").alias("count"), c("kinds").cast("double").alias("nunique"),
+        )
+
+    each = wide.select(*KEY, "column", F.explode(F.array(*map(of, WINDOWS))).alias("_w")).where("_w._rows > 0")
+    return each.select(*KEY, "_w.window", "column", *[f"_w.{n}" for n in WINDOWED])
+
+
 def window_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per key, window and column; a window without rows has no row here."""
-    return grouped_stats(melted(in_windows(df), columns, *KEY, "window"), [*KEY, "window", "column"], WINDOWED)
+    return stats_of_counts(value_counts(df, columns))
 
 
 def period_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,11 +119,11 @@ def period_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def row_counts(df: DataFrame) -> DataFrame:
     """(key, scope, name, n): rows a day, a window and a period; periods without rows on a day that has some are 0."""
-    each = df.groupBy(*KEY).agg(F.count("*").alias("_rows"), *[F.count_if(F.col("_period") == p).alias(p) for p in PERIODS])
-    parts = F.array(F.struct(F.lit("day").alias("scope"), F.lit("").alias("name"), F.col("_rows").alias("n")), *[F.struct(F.lit("period").alias("scope"), F.lit(p).alias("name"), F.col(p).alias("n")) for p in PERIODS])
-    days = each.select(*KEY, F.explode(parts).alias("_c")).select(*KEY, "_c.*")
-    windows = in_windows(df).groupBy(*KEY, F.col("window").alias("name")).agg(F.count("*").alias("n"))
-    return days.unionByName(windows.select(*KEY, F.lit("window").alias("scope"), "name", "n"))
+    counted = {"day": {"": F.lit(True)}, "period": {p: F.col("_period") == p for p in PERIODS}, "window": {w: _in_window(w) for w in WINDOWS}}
+    each = [(scope, name, hit) for scope, names in counted.items() for name, hit in names.items()]
+    days = df.groupBy(*KEY).agg(*[F.count_if(hit).alias(f"_{i}") for i, (_, _, hit) in enumerate(each)])
+    parts = F.array(*[F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("name"), F.col(f"_{i}").alias("n")) for i, (scope, name, _) in enumerate(each)])
+    return days.select(*KEY, F.explode(parts).alias("_c")).select(*KEY, "_c.*").where("scope <> 'window' or n > 0")
 
 
 def value_name(value: Column, integral: bool) -> Column:
@@ -90,9 +137,19 @@ def value_proportions(values: DataFrame, scope: list[str], limit: int = RATIO_LI
     Only columns with at most ``limit`` distinct values in their scope have ratios. A value that the
     scope has but the group has not is 0; a group without any value has no rows.
     """
+    return proportions(values.where("value is not null").groupBy(*KEY, *scope, "column", "value").agg(F.count("*").alias("n")), scope, limit)
+
+
+def window_proportions(counts: DataFrame, limit: int = RATIO_LIMIT) -> DataFrame:
+    """``value_proportions`` of each window, from ``value_counts``."""
+    each = F.array(*[F.struct(F.lit(w).alias("window"), F.col(w).alias("n")) for w in WINDOWS])
+    part = counts.where("value is not null").select(*KEY, "column", "value", F.explode(each).alias("_w")).select(*KEY, "_w.*", "column", "value")
+    return proportions(part.where("n > 0"), ["window"], limit)
+
+
+def proportions(counts: DataFrame, scope: list[str], limit: int = RATIO_LIMIT) -> DataFrame:
+    """``value_proportions`` from (key, scope, column, value, n), each value of a group once."""
     frame = [*scope, "column"]
-    known = values.where("value is not null")
-    counts = known.groupBy(*KEY, *frame, "value").agg(F.count("*").alias("n"))
     # all of a scope's values in at most limit + 1 places a partition: small after one shuffle of (scope, value)
     observed = counts.select(*frame, "value").distinct()
     gate = observed.groupBy(*frame).agg(F.count("*").alias("_kinds")).where(F.col("_kinds") <= limit).drop("_kinds")
@@ -133,16 +190,18 @@ def table_features(df: DataFrame, table: str, columns: list[str] | None = None)
     """All features of one table, long: (subject_id, lifelog_date, feature, value)."""
     columns = numeric_columns(df) if columns is None else columns
     integral = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
-    out = _named(daily_stats(df, columns), F.concat_ws("_", F.lit(table), F.col("column"), F.lit("%s")), DAILY)
-    suffixed = _suffixed(window_stats(df, columns))
+    values = materialised(value_counts(df, columns))
+    windowed = materialised(stats_of_counts(values))
+    out = _named(windowed.where(F.col("window") == WHOLE_DAY), F.concat_ws("_", F.lit(table), F.col("column"), F.lit("%s")), DAILY)
+    suffixed = _suffixed(windowed)
     out = out.unionByName(suffixed.select(*KEY, F.concat_ws("_", F.lit(table), "window", "suffix").alias("feature"), "value"))
     out = out.unionByName(_named(period_stats(df, columns), F.concat_ws("_", F.lit(table), F.col("column"), F.lit("%s"), F.col("period")), PERIODIC))
     counts = row_counts(df)
     out = out.unionByName(counts.select(*KEY, F.concat_ws("_", F.lit(table), F.when(F.col("scope") == "window", F.col("name")), F.lit("row_count"), F.when(F.col("scope") == "period", F.col("name"))).alias("feature"), F.col("n").cast("double").alias("value")))
     inter = interactions(suffixed.unionByName(counts.where("scope = 'window'").select(*KEY, F.col("name").alias("window"), F.lit("row_count").alias("suffix"), F.col("n").cast("double").alias("value"))))
     out = out.unionByName(_named(inter, F.concat(F.lit(table), F.lit("_"), F.col("left"), F.lit("_to_"), F.col("right"), F.lit("_"), F.col("suffix"), F.lit("_%s")), ("diff", "ratio", "abs_diff")))
-    whole = value_proportions(melted(df, columns, *KEY), [])
-    part = value_proportions(melted(in_windows(df), columns, *KEY, "window"), ["window"])
+    whole = proportions(values.where("value is not null").withColumn("n", F.col(WHOLE_DAY)), [])
+    part = window_proportions(values)
     shown = F.when(F.col("column").isin([*integral, "-"]), value_name(F.col("value"), True)).otherwise(value_name(F.col("value"), False))
     out = out.unionByName(whole.select(*KEY, F.concat_ws("_", F.lit(table), "column", F.lit("ratio"), shown).alias("feature"), F.col("ratio").alias("value")))
     out = out.unionByName(part.select(*KEY, F.concat_ws("_", F.lit(table), "window", "column", F.lit("ratio"), shown).alias("feature"), F.col("ratio").alias("value")))

@@ -96,7 +96,7 @@ obs AS (SELECT DISTINCT "window", value FROM f), gate AS (SELECT "window" FROM o
 tot AS (SELECT subject_id, lifelog_date, "window", count(*) AS a FROM f GROUP BY ALL), cnt AS (SELECT subject_id, lifelog_date, "window", value, count(*) AS n FROM f GROUP BY ALL)
 SELECT subject_id, lifelog_date, "window", 'kind' AS "column", value, coalesce(n, 0) / a AS ratio FROM tot JOIN obs USING ("window") LEFT JOIN cnt USING (subject_id, lifelog_date, "window", value) WHERE "window" IN (SELECT "window" FROM gate)""", dates=("lifelog_date",))
 def window_proportions(spark, d):
-    return stats.value_proportions(stats.melted(stats.in_windows(_events(spark, d)), ["kind"], *stats.KEY, "window"), ["window"])
+    return stats.window_proportions(stats.value_counts(_events(spark, d), ["kind"]))
 
 
 @query("window_interactions", f"""{_EVENTS}, w AS (SELECT subject_id, lifelog_date, "window", sum(value) AS sum, avg(value) AS mean FROM ev JOIN win USING (h) GROUP BY ALL),
