@@ -147,13 +147,24 @@ def meetings(waiting: dict[int, int], left: dict[int, int]) -> list[tuple[int, i
     return out
 
 
-def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of integers, made by the JVM."""
-    names = [c.split()[0] for c in schema.split(",")]
-    if not rows:
-        return spark.range(0).select(*[F.lit(None).cast("bigint").alias(c) for c in names])
-    said = ",".join("(" + ",".join("cast(null as bigint)" if v is None else f"{v}L" for v in row) + ")" for row in rows)
-    return spark.sql(f"select * from values {said} as t({', '.join(names)})")
+def _values(spark, rows: list[tuple], names: str) -> DataFrame:
+    """A small table of integers: a row or two for each partition."""
+    columns = zip(*rows) if rows else [[]] * len(names.split())
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names.split()))
+
+
+def shares(waiting: dict[int, int], met: list[tuple[int, int, int, int, int]], fresh: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(part, ranks that open sequences) of the ``fresh`` first waiting pieces, and (part, first rank that is still waiting)."""
+    across: dict[int, int] = {}
+    for part, _, m, _, _ in met:
+        across[part] = across.get(part, 0) + m
+    opening, still = [], []
+    for part in sorted(waiting):
+        k = min(fresh, waiting[part])
+        fresh -= k
+        opening.append((part, k))
+        still.append((part, max(across.get(part, 0), k)))
+    return opening, still
 
 
 def _bundled(left: DataFrame, capacity: int, parts: int) -> DataFrame:
@@ -203,21 +214,15 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
         done, across = sum(of(PLACED).values()), sum(m for _, _, m, _, _ in met)
         # of each partition's waiting pieces, the first ones meet gaps of other partitions; where nothing was placed, the largest open sequences
         fresh = 0 if done or across else -(-sum(r["size"] for r in seen if r["state"] == WAITING) // capacity)
-        opening, still, so_far = [], [], fresh
-        for part in sorted(waiting):
-            begin = sum(m for p, _, m, _, _ in met if p == part)
-            k = min(so_far, waiting[part])
-            so_far -= k
-            opening.append((part, k))
-            still.append((part, max(begin, k)))
+        opening, still = shares(waiting, met, fresh)
         wait = step.where(F.col("state") == WAITING)
-        at = F.broadcast(_values(spark, still, "p bigint, begin bigint"))  # a row for each partition
+        at = F.broadcast(_values(spark, still, "p begin"))  # a row for each partition
         left_next = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") >= F.col("begin")).select("id", "size")
         old = step.where(F.col("state") == OPEN)
         gaps_next = None
         took = [step.where(F.col("state") == PLACED).select("id", "size", "sequence", "gap")]
         if met:
-            ranks = F.broadcast(_values(spark, met, "p bigint, first bigint, n bigint, other bigint, other_first bigint"))  # two rows for each partition
+            ranks = F.broadcast(_values(spark, met, "p first n other other_first"))  # two rows for each partition
             asked = wait.join(ranks, (wait["part"] == ranks["p"]) & (wait["rank"] >= F.col("first")) & (wait["rank"] < F.col("first") + F.col("n")))
             asked = asked.select("id", "size", F.col("other").alias("_part"), (F.col("other_first") + F.col("rank") - F.col("first")).alias("_rank"))
             given = old.select("sequence", "gap", F.col("part").cast("bigint").alias("_part"), F.col("rank").alias("_rank"))
@@ -228,7 +233,7 @@ def _places(items: DataFrame, capacity: int, number: int) -> DataFrame:
             shrunk = t.select("sequence", (F.col("gap") - F.col("size")).alias("gap"))
             gaps_next = shrunk if gaps_next is None else gaps_next.union(shrunk)
         if fresh:
-            at = F.broadcast(_values(spark, opening, "p bigint, end bigint"))
+            at = F.broadcast(_values(spark, opening, "p end"))
             new = wait.join(at, wait["part"] == at["p"]).where(F.col("rank") < F.col("end"))
             placed.append(new.select("id", F.col("id").alias("sequence"), F.lit(0).cast("bigint").alias("offset")))
             gaps_next = gaps_next.union(new.select("id", capacity - F.col("size")))
