@@ -1,4 +1,4 @@
-"""Tree ensembles, logistic folds, networks and kernel machines of many label sets against plain versions."""
+"""Tree ensembles, linear models, logistic folds, networks and kernel machines of many label sets against plain versions."""
 
 from __future__ import annotations
 
@@ -121,7 +121,7 @@ def test_boosted_trees_have_the_splits_of_a_plain_version(rows, made, kind):
 
 
 def test_trees_do_not_depend_on_partitions_or_on_other_fits(rows):
-    kinds = [KINDS["leaf"], Ensemble(20, 0.1, depth=3, rows=0.6, columns=0.6, grow="level", min_hessian=1.0), Ensemble(18, 0.1, depth=3, l2=8.0, grow="same", from_odds=False, ordered=True), Ensemble(10, depth=4, min_rows=2, balanced=True, grow="random")]
+    kinds = [KINDS["leaf"], Ensemble(20, 0.1, depth=3, rows=0.6, columns=0.6, grow="level", min_hessian=1.0), Ensemble(18, 0.1, depth=3, l2=8.0, grow="same", from_odds=False, ordered=True), Ensemble(10, depth=4, min_rows=2, balanced=True, grow="random"), Ensemble(8, depth=4, min_rows=3, balanced=True, grow="forest")]
     fits = [Fit(r, s, None, 5) for s in kinds for r in range(4)]
     one, two = (trees.grow(df, fits, 4)[0].toPandas().sort_values(["fit", "row_id"]) for df in (rows.repartition(1), rows.repartition(7)))
     assert (one.p.fillna(-1).to_numpy() == two.p.fillna(-1).to_numpy()).all()
@@ -138,6 +138,58 @@ def test_ordered_margins_leave_a_rows_own_label_out(rows):
         assert any(tree.prefix[n, -1] != tree.value[n] for n in leaves)
 
 
+def plain_forest_tree(codes, y, times, columns, s: Ensemble):
+    """Of one sampled tree the (feature, rows that go left) of its inner nodes, level by level, and what its leaves say of each row."""
+    own = np.flatnonzero(times)
+    ones, every = (times * y).sum(), times.sum()
+    weight = times * np.where(y == 1, every / (2 * ones), every / (2 * (every - ones)))
+    mixed = lambda r: (weight[r] * y[r]).sum() / max(weight[r].sum(), 1e-300)
+    impure = lambda r: weight[r].sum() * (1 - mixed(r) ** 2 - (1 - mixed(r)) ** 2)
+    level, splits, said, made = [(0, own, np.arange(len(y)))], [], np.zeros(len(y)), 1
+    for deep in range(s.depth + 1):
+        below = []
+        for node, rows, all_ in level:
+            best = None
+            if deep < s.depth and len(rows) >= 2 * s.min_rows and 0 < y[rows].sum() < len(rows):
+                for f in columns(node):
+                    for cut in np.unique(codes[rows, f])[:-1]:
+                        a, b = rows[codes[rows, f] <= cut], rows[codes[rows, f] > cut]
+                        if min(len(a), len(b)) >= s.min_rows:
+                            gain = impure(rows) - impure(a) - impure(b)
+                            if best is None or gain > best[0] + 1e-9:
+                                best = gain, f, cut, a, b
+            if best is None:
+                said[all_] = mixed(rows)
+                continue
+            _, f, cut, a, b = best
+            splits.append((f, tuple(codes[own, f] <= cut)))
+            left = codes[all_, f] <= cut
+            below += [(made, a, all_[left]), (made + 1, b, all_[~left])]
+            made += 2
+        level = below
+    return splits, said
+
+
+def test_forests_are_those_of_a_plain_version(rows, made):
+    x, y = made
+    s = Ensemble(5, depth=4, min_rows=3, balanced=True, grow="forest")
+    got, grown, cuts = trees.grow(rows, [Fit(0, s, None, 7)], 4)
+    salt = {r["row_id"]: r["salt"] for r in trees.binned(rows, cuts, 4).select("row_id", "salt").collect()}
+    salt = np.array([salt[i] for i in range(N)])
+    codes = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]).astype(np.uint8)
+    train, total = np.arange(N) % 3 > 0, np.zeros(N)
+    for k, tree in enumerate(grown[0]):
+        run = trees.Run(0, Fit(0, s, None, 7), k, 6, (1.0, 1.0))
+        times = np.where(train, trees._times(salt, run), 0)
+        splits, said = plain_forest_tree(codes, y, times, run.columns, s)
+        own = times > 0
+        assert [(f, tuple(codes[own, f] <= c)) for f, c in zip(tree.feature, tree.cut) if f >= 0] == splits
+        total += said
+    assert np.allclose(of(got.toPandas(), 0), total[~train] / s.rounds)
+    drawn = np.bincount(trees._times(np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 200_000), run), minlength=5)[:5] / 200_000
+    assert np.abs(drawn - np.exp(-1) / np.array([1, 1, 2, 6, 24])).max() < 0.004
+
+
 def test_columns_that_a_fit_may_use_and_odd_tables(spark, rows):
     s = Ensemble(3, 0.3, leaves=4)
     _, grown, _ = trees.grow(rows, [Fit(0, s, (1, 2)), Fit(0, Ensemble(20, depth=3, grow="random"), (0,))], 4)
@@ -169,6 +221,52 @@ def test_networks_take_the_same_steps_near_and_far(rows, made):
     assert set(of(whole, 2)) == {1.0} and folded.networks(rows.where("false")).collect() == []
 
 
+def plain_optimum(x, y, asked, machine: bool):
+    """Newton's steps with the whole matrix, halved while the value grows."""
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    z, c = np.column_stack([(x - mean) / scale, np.ones(len(y))]), 0.2 if machine else 0.5
+    weight = c * len(y) / 2 / np.where(y == 1, y.sum(), len(y) - y.sum())
+    ridge, sign, t = np.append(np.ones(x.shape[1]), float(machine)), 2.0 * y - 1, np.zeros(x.shape[1] + 1)
+
+    def value(t):
+        line = sign * (z @ t)
+        return ridge @ (t * t) / 2 + weight @ (np.maximum(1 - line, 0) ** 2 if machine else np.logaddexp(0, -line))
+
+    for _ in range(60):
+        line = sign * (z @ t)
+        p = 1 / (1 + np.exp(line))
+        slope, bend = (-2 * sign * np.maximum(1 - line, 0), 2.0 * (line < 1)) if machine else (-sign * p, p * (1 - p))
+        step = np.linalg.solve((z.T * (weight * bend)) @ z + np.diag(ridge), z.T @ (weight * slope) + ridge * t)
+        size = 1.0
+        while value(t - size * step) > value(t) + 1e-12 and size > 1e-6:
+            size /= 2
+        t = t - size * step
+    return 1 / (1 + np.exp(-(np.column_stack([(asked - mean) / scale, np.ones(len(asked))]) @ t)))
+
+
+@pytest.mark.parametrize("machine", [False, True])
+def test_linear_models_are_the_optimum(rows, made, machine):
+    x, y = made
+    fitted = folded.linear_machines if machine else folded.regressions
+    near, far = (fitted(rows, local=n).toPandas() for n in (folded.LOCAL, 0))
+    for fit, out in ((0, 3), (1, 5)):
+        train = np.arange(N) % out > 0
+        want = plain_optimum(x[train], y[train], x[~train], machine)
+        assert np.abs(of(near, fit) - want).max() < 1e-8 and np.abs(of(far, fit) - want).max() < 1e-8
+    assert set(of(near, 2)) == {1.0} and np.isnan(of(far, 3)).all()
+    assert fitted(rows.where("false")).collect() == []
+
+
+def test_separable_labels_and_wide_tables_have_an_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 90)) * 10.0 ** rng.integers(-3, 4, 90)
+    y = (x[:, 0] > 0).astype(int)
+    wide = spark.createDataFrame([(i, x[i].tolist(), [int(y[i]) if i % 4 else 2]) for i in range(40)], "row_id int, x array<double>, roles array<int>")
+    train = np.arange(40) % 4 > 0
+    for machine, fitted in ((False, folded.regressions), (True, folded.linear_machines)):
+        assert np.abs(of(fitted(wide).toPandas(), 0) - plain_optimum(x[train], y[train], x[~train], machine)).max() < 1e-8
+
+
 def exact_machine(x, y, asked):
     """Pairwise steps on the dual of the exact kernel, decisions of five inner folds, and Platt's sigmoid on those."""
     mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)

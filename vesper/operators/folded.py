@@ -5,7 +5,11 @@
 the driver, which has the coefficients alone, takes the step. No group of rows has to fit a task.
 
 ``logistic`` is the balanced gradient descent of ``models.fit_logistic``, a pass for each of its steps; tables of up to ``LOCAL`` rows,
-by count, take all steps within one task instead, with the same numbers.
+by count, and ``CELLS`` cells take all steps within one task instead, with the same numbers.
+
+``regressions`` and ``linear_machines`` are the balanced optima of the logistic loss and of the squared hinge with drawn-in coefficients, by
+quasi-Newton steps (L-BFGS): a pass tries one point for every label set, and the driver has the last ``MEMORY`` steps of each. They
+end when all gradients are as good as 0, wherever they began.
 
 ``networks`` have one hidden layer of rectified units, drawn-in weights (their sum of squares costs ``alpha`` / 2 a row in all) and
 Adam's steps on the gradient of all rows; steps are passes or stay within a task, as above.
@@ -34,6 +38,8 @@ from ..sources.sinks import materialised
 from .models import STEPS
 
 LOCAL = 20_000
+CELLS = 16 << 20
+MEMORY, STILL = 12, 1e-10
 ASKED = 2
 #: Groups in which tasks' sums meet first, so that no task reads a row from every other one.
 SPREAD = 64
@@ -125,7 +131,8 @@ def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: i
     """Take the steps of all models: ``pull`` has the gradient of some standardised rows, ``stepped`` changes a model by their sum."""
     if not models:
         return
-    if rows.count() <= local:
+    n, width = rows.count(), len(next(iter(models.values()))["mean"])
+    if n <= local and n * width <= CELLS:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [(_matrix(b, "x"), _matrix(b, "roles", np.int8)) for b in batches if len(b)]
@@ -135,16 +142,22 @@ def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: i
                 z, y = _standard(m, x[own]), roles[own, k].astype(float)
                 for step in range(steps):
                     stepped(m, pull(m, z, y), step)
+                    if m.get("done"):
+                        break
             yield pa.record_batch([pa.array(list(models), pa.int32()), pa.array([m["theta"].tobytes() for m in models.values()], pa.binary())], names=["key", "sums"])
 
         for r in rows.coalesce(1).mapInArrow(run, "key int, sums binary").collect():  # a row for each label set
             models[r["key"]]["theta"] = np.frombuffer(r["sums"], dtype=np.float64)
         return
     for step in range(steps):
+        # tasks get what a gradient needs, not what is remembered of earlier steps
+        open_ = {k: {name: m[name] for name in ("mean", "scale", "clip", "theta", "n", "ones")} for k, m in models.items() if not m.get("done")}
+        if not open_:
+            break
 
-        def gradients(batch: pa.RecordBatch):
+        def gradients(batch: pa.RecordBatch, open_=open_):
             x, roles = _matrix(batch, "x"), _matrix(batch, "roles", np.int8)
-            return ((k, pull(m, _standard(m, x[own]), roles[own, k].astype(float))) for k, m in models.items() for own in [roles[:, k] < ASKED])
+            return ((k, pull(m, _standard(m, x[own]), roles[own, k].astype(float))) for k, m in open_.items() for own in [roles[:, k] < ASKED])
 
         for k, g in _sums(rows, gradients).items():
             stepped(models[k], g, step)
@@ -194,6 +207,76 @@ def logistic(rows: DataFrame, steps: int = STEPS, local: int = LOCAL) -> DataFra
     return _answers(rows, _said(models, _line))
 
 
+def _newton_like(m: dict, value: float, gradient: np.ndarray, last: bool) -> None:
+    """Take the point that was tried if it is lower enough, else halve the step; ``theta`` is what to try next, at the end the best."""
+    kept = m.get("kept")
+    if kept is None or value <= kept[1] + 1e-4 * m["slope"] * m["length"] + 1e-14 * abs(kept[1]):
+        if kept is not None:
+            moved, turned = m["theta"] - kept[0], gradient - kept[2]
+            if moved @ turned > 0:
+                m["steps"] = [*m["steps"], (moved, turned)][-MEMORY:]
+        kept = m["kept"] = (m["theta"], value, gradient)
+        way, used = -gradient, []
+        for moved, turned in reversed(m["steps"]):
+            used.append((moved @ way) / (moved @ turned))
+            way = way - used[-1] * turned
+        if m["steps"]:
+            moved, turned = m["steps"][-1]
+            way = way * (moved @ turned) / (turned @ turned)
+        for (moved, turned), share in zip(m["steps"], reversed(used)):
+            way = way + (share - (turned @ way) / (moved @ turned)) * moved
+        m["way"], m["slope"] = way, float(way @ gradient)
+        m["length"] = 1.0 if m["steps"] else 1 / max(1.0, float(np.sqrt(gradient @ gradient)))
+        m["done"] = bool(np.abs(gradient).max() <= STILL * m["n"])
+    else:
+        m["length"] /= 2
+        m["done"] = m["length"] < 1e-12
+    m["theta"] = kept[0] if m["done"] or last else kept[0] + m["length"] * m["way"]
+
+
+def _optima(rows: DataFrame, drawn_bias: float, loss, steps: int, local: int) -> DataFrame:
+    """(row_id, fit, p) of the lowest half square of coefficients plus loss, by the sigmoid of the line; ``loss`` gives of lines and labels
+    (values, slopes), which balanced classes weigh."""
+    ship_code(rows.sparkSession)
+    rows = materialised(rows.select("row_id", "x", "roles"))
+    models = _models(rows)
+    for m in models.values():
+        m |= {"clip": np.inf, "theta": np.zeros(len(m["mean"]) + 1), "steps": []}
+
+    def pull(m: dict, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        weight = m["n"] / 2 / np.where(y == 1, m["ones"], m["n"] - m["ones"])
+        value, slope = loss(_line(m, z), y)
+        return np.concatenate([[weight @ value], (weight * slope) @ z, [weight @ slope]])
+
+    def stepped(m: dict, sums: np.ndarray, step: int) -> None:
+        drawn = m["theta"] * np.append(np.ones(len(m["mean"])), drawn_bias)
+        _newton_like(m, float(sums[0] + drawn @ m["theta"] / 2), sums[1:] + drawn, step == steps - 1)
+
+    _descended(rows, {k: m for k, m in models.items() if "constant" not in m}, pull, stepped, steps, local)
+    return _answers(rows, _said(models, _line))
+
+
+def regressions(rows: DataFrame, c: float = 0.5, steps: int = 600, local: int = LOCAL) -> DataFrame:
+    """(row_id, fit, p) of the asked rows: balanced logistic regression, a row's loss counting ``c``; the bias isn't drawn in."""
+
+    def loss(line: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return c * np.logaddexp(0, np.where(y == 1, -line, line)), c * (1 / (1 + np.exp(-np.clip(line, -700, 700))) - y)
+
+    return _optima(rows, 0.0, loss, steps, local)
+
+
+def linear_machines(rows: DataFrame, c: float = 0.2, steps: int = 600, local: int = LOCAL) -> DataFrame:
+    """(row_id, fit, p) of the asked rows: balanced machine of the squared hinge, the bias drawn in as any coefficient; p is the
+    sigmoid of the decision."""
+
+    def loss(line: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sign = 2 * y - 1
+        over = np.maximum(1 - sign * line, 0)
+        return c * over * over, -2 * c * sign * over
+
+    return _optima(rows, 1.0, loss, steps, local)
+
+
 def networks(rows: DataFrame, hidden: int = 24, alpha: float = 0.03, steps: int = 300, rate: float = 0.002, seed: int = 2026, local: int = LOCAL) -> DataFrame:
     """(row_id, fit, p) of the asked rows, a network for each label set."""
     ship_code(rows.sparkSession)

@@ -1,13 +1,11 @@
-"""The named models: the balanced logistic fit in numpy, settings of the tree ensembles, MLlib estimators of the rest.
+"""The named models: the balanced logistic fit in numpy, and the settings of the tree ensembles.
 
-Only the logistic fit gives the same numbers as the published method. Tree ensembles, the network and the kernel machine are
-built in ``trees`` and ``folded``; logistic regression, linear machine and forest are MLlib's with the named settings.
+The models themselves are built in ``trees`` (ensembles) and ``folded`` (linear models, network and kernel machine), each for many
+label sets at once. The logistic fit, logistic regression and the linear machine have the numbers of the published method.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,6 +75,7 @@ def logistic_by_group(rows: DataFrame, keys: list[str], steps: int = STEPS) -> D
 #: The registry's models in order, and the settings of those that are tree ensembles.
 NAMES = ("logistic_regression", "linear_svc", "svc_rbf", "random_forest", "extra_trees", "hist_gradient_boosting", "mlp", "lightgbm", "catboost")
 ENSEMBLES = {
+    "random_forest": Ensemble(120, depth=5, min_rows=3, grow="forest", balanced=True),
     "extra_trees": Ensemble(160, depth=6, min_rows=2, grow="random", balanced=True),
     "hist_gradient_boosting": Ensemble(80, 0.05, leaves=7, l2=0.2, min_rows=20),
     "lightgbm": Ensemble(70, 0.03, leaves=7, l2=2.0, min_rows=8, columns=0.8),
@@ -94,18 +93,6 @@ def chained_ensembles(rounds: int = 150) -> dict[str, Ensemble]:
     }
 
 
-def estimators() -> dict[str, Callable[[int], object]]:
-    """MLlib estimators by model name, each made from a seed."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-
-    common = {"featuresCol": "features", "labelCol": "label"}
-    return {
-        "logistic_regression": lambda s: LogisticRegression(**common, weightCol="weight", regParam=0.02, standardization=True),
-        "linear_svc": lambda s: LinearSVC(**common, weightCol="weight", regParam=0.05),
-        "random_forest": lambda s: RandomForestClassifier(**common, weightCol="weight", numTrees=120, maxDepth=5, minInstancesPerNode=3, seed=s),
-    }
-
-
 def model_names() -> list[str]:
     return list(NAMES)
 
@@ -114,25 +101,6 @@ def dependencies() -> dict[str, bool]:
     return available("sklearn", "lightgbm", "catboost", "xgboost")
 
 
-def fit_predict(name: str, fit: DataFrame, predict: DataFrame, seed: int = 42) -> DataFrame:
-    """(row_id, p): probabilities of one of MLlib's models; labels of one class only give that class."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    made = estimators()
-    if name not in made:
-        raise ValueError(f"no such model: {name}; known are {', '.join(made)}")
-    rate, lowest, highest = fit.agg(F.avg("y"), F.min("y"), F.max("y")).first()
-    if lowest == highest:
-        return predict.select("row_id", F.lit(float(lowest)).alias("p"))
-    weight = F.when(F.col("y") == 1, 0.5 / rate).otherwise(0.5 / (1 - rate))
-    rows = fit.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), weight.alias("weight"))
-    estimator = made[name](seed)
-    out = estimator.fit(rows).transform(predict.select("row_id", array_to_vector("x").alias("features")))
-    if name == "linear_svc":
-        return out.select("row_id", (1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))).alias("p"))
-    return out.select("row_id", vector_to_array("probability")[1].alias("p"))
-
-
 def weighted_pair(mode: str, boosted: bool = True) -> list[tuple[str, float]]:
     """(model, weight) of the chained models; without a second boosting library the second one is extra trees."""
     alone = {"lgbm": [("lightgbm", 1.0)], "extra_trees": [("extra_trees", 1.0)]}

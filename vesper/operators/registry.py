@@ -4,26 +4,25 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import materialised
-from .folded import kernel_machines, networks
-from .models import ENSEMBLES, fit_predict
-from .trees import ASKED, Ensemble, Fit, grow
+from .folded import kernel_machines, linear_machines, networks, regressions
+from .models import ENSEMBLES
+from .trees import Ensemble, Fit, grow
 
 
 #: Models that are fitted for all label sets of the same features at once.
-SHARED = {"svc_rbf": kernel_machines, "mlp": networks}
+SHARED = {"logistic_regression": regressions, "linear_svc": linear_machines, "svc_rbf": kernel_machines, "mlp": networks}
 
 
 def fit_all(rows: DataFrame, roles: int, asked: list[tuple[int, str, tuple[int, ...] | None]], seed: int = 2026, ensembles: dict[str, Ensemble] = ENSEMBLES) -> DataFrame:
     """(row_id, fit, p) of asked rows: ``asked`` has (label set, model, features or None for all), ``fit`` is a place in it.
 
-    ``rows`` has row_id, x and roles (see ``trees``). All tree ensembles grow in the same passes over one binned table, and all kernel
-    machines and networks of the same features in theirs; MLlib's models are fitted one by one. A model that MLlib refuses, or that isn't known,
-    is left out with a warning; label sets without training rows give nothing.
+    ``rows`` has row_id, x and roles (see ``trees``). All tree ensembles grow in the same passes over one binned table, and all other models of
+    the same kind and features in theirs, so the number of jobs follows the kinds of models and their steps, not the label sets. A model that
+    isn't known is left out with a warning; label sets without training rows give nothing.
     """
     rows, parts = materialised(rows.select("row_id", "x", "roles")), []
     trees = [i for i, (_, model, _) in enumerate(asked) if model in ensembles]
@@ -35,12 +34,7 @@ def fit_all(rows: DataFrame, roles: int, asked: list[tuple[int, str, tuple[int,
         if model in SHARED:
             shared.setdefault((model, columns), {})[role] = i
         elif model not in ensembles:
-            of = rows.select("row_id", _some(columns).alias("x"), F.get("roles", F.lit(role)).alias("y"))
-            try:
-                p = fit_predict(model, of.where(F.col("y") < ASKED), of.where(F.col("y") == ASKED), seed)
-                parts.append(materialised(p.select("row_id", F.lit(i).alias("fit"), "p")))
-            except (ValueError, IllegalArgumentException) as error:
-                warnings.warn(f"skipped {model}: {error}", stacklevel=2)
+            warnings.warn(f"skipped {model}: no such model; known are {', '.join([*SHARED, *ensembles])}", stacklevel=2)
     parts += [_named(SHARED[model](rows.withColumn("x", _some(columns))), of) for (model, columns), of in shared.items()]
     out = rows.select("row_id", F.lit(0).alias("fit"), F.lit(0.0).alias("p")).where("false")
     for part in parts:

@@ -11,8 +11,10 @@ Gradients and hessians are rounded to multiples of 2**-30 and summed as integers
 partitions, nor on a task that runs again: the same rows give the same trees.
 
 Ways to grow a tree: ``leaf`` splits the leaf of the greatest gain until there are enough; ``level`` splits all leaves of a level;
-``same`` splits all of a level at one common feature and cut; ``random`` draws some features a node and a cut within each one's range
-there, and its trees are averaged instead of boosted.
+``same`` splits all of a level at one common feature and cut. Trees of two further ways are averaged instead of boosted, and draw some
+features a node: ``random`` draws a cut within each one's range there, ``forest`` takes the best cut, each tree over its own sample.
+A row stands in a forest's sample as many times as a Poisson draw by its hash says, which is what drawing with replacement
+comes to in a large table; balanced classes weigh the same within each sample. Rows of a leaf are counted once however often drawn.
 
 Ordered boosting (``ordered``) keeps a row's own label out of the values that it learns from: a permutation by hash falls into
 segments, each as long as all before it, and the margin that a row is trained with adds the values that its leaves have by the
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,10 @@ class Ensemble:
     balanced: bool = False
     ordered: bool = False
 
+    @property
+    def averaged(self) -> bool:
+        return self.grow in ("random", "forest")
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -166,6 +173,15 @@ def _segments(salt: np.ndarray, fit: Fit, at: int) -> np.ndarray:
     return np.maximum(SEGMENTS + np.floor(np.log2(place)).astype(np.int64), 0)
 
 
+#: Shares of rows that a sample has no more than 0, 1, 2, ... times.
+_TIMES = np.cumsum([np.exp(-1) / factorial(k) for k in range(16)])
+
+
+def _times(salt: np.ndarray, r: Run) -> np.ndarray:
+    """How often each row stands in the sample of a forest's tree."""
+    return np.searchsorted(_TIMES, _drawn_by_hash(salt, r.fit.seed, r.at, r.number, 2), side="right")
+
+
 # ---- growing
 
 
@@ -186,10 +202,10 @@ class Run:
         if self.by_segment is not None:
             return np.zeros(1, dtype=np.int64)
         s, n = self.fit.settings, len(self.allowed)
-        drawn = max(1, int(n**0.5)) if s.grow == "random" else max(1, int(s.columns * n))
+        drawn = max(1, int(n**0.5)) if s.averaged else max(1, int(s.columns * n))
         if drawn >= n:
             return self.allowed
-        key = [self.fit.seed, self.at, self.number] + ([node] if s.grow == "random" else [])
+        key = [self.fit.seed, self.at, self.number] + ([node] if s.averaged else [])
         return np.sort(np.random.default_rng(key).choice(self.allowed, drawn, replace=False))
 
     def take(self, node: int, found: tuple) -> None:
@@ -219,9 +235,9 @@ class Run:
                     _, more_g, more_h = self.by_segment.get((node, segment), (0, 0, 0))
                     g, h = g + more_g, h + more_h
             return True
-        least = -np.inf if s.grow == "random" else 1e-9
+        least = -np.inf if s.averaged else 1e-9
         deep_enough = lambda n: bool(s.depth) and self.deep[n] >= s.depth
-        open_ = lambda n: not deep_enough(n) and self.known[n][0] >= 2 * s.min_rows and (s.grow != "random" or 0 < self.known[n][1] < self.known[n][2])
+        open_ = lambda n: not deep_enough(n) and self.known[n][0] >= 2 * s.min_rows and (not s.averaged or 0 < self.known[n][1] < self.known[n][2])
         while not self.need:
             ready = [n for n, b in sorted(self.best.items()) if b[0] > least and not deep_enough(n) and (s.grow == "same" or open_(n))]
             if not ready or (s.leaves and (len(self.tree.feature) + 1) // 2 >= s.leaves):
@@ -240,9 +256,20 @@ class Run:
             self.by_segment, self.need = {}, leaves
         return not s.ordered
 
+    def weighed(self, g, h):
+        """Sums of a forest's sample with its classes weighed alike: those of ones and zeros in the whole tree divide them."""
+        if self.fit.settings.grow != "forest" or not self.fit.settings.balanced:
+            return g, h
+        _, ones, every = self.known.get(0, (0, 0, 0))
+        if not 0 < ones < every:
+            return g, h
+        one, zero = every / (2 * ones), every / (2 * (every - ones))
+        return one * g, one * g + zero * (h - g)
+
     def _value(self, g: int, h: int) -> float:
         s = self.fit.settings
-        if s.grow == "random":
+        if s.averaged:
+            g, h = self.weighed(g, h)
             return g / h if h else 0.0
         return -s.rate * float(_drawn(np.float64(g / SCALE), s.l1)) / (h / SCALE + s.l2) if h or s.l2 else 0.0
 
@@ -255,7 +282,7 @@ def _score(s: Ensemble, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """What a leaf of these sums is worth: the second-order gain, or the purity of a weighted share."""
     g, h = g / SCALE, h / SCALE
     with np.errstate(divide="ignore", invalid="ignore"):
-        worth = (g * g + (h - g) ** 2) / h if s.grow == "random" else _drawn(g, s.l1) ** 2 / (h + s.l2)
+        worth = (g * g + (h - g) ** 2) / h if s.averaged else _drawn(g, s.l1) ** 2 / (h + s.l2)
     return np.where(h > 0, worth, 0.0)
 
 
@@ -274,7 +301,7 @@ def _histograms(runs: list[Run], margin, bins: int):
                     rows = np.flatnonzero(roles[:, r.fit.role] < ASKED)
                     y = roles[rows, r.fit.role].astype(np.float64)
                     w = np.where(y == 1, r.weights[1], r.weights[0])
-                    if s.grow == "random":
+                    if s.averaged:
                         made[r.at] = rows, w * y, w
                     else:
                         p = 1 / (1 + np.exp(-margin(r.at, batch, codes, rows)))
@@ -283,6 +310,10 @@ def _histograms(runs: list[Run], margin, bins: int):
                 if s.rows < 1:
                     own = _drawn_by_hash(salt[rows], r.fit.seed, r.at, r.number) < s.rows
                     rows, g, h = rows[own], g[own], h[own]
+                if s.grow == "forest":
+                    times = _times(salt[rows], r)
+                    own = np.flatnonzero(times)
+                    rows, g, h = rows[own], (g * times)[own], (h * times)[own]
                 leaf = r.tree.leaf_of(codes[rows])
                 for node in r.need:
                     here, columns = np.flatnonzero(leaf == node), chosen[slot, node]
@@ -320,7 +351,10 @@ def _best_splits(runs: list[Run], centres: list[np.ndarray], bins: int):
             left = np.cumsum(np.stack([n, g, h]), axis=2)
             whole = left[:, :1, -1:]
             right = whole - left
-            gain = _score(s, left[1], left[2]) + _score(s, right[1], right[2]) - _score(s, whole[1], whole[2])
+            if s.averaged and node == 0:
+                r.known[0] = tuple(whole[:, 0, 0].tolist())
+            worth = [_score(s, *r.weighed(*x[1:])) for x in (left, right, whole)]
+            gain = worth[0] + worth[1] - worth[2]
             fine = (left[0] >= s.min_rows) & (right[0] >= s.min_rows) & (left[2] >= s.min_hessian * SCALE) & (right[2] >= s.min_hessian * SCALE)
             if s.grow == "random":
                 fine &= _drawn_cuts(r, node, block, n, centres)
@@ -399,8 +433,8 @@ def grow(rows: DataFrame, fits: list[Fit], roles: int, bins: int = BINS) -> tupl
             continue
         s = fit.settings
         start[at] = np.log(ones / zeros) if s.from_odds and not s.balanced else 0.0
-        weights = ((zeros + ones) / (2 * zeros), (zeros + ones) / (2 * ones)) if s.balanced else (1.0, 1.0)
-        runs += [Run(at, fit, k, len(cuts), weights) for k in (range(s.rounds) if s.grow == "random" else [0])]
+        weights = ((zeros + ones) / (2 * zeros), (zeros + ones) / (2 * ones)) if s.balanced and s.grow != "forest" else (1.0, 1.0)
+        runs += [Run(at, fit, k, len(cuts), weights) for k in (range(s.rounds) if s.averaged else [0])]
     trees: list[list[Tree]] = [[] for _ in fits]
     written = [0] * len(fits)
     margins: DataFrame | None = None
@@ -431,11 +465,11 @@ def grow(rows: DataFrame, fits: list[Fit], roles: int, bins: int = BINS) -> tupl
         for r in active:
             if r.grow():
                 trees[r.at].append(r.tree)
-                if r.fit.settings.grow != "random" and len(trees[r.at]) < r.fit.settings.rounds:
+                if not r.fit.settings.averaged and len(trees[r.at]) < r.fit.settings.rounds:
                     r.number += 1
                     r.begin()
         active = [r for r in active if r.need]
-        boosted = {r.at for r in active if r.fit.settings.grow != "random"}
+        boosted = {r.at for r in active if not r.fit.settings.averaged}
         if any(len(trees[at]) - written[at] >= PENDING for at in boosted):
             margins = materialised(source.mapInArrow(_with_margins(margin_of_rest(), len(fits)), f"{table.schema.simpleString()[7:-1].replace(':', ' ')}, margins binary"))
             written = [len(t) for t in trees]
@@ -462,7 +496,7 @@ def _predicted(fits: list[Fit], trees: list[list[Tree]], start: np.ndarray, cons
                     p = pa.array([constant[at]] * len(rows), pa.float64())
                 else:
                     total = sum((t.values(codes[rows]) for t in trees[at]), np.zeros(len(rows)))
-                    p = pa.array(total / max(1, len(trees[at])) if fit.settings.grow == "random" else 1 / (1 + np.exp(-(start[at] + total))))
+                    p = pa.array(total / max(1, len(trees[at])) if fit.settings.averaged else 1 / (1 + np.exp(-(start[at] + total))))
                 yield pa.record_batch([batch["row_id"].take(pa.array(rows)), pa.array(np.full(len(rows), at, dtype=np.int32)), p], names=["row_id", "fit", "p"])
 
     return run

@@ -659,6 +659,42 @@ def logistic_folds(spark, d):
     return _by_fold(folded.logistic(_roled(spark, d), steps=5, local=0))
 
 
+_TWO = ("last_value", "last_7_mean")
+
+
+def _lowest(machine: bool, c: float, steps: int) -> str:
+    """Newton's steps for two features and a bias, the three by three systems solved by cofactors."""
+    error, bend, bias = ("-2 * w * sg * greatest(1 - sg * f, 0)", "CASE WHEN sg * f < 1 THEN 2 * w ELSE 0 END", 1) if machine else ("w * (1 / (1 + exp(-f)) - y)", "w / (1 + exp(-f)) / (1 + exp(f))", 0)
+    t = ["t0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM z)"]
+    for k in range(steps):
+        t.append(f"""l{k} AS (SELECT z.*, a, b, c, a * z1 + b * z2 + c AS f FROM z JOIN t{k} USING (fold) WHERE NOT is_valid),
+s{k} AS (SELECT fold, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(a) + sum({error} * z1) AS g1, any_value(b) + sum({error} * z2) AS g2, {bias} * any_value(c) + sum({error}) AS g3,
+  1 + sum({bend} * z1 * z1) AS h11, sum({bend} * z1 * z2) AS h12, sum({bend} * z1) AS h13, 1 + sum({bend} * z2 * z2) AS h22, sum({bend} * z2) AS h23, {bias} + sum({bend}) AS h33 FROM l{k} GROUP BY 1),
+d{k} AS (SELECT *, h22 * h33 - h23 * h23 AS i11, h13 * h23 - h12 * h33 AS i12, h12 * h23 - h13 * h22 AS i13, h11 * h33 - h13 * h13 AS i22, h12 * h13 - h11 * h23 AS i23, h11 * h22 - h12 * h12 AS i33 FROM s{k}),
+t{k + 1} AS (SELECT fold, a - (i11 * g1 + i12 * g2 + i13 * g3) / (h11 * i11 + h12 * i12 + h13 * i13) AS a, b - (i12 * g1 + i22 * g2 + i23 * g3) / (h11 * i11 + h12 * i12 + h13 * i13) AS b, c - (i13 * g1 + i23 * g2 + i33 * g3) / (h11 * i11 + h12 * i12 + h13 * i13) AS c FROM d{k})""")
+    of = [f"coalesce({x}, 0.5)" for x in _TWO]
+    return f"""{_ROLED}, v AS (SELECT r.*, {of[0]} AS v1, {of[1]} AS v2 FROM r JOIN h USING (row_id)),
+ms AS (SELECT fold, avg(v1) AS m1, stddev_pop(v1) AS d1, avg(v2) AS m2, stddev_pop(v2) AS d2, count(*) AS n, sum(y) AS ones FROM v WHERE NOT is_valid GROUP BY 1),
+z AS (SELECT fold, row_id, y, is_valid, 2 * y - 1 AS sg, (v1 - m1) / CASE WHEN d1 > 0 THEN d1 ELSE 1 END AS z1, (v2 - m2) / CASE WHEN d2 > 0 THEN d2 ELSE 1 END AS z2, {c} * n / 2 / CASE WHEN y = 1 THEN ones ELSE n - ones END AS w FROM v JOIN ms USING (fold)),
+{', '.join(t)} SELECT fold, row_id, round(1 / (1 + exp(-(a * z1 + b * z2 + c))), 9) AS p FROM z JOIN t{steps} USING (fold) WHERE is_valid"""
+
+
+def _of_two(spark, d):
+    return _roled(spark, d).withColumn("x", F.array(*[F.get("x", F.lit(_PAST.index(c))) for c in _TWO]))
+
+
+@query("logistic_regressions", _lowest(False, 0.5, 9))
+def logistic_regressions(spark, d):
+    """Optima of the drawn-in logistic loss for three folds at once, a pass for each point tried."""
+    return _by_fold(folded.regressions(_of_two(spark, d), local=0)).withColumn("p", F.round("p", 9))
+
+
+@query("linear_machines", _lowest(True, 0.2, 12))
+def linear_machines(spark, d):
+    """Optima of the drawn-in squared hinge for three folds at once, a pass for each point tried."""
+    return _by_fold(folded.linear_machines(_of_two(spark, d), local=0)).withColumn("p", F.round("p", 9))
+
+
 _STUMPS = trees.Ensemble(3, 0.3, leaves=2, l2=0.2, min_rows=20)
 
 
@@ -685,8 +721,8 @@ def boosted_stumps(spark, d):
 
 @query("tree_ensembles")
 def tree_ensembles(spark, d):
-    """A leaf-wise, a level-wise, an oblivious and a random ensemble of five rounds, for three folds in the same passes."""
-    kinds = {"leaf": trees.Ensemble(5, 0.1, leaves=7, min_rows=20), "level": trees.Ensemble(5, 0.1, depth=3, l1=1.0, l2=1.0, rows=0.65, columns=0.65, grow="level"), "same": trees.Ensemble(5, 0.1, depth=3, l2=8.0, grow="same"), "random": trees.Ensemble(5, depth=4, min_rows=2, balanced=True, grow="random")}
+    """A leaf-wise, a level-wise, an oblivious and a random ensemble and a forest of five rounds, for three folds in the same passes."""
+    kinds = {"leaf": trees.Ensemble(5, 0.1, leaves=7, min_rows=20), "level": trees.Ensemble(5, 0.1, depth=3, l1=1.0, l2=1.0, rows=0.65, columns=0.65, grow="level"), "same": trees.Ensemble(5, 0.1, depth=3, l2=8.0, grow="same"), "random": trees.Ensemble(5, depth=4, min_rows=2, balanced=True, grow="random"), "forest": trees.Ensemble(5, depth=4, min_rows=3, balanced=True, grow="forest")}
     fits = [trees.Fit(k, s) for s in kinds.values() for k in range(len(_SETS))]
     p = trees.grow(_roled(spark, d), fits, len(_SETS))[0]
     kind = F.get(F.array(*map(F.lit, kinds)), (F.col("fit") / len(_SETS)).cast("int")).alias("kind")
