@@ -1,7 +1,8 @@
 """The named models: the balanced logistic fit in numpy, and the settings of the tree ensembles.
 
 The models themselves are built in ``trees`` (ensembles) and ``folded`` (linear models, network and kernel machine), each for many
-label sets at once. The logistic fit, logistic regression and the linear machine have the numbers of the published method.
+label sets at once. The logistic fit has the numbers of the published method; logistic
+regression and the linear machine are the optima of its settings, which could not be compared with the library it calls.
 """
 
 from __future__ import annotations
