@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import arrays, scalars
 from ..functions.constants import AMBIENCE, APPS, PAIRS, PERIODS, ROLLING_MASKS, SHRINK, WINDOWS
@@ -274,11 +275,12 @@ _FIRST = _LABELS + ", fit AS (SELECT * FROM lab WHERE lifelog_date < DATE '2024-
 
 
 def _labels(spark, d):
+    """The labels, made once: a sum that is made again adds in another order, and a day's own sum would then be over the median that it is."""
     day = _t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("lifelog_date")).agg(F.sum("value").alias("s"))
-    medians = day.groupBy("user_id").agg(F.median("s").alias("m"))
-    rows = day.join(medians, "user_id")
+    rows = day.where("user_id is not null").withColumn("m", F.median("s").over(Window.partitionBy("user_id")))
     number = F.col("user_id") * 1000 + F.date_diff("lifelog_date", F.lit("2024-01-01").cast("date"))
-    return rows.select(number.cast("long").alias("row_id"), F.col("user_id").cast("string").alias("subject_id"), "lifelog_date", F.lit("Q1").alias("target"), (F.col("s") > F.col("m")).cast("double").alias("y"))
+    labels = rows.select(number.cast("long").alias("row_id"), F.col("user_id").cast("string").alias("subject_id"), "lifelog_date", F.lit("Q1").alias("target"), (F.col("s") > F.col("m")).cast("double").alias("y"))
+    return sinks.materialised(labels)
 
 
 def _fit_predict(spark, d):
