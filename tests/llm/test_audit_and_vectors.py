@@ -222,3 +222,17 @@ def test_no_vector_and_queries(spark):
     assert vector_dedup.near_duplicates(vectors(spark, [(1, None, 1)]).where("false")).collect() == []
     assert vector_dedup.near_duplicates(vectors(spark, [(1, [0.0, 2.0], 1)])).collect() == [(1, 0, 1)]
     assert {"op11_filter_interactions", "op12_vector_codes", "op13_embedding_near_dedup"} <= queries.queries().keys() & queries.oracle_sql().keys()
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch):
+    """Pairs of random directions just over the threshold, with lists of a few vectors each."""
+    monkeypatch.setattr(vector_dedup, "LIST", 8)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    x, off = rng.standard_normal((2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    y = 0.903 * x + math.sqrt(1 - 0.903**2) * off
+    got = vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))])).collect()
+    assert {(r["vec_id"], r["n_links"], r["component"]) for r in got} == {(i, 1, i % 400) for i in range(800)}
