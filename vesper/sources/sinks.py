@@ -21,7 +21,8 @@ def predictions_frame(template: DataFrame, predictions: DataFrame, as_int: bool
 
     ``predictions`` has row_id, target and value; the template has row_id and the keys.
     """
-    wide = predictions.groupBy("row_id").pivot("target", list(TARGETS)).agg(F.first("value"))
+    # one aggregation by row: a pivot would first group by row and target, seven times the groups
+    wide = predictions.groupBy("row_id").agg(*[F.first(F.when(F.col("target") == t, F.col("value")), ignorenulls=True).alias(t) for t in TARGETS])
     value = lambda t: F.col(t).cast("int") if as_int else clipped_probability(t, clip)
     dates = [F.date_format(k, "yyyy-MM-dd").alias(k) if k != "subject_id" else F.col(k) for k in KEYS]
     return template.select("row_id", *KEYS).join(wide, "row_id", "left").orderBy("row_id").select(*dates, *[value(t).alias(t) for t in TARGETS])
