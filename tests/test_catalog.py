@@ -53,3 +53,20 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _plan(df) -> list[str]:
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def _deepest(df, word: str) -> int:
+    return max((i for i, line in enumerate(_plan(df)) if word in line), default=-1)
+
+
+def test_predictions_are_grouped_by_row_alone(spark):
+    assert not any("pivotfirst" in line.lower() for line in _plan(entry.queries()["predictions_frame"](spark, SF)))
+
+
+def test_cross_inputs_are_summed_before_they_are_named(spark):
+    df = entry.queries()["cross_features"](spark, SF)
+    assert _deepest(df, "Generate explode") < _deepest(df, "Aggregate [")

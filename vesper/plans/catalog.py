@@ -572,10 +572,11 @@ f AS (SELECT user_id::VARCHAR AS subject_id, ts::DATE AS lifelog_date, feature,
 w AS (SELECT subject_id, lifelog_date, {', '.join(f"max(value) FILTER (feature = '{x}') AS {x}" if i != 3 else f"0.0::DOUBLE AS {x}" for i, x in enumerate(_INPUTS))} FROM f GROUP BY ALL), u AS (
 """ + " UNION ALL ".join(f"SELECT subject_id, lifelog_date, '{cross_features.PREFIX}{n}' AS feature, ({cross_features._INPUT.sub(lambda m: m[0].replace('/', '_'), e)})::DOUBLE AS value FROM w" for n, e in cross_features.FORMULAS.items()) + ") SELECT * FROM u WHERE value IS NOT NULL", dates=("lifelog_date",))
 def cross(spark, d):
-    names = F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(i).alias("i")) for i, x in enumerate(_INPUTS)])
-    rows = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("subject_id"), F.to_date("ts").alias("lifelog_date"), F.hour("ts").alias("h"), "value", F.explode(names).alias("n"))
-    f = rows.where((F.col("h") % 4 == F.col("n.i") % 4) & (F.col("n.i") != 3)).groupBy(*stats.KEY, F.col("n.feature").alias("feature")).agg(F.sum("value").alias("value"))
-    return cross_features.cross_features(f)
+    names = [F.array(*[F.lit(x) for i, x in enumerate(_INPUTS) if i % 4 == h and i != 3]) for h in range(4)]
+    rows = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("subject_id"), F.to_date("ts").alias("lifelog_date"), (F.hour("ts") % 4).alias("h"), "value")
+    # the names of an hour have one sum, so rows are added up before they are named
+    sums = rows.groupBy(*stats.KEY, "h").agg(F.sum("value").alias("value"))
+    return cross_features.cross_features(sums.select(*stats.KEY, F.explode(F.get(F.array(*names), F.col("h"))).alias("feature"), "value"))
 
 
 @query("predictions_frame", """WITH t AS (SELECT c_custkey AS row_id, c_name AS subject_id, DATE '2024-01-02' AS sleep_date, DATE '2024-01-01' AS lifelog_date FROM customer)
