@@ -70,3 +70,8 @@ def test_predictions_are_grouped_by_row_alone(spark):
 def test_cross_inputs_are_summed_before_they_are_named(spark):
     df = entry.queries()["cross_features"](spark, SF)
     assert _deepest(df, "Generate explode") < _deepest(df, "Aggregate [")
+
+
+def test_window_statistics_keep_no_wide_rows(spark):
+    plan = entry.queries()["window_stats"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" in plan and "REPARTITION_BY_NUM" in plan

@@ -75,8 +75,11 @@ def stats_of_counts(counts: DataFrame) -> DataFrame:
     """Per key, window and column the statistics of ``value_counts``; a window without rows has no row.
 
     Values are sorted once for a key and column. A window's median stands where its running count passes the half, so that
-    no task holds the values of a group in memory: the sort spills.
+    no task holds the values of a group in memory: the sort spills. What a group's rows have in common is one struct, whose
+    aggregation goes along the sorted rows instead of keeping a wide row for every group. Rows are dealt out by key into the session's
+    number of partitions, which stay apart: counts pack well, so merged ones that are small on disk would be wide in memory.
     """
+    counts = counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     group = Window.partitionBy(*KEY, "column")
     ahead = group.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     v = F.col("value")
@@ -84,19 +87,20 @@ def stats_of_counts(counts: DataFrame) -> DataFrame:
     held = lambda w, x: F.when(F.col(f"_n_{w}") > 0, x)
     run = known.withColumns({f"_run_{w}": F.sum(f"_n_{w}").over(ahead) for w in WINDOWS})
     run = run.withColumns({f"_all_{w}": F.sum(f"_n_{w}").over(group) for w in WINDOWS} | {f"_sum_{w}": F.sum(held(w, v * F.col(f"_n_{w}"))).over(group) for w in WINDOWS})
-    made = []
+    made = [F.first(F.struct(*[F.col(f"_{x}_{w}") for x in ("all", "sum") for w in WINDOWS])).alias("_same")]
     for w in WINDOWS:
         n, total, mean = F.col(f"_n_{w}"), F.col(f"_all_{w}"), F.try_divide(f"_sum_{w}", f"_all_{w}")
         at_rank = lambda k: F.min(held(w, F.when(F.col(f"_run_{w}") >= k, v)))  # noqa: E731, B023
         made += [
-            F.sum(w).alias(f"_rows_{w}"), F.max(total).alias(f"_count_{w}"), F.max(f"_sum_{w}").alias(f"_total_{w}"), F.sum(held(w, n * F.pow(v - mean, 2))).alias(f"_squares_{w}"),
+            F.sum(w).alias(f"_rows_{w}"), F.sum(held(w, n * F.pow(v - mean, 2))).alias(f"_squares_{w}"),
             F.min(held(w, v)).alias(f"_min_{w}"), F.max(held(w, v)).alias(f"_max_{w}"), F.count_if(n > 0).alias(f"_kinds_{w}"),
             at_rank(F.floor((total + 1) / 2)).alias(f"_low_{w}"), at_rank(F.floor(total / 2) + 1).alias(f"_high_{w}"),
         ]
     wide = run.groupBy(*KEY, "column").agg(*made)
 
     def of(w: str) -> Column:
-        c = lambda name: F.col(f"_{name}_{w}")
+        same = {"count": "all", "total": "sum"}
+        c = lambda name: F.col(f"_same._{same[name]}_{w}" if name in same else f"_{name}_{w}")
         low, high = c("low"), c("high")
         return F.struct(
             F.lit(w).alias("window"), c("rows").alias("_rows"), F.try_divide(c("total"), c("count")).alias("mean"), F.when(c("count") > 1, F.sqrt(c("squares") / (c("count") - 1))).alias("std"),
@@ -164,13 +168,18 @@ def interactions(windowed: DataFrame, suffix: str = "suffix", value: str = "valu
 
     ``windowed`` has key, window, suffix and value. The pairs are six rows, so each value is met at most twice on each side.
     """
-    each = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in PAIRS])
-    both = windowed.select(*KEY, suffix, "window", value, F.explode(each).alias("_p")).where((F.col("window") == F.col("_p.left")) | (F.col("window") == F.col("_p.right")))
-    at = lambda side: F.max(F.when(F.col("window") == F.col(f"_p.{side}"), F.col(value)))
-    side = lambda name: F.max(F.col("window") == F.col(f"_p.{name}"))
-    wide = both.groupBy(*KEY, suffix, F.col("_p.left").alias("left"), F.col("_p.right").alias("right")).agg(at("left").alias("_l"), at("right").alias("_r"))
-    seen = both.groupBy(suffix, F.col("_p.left").alias("left"), F.col("_p.right").alias("right")).agg(side("left").alias("_a"), side("right").alias("_b")).where("_a and _b").select(suffix, "left", "right")
-    wide = wide.join(seen, [suffix, "left", "right"], "left_semi")
+    names = sorted({w for pair in PAIRS for w in pair})
+    here = lambda w: F.col("window") == w
+    # a key's windows are one row, of which the pairs are made
+    wide = windowed.where(F.col("window").isin(names)).groupBy(*KEY, suffix).agg(
+        *[F.max(F.when(here(w), F.col(value))).alias(f"_v_{w}") for w in names], F.bit_or(F.when(F.col("window").isin(names), F.element_at(F.create_map(*[F.lit(x) for i, w in enumerate(names) for x in (w, 1 << i)]), F.col("window")))).alias("_seen")
+    )
+    bit = {w: 1 << i for i, w in enumerate(names)}
+    has = lambda w: F.col("_seen").bitwiseAND(F.lit(bit[w])) != 0
+    each = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_v_{a}").alias("l"), F.col(f"_v_{b}").alias("r"), (has(a) | has(b)).alias("any")) for a, b in PAIRS])
+    known = windowed.where(F.col("window").isin(names)).groupBy(suffix).agg(F.collect_set("window").alias("_known"))  # eight names a suffix
+    wide = wide.select(*KEY, suffix, F.explode(each).alias("_p")).where("_p.any").select(*KEY, suffix, "_p.left", "_p.right", F.col("_p.l").alias("_l"), F.col("_p.r").alias("_r"))
+    wide = wide.join(F.broadcast(known), suffix).where(F.array_contains("_known", F.col("left")) & F.array_contains("_known", F.col("right")))
     diff = F.col("_r") - F.col("_l")
     return wide.select(*KEY, suffix, "left", "right", diff.alias("diff"), (F.col("_r") / (F.abs("_l") + EPSILON)).alias("ratio"), F.abs(diff).alias("abs_diff"))
 

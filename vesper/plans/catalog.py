@@ -107,7 +107,7 @@ b AS (SELECT k.*, p."left", p."right", l.value AS lv, r.value AS rv FROM k CROSS
  WHERE l.subject_id IS NOT NULL OR r.subject_id IS NOT NULL)
 SELECT subject_id, lifelog_date, suffix, "left", "right", rv - lv AS diff, rv / (abs(lv) + 1e-6) AS ratio, abs(rv - lv) AS abs_diff FROM b""", dates=("lifelog_date",))
 def window_interactions(spark, d):
-    w = stats.window_stats(_events(spark, d), ["value"])
+    w = sinks.materialised(stats.window_stats(_events(spark, d), ["value"]).select(*stats.KEY, "window", "sum", "mean"))
     each = F.array(*[F.struct(F.lit(f"value_{s}").alias("suffix"), F.col(s).alias("value")) for s in ("sum", "mean")])
     return stats.interactions(w.select(*stats.KEY, "window", F.explode(each).alias("_s")).select(*stats.KEY, "window", "_s.*"))
 
