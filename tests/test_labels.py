@@ -198,3 +198,15 @@ def test_labels_of_sums_that_waver(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
     assert len(got) == 40 and all((r["n"], r["of"]) == (2, 5) for r in got)
+
+
+def test_labels_of_days_with_equal_sums(spark, monkeypatch):
+    """Two days that are both the median by their decimal sums: which one is over it follows the events' time, however rows are dealt."""
+    from vesper.plans import catalog
+
+    values = [(0, [0.5]), (1, [0.1, 0.2, 0.3]), (2, [0.3, 0.2, 0.1])]  # 0.6000000000000001 and 0.6
+    rows = [(user, 86_400 * day + 60 * i, v) for user in range(200) for day, many in values for i, v in enumerate(many)]
+    events = spark.createDataFrame(rows, "user_id long, at long, value double").select("user_id", F.timestamp_seconds(F.col("at") + 1_704_067_200).alias("ts"), "value")
+    monkeypatch.setattr(catalog, "_t", lambda *_: events.repartition(16, F.xxhash64("user_id", "ts", "value")))
+    got = {(r["row_id"] // 1000, r["row_id"] % 1000): r["y"] for r in catalog._labels(spark, "").collect()}
+    assert got == {(user, day): float(day == 1) for user in range(200) for day in range(3)}

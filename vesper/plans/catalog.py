@@ -275,9 +275,14 @@ _FIRST = _LABELS + ", fit AS (SELECT * FROM lab WHERE lifelog_date < DATE '2024-
 
 
 def _labels(spark, d):
-    """The labels, made once: a sum that is made again adds in another order, and a day's own sum would then be over the median that it is."""
-    day = _t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("lifelog_date")).agg(F.sum("value").alias("s"))
-    rows = day.where("user_id is not null").withColumn("m", F.median("s").over(Window.partitionBy("user_id")))
+    """The labels, made once, from sums in order of time: two days may have the same decimal sum, and where both are their subject's median
+    the order in which doubles are added decides which is over it. The running sum spills, so a day of any size has it."""
+    days = Window.partitionBy("user_id", "lifelog_date")
+    events = _t(spark, d, "events").where("user_id is not null").select("user_id", "ts", F.to_date("ts").alias("lifelog_date"), "value")
+    running = F.sum("value").over(days.orderBy("ts", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.lead(F.lit(1)).over(days.orderBy("ts", "value")).isNull()
+    day = events.select("user_id", "lifelog_date", running.alias("s"), last.alias("last")).where("last")
+    rows = day.withColumn("m", F.median("s").over(Window.partitionBy("user_id")))
     number = F.col("user_id") * 1000 + F.date_diff("lifelog_date", F.lit("2024-01-01").cast("date"))
     labels = rows.select(number.cast("long").alias("row_id"), F.col("user_id").cast("string").alias("subject_id"), "lifelog_date", F.lit("Q1").alias("target"), (F.col("s") > F.col("m")).cast("double").alias("y"))
     return sinks.materialised(labels)
