@@ -236,3 +236,18 @@ def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch):
     y = 0.903 * x + math.sqrt(1 - 0.903**2) * off
     got = vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))])).collect()
     assert {(r["vec_id"], r["n_links"], r["component"]) for r in got} == {(i, 1, i % 400) for i in range(800)}
+
+
+def test_pairs_come_in_small_parts_and_few_are_looked_up(monkeypatch):
+    """A dense group within random vectors: all pairs at the threshold, no more at once than asked; random pairs end at the bound of prefixes."""
+    monkeypatch.setattr(vector_dedup, "PAIRS", 500)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 64))
+    x[:60] = x[0] + rng.normal(0, 0.05, (60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    parts = list(vector_dedup._linked(vector_dedup.fit_index(x, len(x), 1), 0, x, x, 0.9))
+    assert max(len(a) for a, _ in parts) <= 500
+    assert sorted((i, k) for a, b in parts for i, k in zip(a.tolist(), b.tolist())) == sorted(map(tuple, np.argwhere(x @ x.T >= 0.9).tolist()))
+    one = vector_dedup._prefixes(x, vector_dedup._turn(64))
+    assert (one[60:] @ one[60:].T >= 0.9 - vector_dedup.SLACK).mean() < 0.01
+    assert (one @ one.T >= x @ x.T - vector_dedup.SLACK).all()
