@@ -327,3 +327,22 @@ def test_named_settings():
     assert len(models.model_names()) == 9 and set(models.ENSEMBLES) < set(models.model_names())
     pair = models.chained_ensembles()
     assert pair["lightgbm"].leaves == 15 and pair["xgboost"].grow == "level" and pair["extra_trees"].rounds == 180
+
+
+@pytest.mark.parametrize("most", [models.MOST, 20])
+def test_logistic_groups_are_fitted_on_rows_with_counts_or_by_passes(spark, made, most):
+    """Repeated rows are one for the fit, of a task or of passes; groups of one class and without training rows."""
+    x, y = made
+    frames = []
+    some = [(i, [float(v) for v in x[i]], int(y[i]), i % 3 == 0) for i in range(N)]
+    for copy in range(4):
+        frames += [("Q1", "f", i + N * copy, v, t, h) for i, v, t, h in some]
+    frames += [("Q2", "f", i, v, 1, h) for i, v, _, h in some[:18]] + [("Q3", "f", i, v, t, True) for i, v, t, _ in some[:5]]
+    rows = spark.createDataFrame(frames, "target string, fold string, row_id long, x array<double>, y int, is_valid boolean")
+    got = models.logistic_by_group(rows, ["target", "fold"], 40, most).toPandas().sort_values("row_id")
+    train = np.arange(N) % 3 > 0
+    want = models.predict_logistic(models.fit_logistic(np.tile(x[train], (4, 1)), np.tile(y[train].astype(float), 4), 40), x[~train])
+    assert list(got.columns) == ["target", "fold", "row_id", "y", "p"]
+    assert np.abs(got[got.target == "Q1"].p.to_numpy() - np.tile(want, 4)).max() < 1e-9
+    assert set(got[got.target == "Q2"].p) == {1.0} and len(got[got.target == "Q2"]) == 6
+    assert got[got.target == "Q3"].p.isna().all() and len(got[got.target == "Q3"]) == 5

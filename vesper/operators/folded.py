@@ -127,6 +127,23 @@ def _standard(model: dict, x: np.ndarray) -> np.ndarray:
     return np.clip((x - model["mean"]) / model["scale"], -model["clip"], model["clip"])
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Matrices of a batch's rows as bytes, so that passes don't make them from rows again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, roles = (pa.array([m.tobytes()], pa.binary()) for m in (_matrix(b, "x"), _matrix(b, "roles", np.int8)))
+                yield pa.record_batch([pa.array([len(b)], pa.int32()), x, roles], names=["n", "x", "roles"])
+
+    return materialised(rows.mapInArrow(run, "n int, x binary, roles binary"))
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for n, x, roles in zip(batch["n"].to_pylist(), batch["x"], batch["roles"]):
+        yield np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(n, -1), np.frombuffer(roles.as_buffer(), dtype=np.int8).reshape(n, -1)
+
+
 def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: int, local: int) -> None:
     """Take the steps of all models: ``pull`` has the gradient of some standardised rows, ``stepped`` changes a model by their sum."""
     if not models:
@@ -149,6 +166,7 @@ def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: i
         for r in rows.coalesce(1).mapInArrow(run, "key int, sums binary").collect():  # a row for each label set
             models[r["key"]]["theta"] = np.frombuffer(r["sums"], dtype=np.float64)
         return
+    rows = _packed(rows)
     for step in range(steps):
         # tasks get what a gradient needs, not what is remembered of earlier steps
         open_ = {k: {name: m[name] for name in ("mean", "scale", "clip", "theta", "n", "ones")} for k, m in models.items() if not m.get("done")}
@@ -156,8 +174,7 @@ def _descended(rows: DataFrame, models: dict[int, dict], pull, stepped, steps: i
             break
 
         def gradients(batch: pa.RecordBatch, open_=open_):
-            x, roles = _matrix(batch, "x"), _matrix(batch, "roles", np.int8)
-            return ((k, pull(m, _standard(m, x[own]), roles[own, k].astype(float))) for k, m in open_.items() for own in [roles[:, k] < ASKED])
+            return ((k, pull(m, _standard(m, x[own]), roles[own, k].astype(float))) for x, roles in _unpacked(batch) for k, m in open_.items() for own in [roles[:, k] < ASKED])
 
         for k, g in _sums(rows, gradients).items():
             stepped(models[k], g, step)
