@@ -313,6 +313,19 @@ def test_kernel_machines_are_near_the_exact_solution(rows, made):
     assert folded.kernel_machines(rows.where("false")).collect() == []
 
 
+def test_kernel_machines_read_matrices_of_bounded_tasks(rows, monkeypatch):
+    """Passes read matrices, not rows; a task's are bounded; the sigmoid's passes read decisions alone. In many tasks the numbers are the same."""
+    want = folded.kernel_machines(rows, landmarks=60, passes=3).toPandas().sort_values(["fit", "row_id"]).p.to_numpy()
+    seen, sums = [], folded._sums
+    monkeypatch.setattr(folded, "_sums", lambda rows, of: seen.append((rows.columns, rows.rdd.getNumPartitions())) or sums(rows, of))
+    monkeypatch.setattr(folded, "HELD", 60 * 61 * 4, raising=False)
+    got = folded.kernel_machines(rows, landmarks=60, passes=3).toPandas().sort_values(["fit", "row_id"]).p.to_numpy()
+    assert np.nanmax(np.abs(got - want)) < 1e-5
+    values = [(columns, tasks) for columns, tasks in seen if "z" in columns]
+    assert len(values) == 4 and all("row_id" not in columns and tasks == N // 60 for columns, tasks in values)
+    assert len([1 for columns, _ in seen if columns == ["n", "x", "roles"]]) == 12
+
+
 def test_every_named_model_and_one_unknown(rows):
     small = {name: Ensemble(2, 0.1, leaves=3) if s.grow == "leaf" else Ensemble(2, 0.1, depth=2, grow=s.grow) for name, s in models.ENSEMBLES.items()}
     asked = [(r, name, None) for name in models.model_names() for r in range(2)] + [(0, "nothing such", None), (2, "random_forest", (0, 1))]

@@ -18,7 +18,8 @@ Adam's steps on the gradient of all rows; steps are passes or stay within a task
 kernel values with a bounded sample of rows (``landmarks``, those of the smallest hashes), in a basis of which products are the
 kernel's. A table of no more rows than that has the exact kernel; of a larger one it is the projection on the sample's span. The hinge is
 rounded off within ``SOFT`` of its corner, steps are accelerated in the metric of the features' second moments, and the sigmoid is
-fitted on decisions of machines that haven't seen a row, of five inner folds by the row's hash.
+fitted on decisions of machines that haven't seen a row, of five inner folds by the row's hash. Steps read the rows' values as
+matrices, of which a task has ``HELD`` bytes; the sigmoid's passes read decisions alone, which are made once.
 
 Defined results: a label set of one class is that class's constant, one without a training row has null; features that don't vary
 in training count as nothing.
@@ -45,6 +46,8 @@ ASKED = 2
 SPREAD = 64
 
 LANDMARKS, SOFT, PASSES, INNER = 512, 0.1, 60, 5
+#: Bytes of kernel values in a partition: a task's Arrow batch has all of its matrices.
+HELD = 32 << 20
 
 
 def _matrix(batch: pa.RecordBatch, name: str, kind=np.float64) -> np.ndarray:
@@ -127,14 +130,18 @@ def _standard(model: dict, x: np.ndarray) -> np.ndarray:
     return np.clip((x - model["mean"]) / model["scale"], -model["clip"], model["clip"])
 
 
+def _matrices(n: int, **parts: np.ndarray) -> pa.RecordBatch:
+    """One row of matrices of ``n`` rows, as bytes."""
+    return pa.record_batch([pa.array([n], pa.int32()), *[pa.array([m.tobytes()], pa.binary()) for m in parts.values()]], names=["n", *parts])
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """Matrices of a batch's rows as bytes, so that passes don't make them from rows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x, roles = (pa.array([m.tobytes()], pa.binary()) for m in (_matrix(b, "x"), _matrix(b, "roles", np.int8)))
-                yield pa.record_batch([pa.array([len(b)], pa.int32()), x, roles], names=["n", "x", "roles"])
+                yield _matrices(len(b), x=_matrix(b, "x"), roles=_matrix(b, "roles", np.int8))
 
     return materialised(rows.mapInArrow(run, "n int, x binary, roles binary"))
 
@@ -357,15 +364,23 @@ def kernel_machines(rows: DataFrame, landmarks: int = LANDMARKS, passes: int = P
     features = int((worth > 1e-9 * worth[-1]).sum())
     basis = turn[:, -features:] / np.sqrt(worth[-features:])
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([_radial(scaled(x), marks, varying) @ basis, np.ones(len(x))]).astype(np.float32)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.column_stack([_radial(scaled(_matrix(b, "x")), marks, varying) @ basis, np.ones(len(b))]).astype(np.float32)
-            yield pa.record_batch([b["row_id"], b["roles"], b["inner"], pa.array(map(bytes, z), pa.binary())], names=["row_id", "roles", "inner", "z"])
+            if len(b):
+                yield _matrices(len(b), z=mapped(_matrix(b, "x")), roles=_matrix(b, "roles", np.int8), inner=b["inner"].to_numpy().astype(np.int8))
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(every[0][-1]) * 4 * (features + 1) // HELD))
+    blocks = materialised(rows.repartition(tasks, "row_id").mapInArrow(packed, "n int, z binary, roles binary, inner binary"))
 
-    kinds = dict(rows.dtypes)
-    rows = materialised(rows.mapInArrow(mapped, f"row_id {kinds['row_id']}, roles {kinds['roles']}, inner int, z binary"))
-    z_of = lambda b: np.frombuffer(b"".join(b["z"].to_pylist()), dtype=np.float32).reshape(len(b), -1).astype(np.float64)
-    moments = _sums(rows, lambda b: [(0, (z_of(b).T @ z_of(b)).ravel())])[0].reshape(features + 1, -1)
+    def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for n, *parts in zip(batch["n"].to_pylist(), batch["z"], batch["roles"], batch["inner"]):
+            z, roles, inner = (np.frombuffer(p.as_buffer(), dtype=kind).reshape(n, -1) for p, kind in zip(parts, (np.float32, np.int8, np.int8)))
+            yield z.astype(np.float64), roles, inner
+
+    moments = _sums(blocks, lambda b: ((0, (z.T @ z).ravel()) for z, _, _ in blocks_of(b)))[0].reshape(features + 1, -1)
     size, base = np.linalg.eigh(moments)
     size = np.maximum(size, 0)
     open_ = [k for k, m in models.items() if "constant" not in m]
@@ -376,48 +391,51 @@ def kernel_machines(rows: DataFrame, landmarks: int = LANDMARKS, passes: int = P
     now = ahead = np.zeros((features + 1, len(machines)))
     ridge = np.append(np.ones(features), 1e-3)[:, None]
 
-    def signed(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-        role = _matrix(b, "roles", np.int8)[:, k]
-        return np.where(role == 1, 1.0, -1.0), np.where(role == 1, heavy[k][1], np.where(role == 0, heavy[k][0], 0.0))
+    each = np.arange(-1, INNER)
 
     for step in range(passes if machines else 0):
 
         def pulls(b: pa.RecordBatch, ahead=ahead):
-            z, inner = z_of(b), b["inner"].to_numpy()
-            decided = z @ ahead
-            error = np.zeros_like(decided)
-            for at, (k, f) in enumerate(machines):
-                y, c = signed(b, k)
-                error[:, at] = -y * c * (inner != f) * np.clip((1 - y * decided[:, at]) / SOFT, 0, 1)
-            return [(0, (z.T @ error).ravel())]
-
-        gradient = ridge * ahead + _sums(rows, pulls)[0].reshape(ahead.shape)
+            for z, roles, inner in blocks_of(b):
+                decided, seen = z @ ahead, inner != each
+                for at, k in enumerate(open_):
+                    role, own = roles[:, k, None], slice(at * len(each), (at + 1) * len(each))
+                    y, c = np.where(role == 1, 1.0, -1.0), np.where(role == 1, heavy[k][1], np.where(role == 0, heavy[k][0], 0.0))
+                    decided[:, own] = -y * c * seen * np.clip((1 - y * decided[:, own]) / SOFT, 0, 1)
+                yield 0, (z.T @ decided).ravel()
+
+        gradient = ridge * ahead + _sums(blocks, pulls)[0].reshape(ahead.shape)
         before, now = now, ahead - base @ (metric * (base.T @ gradient))
         ahead = now + step / (step + 3) * (now - before)
 
     # Platt's sigmoid on decisions for rows that the machine hasn't seen, with his targets; Newton's steps
-    place = {m: i for i, m in enumerate(machines)}
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z, roles, inner in blocks_of(b):
+                decided = (z @ now).reshape(len(z), len(open_), len(each))
+                yield _matrices(len(z), x=np.take_along_axis(decided, inner[:, :, None].astype(int) + 1, axis=2), roles=roles)
+
+    decisions = materialised(blocks.mapInArrow(unseen, "n int, x binary, roles binary")) if machines else blocks
     curves = {k: np.array([0.0, np.log((models[k]["ones"] + 1) / (models[k]["n"] - models[k]["ones"] + 1))]) for k in open_}
     aims = {k: (1 / (models[k]["n"] - models[k]["ones"] + 2), (models[k]["ones"] + 1) / (models[k]["ones"] + 2)) for k in open_}
     for _ in range(12 if machines else 0):
 
         def slopes(b: pa.RecordBatch):
-            decided, inner, roles = z_of(b) @ now, b["inner"].to_numpy(), _matrix(b, "roles", np.int8)
-            for k in open_:
-                d = decided[np.arange(len(b)), [place[k, f] for f in inner.tolist()]]
-                own = roles[:, k] < ASKED
-                d, t = d[own], np.where(roles[own, k] == 1, aims[k][1], aims[k][0])
-                p = 1 / (1 + np.exp(-np.clip(curves[k][0] * d + curves[k][1], -30, 30)))
-                e, v = p - t, p * (1 - p)
-                yield k, np.array([e @ d, e.sum(), v @ (d * d), v @ d, v.sum()])
-
-        for k, (gd, g, dd, d, n) in _sums(rows, slopes).items():
+            for decided, roles in _unpacked(b):
+                for at, k in enumerate(open_):
+                    own = roles[:, k] < ASKED
+                    d, t = decided[own, at], np.where(roles[own, k] == 1, aims[k][1], aims[k][0])
+                    p = 1 / (1 + np.exp(-np.clip(curves[k][0] * d + curves[k][1], -30, 30)))
+                    e, v = p - t, p * (1 - p)
+                    yield k, np.array([e @ d, e.sum(), v @ (d * d), v @ d, v.sum()])
+
+        for k, (gd, g, dd, d, n) in _sums(decisions, slopes).items():
             curves[k] = curves[k] - np.linalg.solve(np.array([[dd + 1e-6, d], [d, n + 1e-6]]), np.array([gd, g]))
 
     def said(b: pa.RecordBatch, k: int, asked: np.ndarray):
         if "constant" in models[k]:
             return None if models[k]["constant"] is None else np.full(len(asked), models[k]["constant"])
-        d = z_of(b)[asked] @ now[:, place[k, -1]]
+        d = mapped(_matrix(b, "x")[asked]).astype(np.float64) @ now[:, open_.index(k) * len(each)]
         return 1 / (1 + np.exp(-np.clip(curves[k][0] * d + curves[k][1], -30, 30)))
 
     return _answers(rows, said)
