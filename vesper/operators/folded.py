@@ -9,7 +9,8 @@ by count, and ``CELLS`` cells take all steps within one task instead, with the s
 
 ``regressions`` and ``linear_machines`` are the balanced optima of the logistic loss and of the squared hinge with drawn-in coefficients, by
 quasi-Newton steps (L-BFGS): a pass tries one point for every label set, and the driver has the last ``MEMORY`` steps of each. They
-end when all gradients are as good as 0, wherever they began.
+end when all gradients are as good as 0, wherever they began: below ``NEAR`` a row values don't tell points apart any more, so a point is
+taken if its gradient is smaller, until that is below ``STILL`` or ``POLISH`` points have been tried, as sums are rounded.
 
 ``networks`` have one hidden layer of rectified units, drawn-in weights (their sum of squares costs ``alpha`` / 2 a row in all) and
 Adam's steps on the gradient of all rows; steps are passes or stay within a task, as above.
@@ -40,7 +41,7 @@ from .models import STEPS
 
 LOCAL = 20_000
 CELLS = 16 << 20
-MEMORY, STILL = 12, 1e-10
+MEMORY, NEAR, STILL, POLISH = 12, 1e-10, 1e-13, 6
 ASKED = 2
 #: Groups in which tasks' sums meet first, so that no task reads a row from every other one.
 SPREAD = 64
@@ -233,8 +234,9 @@ def logistic(rows: DataFrame, steps: int = STEPS, local: int = LOCAL) -> DataFra
 
 def _newton_like(m: dict, value: float, gradient: np.ndarray, last: bool) -> None:
     """Take the point that was tried if it is lower enough, else halve the step; ``theta`` is what to try next, at the end the best."""
-    kept = m.get("kept")
-    if kept is None or value <= kept[1] + 1e-4 * m["slope"] * m["length"] + 1e-14 * abs(kept[1]):
+    kept, worst = m.get("kept"), float(np.abs(gradient).max()) / m["n"]
+    near = kept is not None and m["worst"] <= NEAR
+    if kept is None or (worst < m["worst"] if near else value <= kept[1] + 1e-4 * m["slope"] * m["length"] + 1e-14 * abs(kept[1])):
         if kept is not None:
             moved, turned = m["theta"] - kept[0], gradient - kept[2]
             if moved @ turned > 0:
@@ -251,10 +253,12 @@ def _newton_like(m: dict, value: float, gradient: np.ndarray, last: bool) -> Non
             way = way + (share - (turned @ way) / (moved @ turned)) * moved
         m["way"], m["slope"] = way, float(way @ gradient)
         m["length"] = 1.0 if m["steps"] else 1 / max(1.0, float(np.sqrt(gradient @ gradient)))
-        m["done"] = bool(np.abs(gradient).max() <= STILL * m["n"])
+        m["worst"], m["done"] = worst, worst <= STILL
     else:
         m["length"] /= 2
         m["done"] = m["length"] < 1e-12
+    m["tried"] = m.get("tried", 0) + near
+    m["done"] |= m["tried"] >= POLISH
     m["theta"] = kept[0] if m["done"] or last else kept[0] + m["length"] * m["way"]
 
 
